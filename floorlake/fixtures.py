@@ -70,6 +70,42 @@ FROM lineitem
 GROUP BY l_suppkey, CAST(l_orderkey % 6 AS BIGINT),
  CASE l_linenumber % 5 WHEN 0 THEN 'colour' WHEN 1 THEN 'material' WHEN 2 THEN 'lighting' WHEN 3 THEN 'layout' ELSE 'objects' END"""
 
+FX["fx_rooms"] = """
+SELECT room_id, building_id, room_type, style, style_confidence, x0, y0, x1, y1, (x1-x0)*(y1-y0) AS area FROM fx_regions"""
+
+# Four walls a room, counter-clockwise from the lower left corner.
+FX["fx_walls"] = """
+SELECT room_id*4 + k AS wall_id, building_id, room_id, k, CASE k WHEN 0 THEN x0 WHEN 1 THEN x1 WHEN 2 THEN x1 ELSE x0 END AS sx, CASE k WHEN 0 THEN y0 WHEN 1 THEN y0 WHEN 2 THEN y1 ELSE y1 END AS sy,
+ CASE k WHEN 0 THEN x1 WHEN 1 THEN x1 WHEN 2 THEN x0 ELSE x0 END AS ex, CASE k WHEN 0 THEN y0 WHEN 1 THEN y1 WHEN 2 THEN y1 ELSE y0 END AS ey
+FROM fx_regions CROSS JOIN (SELECT CAST(c AS BIGINT) AS k FROM (VALUES (0), (1), (2), (3)) AS v(c)) q"""
+
+# Who owns a wall: its room, and for right-hand walls the next room of the building as well.
+FX["fx_wall_owners"] = """
+SELECT wall_id, building_id, room_id FROM fx_walls
+UNION ALL SELECT w.wall_id, w.building_id, r.room_id FROM fx_walls w JOIN fx_regions r ON r.room_id = w.room_id + 1 AND r.building_id = w.building_id WHERE w.k = 1"""
+
+# Openings a third of which lie off the wall line by up to 0.5 m and some without a room of their own.
+FX["fx_openings"] = """
+SELECT CAST(p_partkey AS BIGINT) AS opening_id, building_id, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE w.room_id END AS room_id, w.wall_id,
+ CASE p_size % 3 WHEN 0 THEN 'window' ELSE 'door' END AS kind, CASE p_size % 4 WHEN 0 THEN 'image' ELSE 'dxf' END AS source,
+ sx + (ex-sx)*(0.11e0 + CAST(p_partkey % 7 AS DOUBLE)*0.1e0) + CAST(p_partkey % 5 AS DOUBLE)*0.11e0 AS x,
+ sy + (ey-sy)*(0.13e0 + CAST(p_partkey % 7 AS DOUBLE)*0.1e0) + CAST(p_partkey % 3 AS DOUBLE)*0.09e0 AS y,
+ 0.7e0 + CAST(p_size % 9 AS DOUBLE)*0.1e0 AS width, 1.2e0 + CAST(p_size % 7 AS DOUBLE)*0.15e0 AS height, CAST(p_size % 97 AS DOUBLE)/100e0 + 0.02e0 AS confidence
+FROM part CROSS JOIN (SELECT COUNT(*)*4 AS n FROM supplier) c JOIN fx_walls w ON w.wall_id = p_partkey % n"""
+
+FX["fx_lights"] = """
+SELECT CAST(c_custkey AS BIGINT) AS light_id, r.room_id, r.building_id, CAST(c_custkey % 4 AS BIGINT) AS image_id,
+ CASE c_nationkey % 5 WHEN 0 THEN 'ceiling' WHEN 1 THEN 'pendant' WHEN 2 THEN 'floor_lamp' WHEN 3 THEN 'spot' ELSE 'unknown' END AS kind,
+ CAST(1 + c_custkey % 4 AS BIGINT) AS fixtures, 20e0 + CAST(c_custkey % 13 AS DOUBLE)*10e0 AS power_w, 2700e0 + CAST(c_custkey % 9 AS DOUBLE)*300e0 AS kelvin,
+ c_custkey % 6 <> 0 AS is_on, c_custkey % 5 = 0 AS uncertain, CAST(c_custkey % 89 AS DOUBLE)/100e0 + 0.05e0 AS confidence,
+ x0 + CAST(c_custkey % 40 AS DOUBLE)*0.11e0 - 0.2e0 AS x, y0 + CAST(c_custkey % 31 AS DOUBLE)*0.13e0 - 0.2e0 AS y, 1.5e0 + CAST(c_custkey % 15 AS DOUBLE)*0.1e0 AS z
+FROM customer CROSS JOIN (SELECT COUNT(*) AS n FROM supplier) c JOIN fx_regions r ON r.room_id = c_custkey % n"""
+
+FX["fx_viewpoints"] = """
+SELECT CAST(c_custkey AS BIGINT) AS viewpoint_id, r.room_id, r.building_id, x0 + CAST(c_custkey % 17 AS DOUBLE)*0.2e0 AS x, y0 + CAST(c_custkey % 11 AS DOUBLE)*0.2e0 AS y, 1.6e0 AS z,
+ CAST((c_custkey*37) % 360 AS DOUBLE) AS yaw, CAST(c_custkey % 21 AS DOUBLE) - 10e0 AS pitch_deg, 45e0 + CAST(c_custkey % 30 AS DOUBLE) AS vfov_deg, CASE c_custkey % 3 WHEN 0 THEN 1.5e0 WHEN 1 THEN 1e0 ELSE 1.7777e0 END AS aspect
+FROM customer CROSS JOIN (SELECT COUNT(*) AS n FROM supplier) c JOIN fx_regions r ON r.room_id = c_custkey % n"""
+
 _PIXELS = """
 SELECT vec_id AS image_id, CAST(FLOOR(CAST(pos AS DOUBLE)/8e0) AS BIGINT) AS prow, CAST(pos % 8 AS BIGINT) AS pcol,
  LEAST(1e0, GREATEST(0e0, CAST(v AS DOUBLE) + 0.5e0)) AS luma

@@ -43,30 +43,29 @@ def top_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limi
 
 
 def running_by_blocks(
-    df: DataFrame, keys: Sequence[str], order: str, measures: dict[str, Column], block: int = 4096
+    df: DataFrame, keys: Sequence[str], order: str, measures: dict[str, tuple[str, Column]], block: int = 4096
 ) -> DataFrame:
-    """Inclusive running sums along a dense integer ``order`` column.
+    """Inclusive running ``sum`` or ``max`` along a dense integer ``order`` column.
 
-    A group is cut into blocks of ``block`` consecutive positions. Only block totals are summed
-    across blocks, so a group of n rows needs a task of ``block`` rows and one of n/block rows.
+    ``measures``: output name -> ('sum' | 'max', column). A group is cut into blocks of ``block``
+    consecutive positions. Only block totals run across blocks, so a group of n rows needs tasks
+    of ``block`` rows and one of n/block rows.
     """
     df = df.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
-    for name, column in measures.items():
-        df = df.withColumn(f"_in_{name}", column)
-    totals = df.groupBy(*keys, "_block").agg(*[F.sum(f"_in_{n}").alias(f"_total_{n}") for n in measures])
+    df = df.withColumns({f"_in_{n}": column for n, (_, column) in measures.items()})
+    totals = df.groupBy(*keys, "_block").agg(
+        *[getattr(F, how)(f"_in_{n}").alias(f"_shift_{n}") for n, (how, _) in measures.items()])
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    for name in measures:
-        totals = totals.withColumn(f"_shift_{name}", F.coalesce(F.sum(f"_total_{name}").over(before), F.lit(0)))
-    totals = totals.drop(*[f"_total_{n}" for n in measures])
+    totals = totals.withColumns({f"_shift_{n}": getattr(F, how)(f"_shift_{n}").over(before) for n, (how, _) in measures.items()})
     inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df
-    for name in measures:
-        out = out.withColumn(name, F.sum(f"_in_{name}").over(inside))
+    out = df.withColumns({n: getattr(F, how)(f"_in_{n}").over(inside) for n, (how, _) in measures.items()})
     out = out.join(totals, [*keys, "_block"])
-    for name in measures:
-        out = out.withColumn(name, F.col(name) + F.col(f"_shift_{name}"))
-    drop = ["_block"] + [f"_in_{n}" for n in measures] + [f"_shift_{n}" for n in measures]
-    return out.drop(*drop)
+    for name, (how, _) in measures.items():
+        if how == "sum":
+            out = out.withColumn(name, F.coalesce(name, F.lit(0)) + F.coalesce(f"_shift_{name}", F.lit(0)))
+        else:
+            out = out.withColumn(name, F.greatest(name, f"_shift_{name}"))
+    return out.drop("_block", *[f"_in_{n}" for n in measures], *[f"_shift_{n}" for n in measures])
 
 
 def spread(df: DataFrame, keys: Sequence[str], parts: int = 32) -> DataFrame:

@@ -1,4 +1,4 @@
 """Runnable queries over the given tables."""
 
-from . import evaluation, planning  # noqa: F401
+from . import evaluation, incremental, planning, runs  # noqa: F401
 from .registry import COVERS, ORACLES, QUERIES, oracle_sql  # noqa: F401

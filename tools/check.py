@@ -66,7 +66,7 @@ def main(argv):
         try:
             ok, count, note = compare(spark, con, build, oracles.get(name), sf_dir)
         except Exception as exc:  # noqa: BLE001
-            ok, count, note = False, 0, f"{type(exc).__name__}: {str(exc)[:1500]}"
+            ok, count, note = False, 0, f"{type(exc).__name__}: {str(exc)[:400]}"
         label = {True: "ok  ", False: "FAIL", None: "rows"}[ok]
         bad += ok is False
         print(f"{label} {name:44s} {count:8d} rows {time.time() - start:6.2f}s {note[:1200]}", flush=True)
