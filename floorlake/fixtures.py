@@ -93,6 +93,22 @@ SELECT CAST(p_partkey AS BIGINT) AS opening_id, building_id, CASE WHEN p_partkey
  0.7e0 + CAST(p_size % 9 AS DOUBLE)*0.1e0 AS width, 1.2e0 + CAST(p_size % 7 AS DOUBLE)*0.15e0 AS height, CAST(p_size % 97 AS DOUBLE)/100e0 + 0.02e0 AS confidence
 FROM part CROSS JOIN (SELECT COUNT(*)*4 AS n FROM supplier) c JOIN fx_walls w ON w.wall_id = p_partkey % n"""
 
+# Objects with a room and a support: plants stand on something, cooktops hang on a wall.
+FX["fx_placed"] = """
+SELECT o.building_id, hint_room_id AS room_id, object_id, category, CASE category WHEN 'plant' THEN 'on_object' WHEN 'cooktop' THEN 'wall' ELSE 'floor' END AS support,
+ CASE WHEN category = 'plant' AND object_id % 3 <> 0 THEN object_id - n WHEN category = 'plant' AND object_id % 9 = 3 THEN CAST(-1 AS BIGINT) END AS support_id,
+ x, y, CASE WHEN category = 'cooktop' THEN CAST(object_id % 5 AS DOUBLE)*0.5e0 - 0.5e0 WHEN category = 'plant' THEN CAST(object_id % 4 AS DOUBLE)*0.3e0 ELSE z END AS z,
+ width, depth, CASE WHEN object_id % 41 = 0 THEN 0e0 ELSE height END AS height, rotation_deg, CASE WHEN object_id % 57 = 0 THEN 1.2e0 ELSE confidence END AS confidence, material, locked,
+ confidence < 0.4e0 AS uncertain, object_id % 13 = 0 AS by_hand
+FROM fx_objects o CROSS JOIN (SELECT COUNT(*) AS n FROM supplier) c"""
+
+# Relations between objects, some with ends that do not resolve.
+FX["fx_relationships"] = """
+SELECT object_id AS relationship_id, building_id, CONCAT('object:', CAST(CASE WHEN object_id % 43 = 0 THEN -object_id - 1 ELSE object_id END AS VARCHAR(20))) AS subject_ref,
+ CASE object_id % 4 WHEN 0 THEN 'faces' WHEN 1 THEN 'beside' WHEN 2 THEN 'mounted_on' ELSE 'on_top_of' END AS predicate,
+ CASE WHEN object_id % 4 = 2 THEN CONCAT('wall:', CAST(hint_room_id*4 + object_id % 5 AS VARCHAR(20))) ELSE CONCAT('object:', CAST(object_id + n * (1 + object_id % 3) AS VARCHAR(20))) END AS object_ref,
+ confidence FROM fx_objects CROSS JOIN (SELECT COUNT(*) AS n FROM supplier) c WHERE object_id % 2 = 0"""
+
 FX["fx_lights"] = """
 SELECT CAST(c_custkey AS BIGINT) AS light_id, r.room_id, r.building_id, CAST(c_custkey % 4 AS BIGINT) AS image_id,
  CASE c_nationkey % 5 WHEN 0 THEN 'ceiling' WHEN 1 THEN 'pendant' WHEN 2 THEN 'floor_lamp' WHEN 3 THEN 'spot' ELSE 'unknown' END AS kind,
