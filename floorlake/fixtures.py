@@ -102,6 +102,14 @@ SELECT o.building_id, hint_room_id AS room_id, object_id, category, CASE categor
  confidence < 0.4e0 AS uncertain, object_id % 13 = 0 AS by_hand
 FROM fx_objects o CROSS JOIN (SELECT COUNT(*) AS n FROM supplier) c"""
 
+# Objects with the colour, label and group the appearance rules need.
+FX["fx_coloured"] = """
+SELECT p.*, obj_group, CASE object_id % 7 WHEN 0 THEN '#8C5A3C' WHEN 1 THEN '#3F6B5E' WHEN 2 THEN '#D8C3A5' WHEN 3 THEN '#2E4A52' WHEN 4 THEN '#EFEDE8' WHEN 5 THEN '#C1683F' END AS color_hex,
+ CASE object_id % 3 WHEN 0 THEN 'modern grey one' WHEN 1 THEN 'classic piece' ELSE '' END AS label FROM fx_placed p LEFT JOIN dim_objects d ON d.category = p.category"""
+FX["fx_finished_rooms"] = """
+SELECT r.*, CASE room_id % 5 WHEN 0 THEN '#EFEDE8' WHEN 1 THEN '#DED5C8' WHEN 2 THEN '#C1683F' END AS wall_hex, CASE room_id % 3 WHEN 0 THEN '#C08E5C' WHEN 1 THEN '#9A9A96' END AS floor_hex,
+ CASE room_id % 4 WHEN 0 THEN 'wood' WHEN 1 THEN 'walnut' WHEN 2 THEN 'unknown' END AS floor_material, CASE room_id % 6 WHEN 0 THEN 'evening' WHEN 1 THEN 'overcast' END AS time_of_day FROM fx_rooms r"""
+
 # Relations between objects, some with ends that do not resolve.
 FX["fx_relationships"] = """
 SELECT object_id AS relationship_id, building_id, CONCAT('object:', CAST(CASE WHEN object_id % 43 = 0 THEN -object_id - 1 ELSE object_id END AS VARCHAR(20))) AS subject_ref,

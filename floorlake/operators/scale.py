@@ -15,7 +15,7 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], nam
 
     Rows are range partitioned by (keys, order), so a hot group spreads over many partitions;
     each piece is numbered locally and shifted by the size of the pieces before it. ``order``
-    must be a total order. The ranged rows are checkpointed because both the numbering and the
+    must be a total order. The ranged rows are written once because both the numbering and the
     piece sizes must see the same partition boundaries.
     """
     ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_piece", F.spark_partition_id())

@@ -43,7 +43,7 @@ def assign_regions(points: DataFrame, point_key: str, regions: DataFrame, tolera
 
     ``regions``: building, room_id, polygon, area. Among containing regions the smallest ``by`` wins
     (``area``, or ``room_id`` for first-declared). Weight is 1 inside, 1 - 0.5 d/tolerance outside.
-    Returns point_key, room_id, weight, distance for the points that found a region.
+    Returns point_key, room_id, weight, distance, inside for the points that found a region.
     """
     x0, y0, x1, y1 = polygon_bounds(F.col("polygon"))
     reach = with_cells(regions.select(BUILDING, "room_id", "polygon", F.col(by).alias("_by")),
@@ -62,7 +62,7 @@ def assign_regions(points: DataFrame, point_key: str, regions: DataFrame, tolera
     return best.select(
         point_key, F.col("b.room_id").alias("room_id"),
         F.when(inside, 1.0).otherwise(1 - 0.5 * F.col("b.distance") / tolerance).alias("weight"),
-        F.when(inside, 0.0).otherwise(F.col("b.distance")).alias("distance"))
+        F.when(inside, 0.0).otherwise(F.col("b.distance")).alias("distance"), inside.alias("inside"))
 
 
 def stamp_rooms(points: DataFrame, point_key: str, regions: DataFrame, tolerance: float = ROOM_TOLERANCE) -> DataFrame:

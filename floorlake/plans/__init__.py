@@ -1,4 +1,4 @@
 """Runnable queries over the given tables."""
 
-from . import evaluation, incremental, planning, runs, spatial  # noqa: F401
+from . import drawings, evaluation, incremental, planning, rooms, runs, spatial  # noqa: F401
 from .registry import COVERS, ORACLES, QUERIES, oracle_sql  # noqa: F401

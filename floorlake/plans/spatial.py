@@ -38,7 +38,7 @@ k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY object_id ORDER BY CASE WHEN ins
 SELECT object_id, room_id, RND(CASE WHEN inside THEN 1e0 ELSE 1e0-0.5e0*d/0.45e0 END,6) AS weight, RND(CASE WHEN inside THEN 0e0 ELSE d END,6) AS distance FROM k WHERE rn = 1""")
 def contained_by(spark, sf_dir):
     found = sp.assign_regions(fx(spark, sf_dir, "fx_objects"), "object_id", regions(spark, sf_dir), sp.BLOCK_TOLERANCE)
-    return rounded(found, 6, "weight", "distance")
+    return rounded(found.drop("inside"), 6, "weight", "distance")
 
 
 @query("stamped_rooms", "JN-03", oracle=f"""
