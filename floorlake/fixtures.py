@@ -139,6 +139,10 @@ ORACLE_ONLY["fx_pixels"] = _PIXELS.format(
     src="SELECT vec_id, UNNEST(embedding) AS v, UNNEST(RANGE(LEN(embedding))) AS pos FROM embeddings"
 )
 
+# Coloured pixels and, per image, four material regions of different size.
+FX["fx_rgb"] = """
+SELECT image_id, prow, pcol, luma*(1e0 - CAST(image_id % 3 AS DOUBLE)*0.3e0) AS r, luma*(0.9e0 - CAST(image_id % 3 AS DOUBLE)*0.3e0) AS g, LEAST(1e0, luma*(0.6e0 - CAST(image_id % 2 AS DOUBLE)*0.2e0) + 0.15e0) AS b, CASE WHEN prow < 3 THEN 1 WHEN prow < 5 AND pcol < 6 THEN 2 WHEN prow = 7 AND pcol = 7 THEN 3 ELSE 0 END AS region FROM fx_pixels"""
+
 _NAME = re.compile(r"\b(fx_\w+|dim_\w+)\b")
 _BASE = re.compile(r"(?i)\b(from|join)\s+(" + "|".join(BASE) + r")\b")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..dims import dim
 from ..functions import geometry as g
+from .scale import medians_within
 
 DRAWING = "drawing_id"
 PLAUSIBLE = (3.0, 500.0)
@@ -43,13 +44,13 @@ def printed_number(text: Column) -> Column:
 def units_from_dimensions(dimensions: DataFrame) -> DataFrame:
     """Scale on which at least two printed dimensions agree within 2 % of their upper median.
 
-    The upper median is the discrete percentile of the descending order, so no list is collected;
-    the spread test then only needs the smallest and largest ratio.
+    The upper median comes from distributed ranks, so no drawing's ratios meet in one task; the
+    spread test only needs the smallest and largest ratio.
     """
     ratio = F.when(F.col("measurement") > 0, F.col("measurement") / F.when(printed_number(F.col("text")) > 0, printed_number(F.col("text"))))
-    ratios = dimensions.withColumn("_r", ratio).filter("_r IS NOT NULL")
-    grouped = ratios.groupBy(DRAWING).agg(
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _r DESC)").alias("_m"), F.min("_r").alias("_lo"), F.max("_r").alias("_hi"), F.count("*").alias("_n"))
+    ratios = dimensions.withColumn("_r", ratio).filter("_r IS NOT NULL").select(DRAWING, "entity_id", "_r")
+    bounds = ratios.groupBy(DRAWING).agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi"), F.count("*").alias("_n")).filter("_n >= 2")
+    grouped = bounds.join(medians_within(ratios, [DRAWING], ["_r"], "entity_id", upper=True), DRAWING).withColumnRenamed("median__r", "_m")
     agreed = grouped.filter((F.col("_n") >= 2) & (F.abs(F.col("_lo") / F.col("_m") - 1) <= 0.02) & (F.abs(F.col("_hi") / F.col("_m") - 1) <= 0.02))
     near = lambda expected: F.abs(F.col("_m") - expected) < 0.02 * expected
     verdict = F.when(near(1.0) | near(1000.0), _units(0.001, "millimetres", "dimension", 0.90))

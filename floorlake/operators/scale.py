@@ -68,7 +68,20 @@ def running_by_blocks(
     return out.drop("_block", *[f"_in_{n}" for n in measures], *[f"_shift_{n}" for n in measures])
 
 
-def spread(df: DataFrame, keys: Sequence[str], parts: int = 32) -> DataFrame:
-    """Add ``_salt`` so a two-step aggregate splits a hot key; the salt depends on row content only."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in rest or keys]), F.lit(parts)))
+def medians_within(df: DataFrame, keys: Sequence[str], columns: Sequence[str], tie: str, upper: bool = False) -> DataFrame:
+    """Exact median of each column per group from distributed ranks.
+
+    ``percentile`` would build the value map of a whole group in one task; here only the one or two
+    middle rows of a group are looked at. ``upper`` takes the upper of two middle values.
+    """
+    out = None
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    for column in columns:
+        ranked = rank_within(df.select(*keys, column, tie), keys, [F.asc(column), F.asc(tie)], "_rank").join(sizes, [*keys])
+        half = F.floor(F.col("_n") / 2)
+        middle = F.col("_rank") == half + 1
+        if not upper:
+            middle = middle | ((F.col("_n") % 2 == 0) & (F.col("_rank") == half))
+        one = ranked.filter(middle).groupBy(*keys).agg(F.avg(column).alias(f"median_{column}"))
+        out = one if out is None else out.join(one, [*keys])
+    return out
