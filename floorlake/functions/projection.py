@@ -60,11 +60,20 @@ def on_plane(cam: dict, u: Column, v: Column, height: float = 0.0, direction: tu
 
 
 def ground_positions(df: DataFrame, cam: dict, x0: str = "bx0", x1: str = "bx1", y1: str = "by1") -> DataFrame:
-    """Adds implied_x, implied_y: the floor point under a detection box, on the ray through its lower edge."""
-    d = ray(cam, (F.col(x0) + F.col(x1)) / 2, F.col(y1))
-    rays = df.withColumns({f"_ray{i}": c for i, c in enumerate(d)})
-    x, y = on_plane(cam, F.lit(0.0), F.lit(0.0), 0.0, tuple(F.col(f"_ray{i}") for i in range(3)))
-    return rays.withColumns({"implied_x": x, "implied_y": y}).drop("_ray0", "_ray1", "_ray2")
+    """Adds implied_x, implied_y and range_m: the floor point under a detection box.
+
+    The ray through the lower edge is left unnormalised: its component along the viewing direction
+    is then 1, so the distance factor is the depth itself.
+    """
+    px = ((F.col(x0) + F.col(x1)) - 1) * cam["tan_h"]
+    py = (1 - F.col(y1) * 2) * cam["tan_v"]
+    rays = df.withColumns({"_px": px, "_py": py})
+    rays = rays.withColumns({f"_ray{i}": cam["forward"][i] + cam["right"][i] * F.col("_px") + cam["up"][i] * F.col("_py") for i in range(3)})
+    level = F.abs("_ray2") < 1e-6 * F.sqrt(F.col("_ray0") ** 2 + F.col("_ray1") ** 2 + F.col("_ray2") ** 2)
+    rays = rays.withColumn("range_m", -cam["position"][2] / F.when(~level, F.col("_ray2")))
+    ahead = F.col("range_m") > 0
+    return rays.withColumns({"implied_x": F.when(ahead, cam["position"][0] + F.col("_ray0") * F.col("range_m")),
+                             "implied_y": F.when(ahead, cam["position"][1] + F.col("_ray1") * F.col("range_m"))}).drop("_px", "_py", "_ray0", "_ray1", "_ray2")
 
 
 def metres_per_pixel(cam: dict, depth: Column, height_px: int) -> Column:

@@ -211,9 +211,7 @@ def displacements(detections: DataFrame, viewpoints: DataFrame, reach: float = 1
     """
     joined = detections.join(viewpoints.select("viewpoint_id", "x", "y", "z", "yaw", "pitch_deg", "vfov_deg", "aspect"), "viewpoint_id")
     posed, cam = pj.with_camera(joined)
-    hit = pj.ground_positions(posed, cam).filter("implied_x IS NOT NULL")
-    depth = pj.project(cam, (F.col("implied_x"), F.col("implied_y"), F.lit(0.0)))[2]
-    ranged = hit.withColumn("range_m", F.coalesce(depth, F.lit(0.0))).filter((F.col("range_m") > 0) & (F.round("range_m", 9) <= reach))
+    ranged = pj.ground_positions(posed, cam).filter((F.col("range_m") > 1e-6) & (F.round("range_m", 9) <= reach))
     return ranged.select("viewpoint_id", "object_id", "implied_x", "implied_y", "range_m", (F.col("implied_x") - F.col("actual_x")).alias("off_x"), (F.col("implied_y") - F.col("actual_y")).alias("off_y"))
 
 
