@@ -51,21 +51,21 @@ def running_by_blocks(
     consecutive positions. Only block totals run across blocks, so a group of n rows needs tasks
     of ``block`` rows and one of n/block rows.
     """
-    df = df.withColumn("_block", F.floor(F.col(order) / F.lit(block)))
+    df = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(block)))
     df = df.withColumns({f"_in_{n}": column for n, (_, column) in measures.items()})
-    totals = df.groupBy(*keys, "_block").agg(
+    totals = df.groupBy(*keys, "_chunk").agg(
         *[getattr(F, how)(f"_in_{n}").alias(f"_shift_{n}") for n, (how, _) in measures.items()])
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumns({f"_shift_{n}": getattr(F, how)(f"_shift_{n}").over(before) for n, (how, _) in measures.items()})
-    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     out = df.withColumns({n: getattr(F, how)(f"_in_{n}").over(inside) for n, (how, _) in measures.items()})
-    out = out.join(totals, [*keys, "_block"])
+    out = out.join(totals, [*keys, "_chunk"])
     for name, (how, _) in measures.items():
         if how == "sum":
             out = out.withColumn(name, F.coalesce(name, F.lit(0)) + F.coalesce(f"_shift_{name}", F.lit(0)))
         else:
             out = out.withColumn(name, F.greatest(name, f"_shift_{name}"))
-    return out.drop("_block", *[f"_in_{n}" for n in measures], *[f"_shift_{n}" for n in measures])
+    return out.drop("_chunk", *[f"_in_{n}" for n in measures], *[f"_shift_{n}" for n in measures])
 
 
 def medians_within(df: DataFrame, keys: Sequence[str], columns: Sequence[str], tie: str, upper: bool = False) -> DataFrame:

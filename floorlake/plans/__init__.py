@@ -1,4 +1,4 @@
 """Runnable queries over the given tables."""
 
-from . import drawings, evaluation, fusion, graph, incremental, pixels, planning, rooms, runs, spatial  # noqa: F401
+from . import drawings, evaluation, fusion, graph, incremental, pixels, planning, rooms, runs, sources, spatial  # noqa: F401
 from .registry import COVERS, ORACLES, QUERIES, oracle_sql  # noqa: F401
