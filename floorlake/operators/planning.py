@@ -24,7 +24,7 @@ PLAN_LIMIT = 24
 
 
 def clamp(value: Column, low, high) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
 def planned_findings(findings: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..dims import catalog, define, patterns
+from ..dims import define, patterns
 from ..fixtures import FX, fx
 from ..functions import coerce, geometry as g, text as tx
 from ..operators import drawings as dr
@@ -307,4 +307,3 @@ def mirrored_points(spark, sf_dir):
     return dr.mirrored_to_world(rows, ["sx", "ex"]).select("entity_id", "sx", "sy")
 
 
-assert catalog.OBJECTS

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..dims.rooms import ROOM_PRIORS
 from ..fixtures import FX, fx
-from ..functions import text as tx
 from ..operators import appearance as ap
 from ..operators import rooms as rm
 from ..operators import spatial as sp
@@ -379,4 +378,3 @@ def furnishing_targets(spark, sf_dir):
     return ap.furnishing_targets(fx(spark, sf_dir, "fx_rooms"), fx(spark, sf_dir, "fx_placed").filter("object_id % 997 = 0"), fx(spark, sf_dir, "fx_lights").filter("light_id % 77 = 0"))
 
 
-assert tx.VOCABULARIES
