@@ -46,12 +46,14 @@ def assign_regions(points: DataFrame, point_key: str, regions: DataFrame, tolera
     Returns point_key, room_id, weight, distance, inside for the points that found a region.
     """
     x0, y0, x1, y1 = polygon_bounds(F.col("polygon"))
-    reach = with_cells(regions.select(BUILDING, "room_id", "polygon", F.col(by).alias("_by")),
-                       x0 - tolerance, y0 - tolerance, x1 + tolerance, y1 + tolerance, cell)
+    boxed = regions.select(BUILDING, "room_id", "polygon", F.col(by).alias("_by"), (x0 - tolerance).alias("_bx0"), (y0 - tolerance).alias("_by0"), (x1 + tolerance).alias("_bx1"), (y1 + tolerance).alias("_by1"))
+    reach = with_cells(boxed, F.col("_bx0"), F.col("_by0"), F.col("_bx1"), F.col("_by1"), cell)
     slim = point_cell(points.select(BUILDING, point_key, F.col("x").alias("_x"), F.col("y").alias("_y")), "_x", "_y", cell)
-    pairs = slim.join(reach, [BUILDING, "_cx", "_cy"]).select(
-        point_key, "room_id", "_by", g.in_polygon("_x", "_y", F.col("polygon")).alias("_inside"),
-        F.round(g.polygon_distance("_x", "_y", F.col("polygon")), 9).alias("_distance"))
+    boxes = F.col("_x").between(F.col("_bx0") - 1e-9, F.col("_bx1") + 1e-9) & F.col("_y").between(F.col("_by0") - 1e-9, F.col("_by1") + 1e-9)
+    pairs = slim.join(reach, [BUILDING, "_cx", "_cy"]).filter(boxes).select(
+        point_key, "room_id", "_by", "polygon", "_x", "_y", g.in_polygon("_x", "_y", F.col("polygon")).alias("_inside"))
+    # The distance only matters outside, and every region outside the reach has been cut by its cells.
+    pairs = pairs.withColumn("_distance", F.when(F.col("_inside"), 0.0).otherwise(F.round(g.polygon_distance("_x", "_y", F.col("polygon")), 9))).drop("polygon", "_x", "_y")
     near = F.col("_distance") < tolerance if strict else F.col("_distance") <= tolerance
     candidate = F.struct(
         F.when(F.col("_inside"), 0).otherwise(1).alias("tier"),
@@ -159,11 +161,12 @@ def supersede(authoritative: DataFrame, observed: DataFrame, observed_key: str,
 FOOTPRINT = ["x", "y", "width", "depth", "rotation_deg"]
 
 
-def footprint_pairs(left: DataFrame, right: DataFrame, keys: list[str], halo: float = 0.0, cell: float = 1.0) -> DataFrame:
+def footprint_pairs(left: DataFrame, right: DataFrame, keys: list[str], halo: float = 0.0, cell: float = 2.0, once: str | None = None) -> DataFrame:
     """Candidate pairs whose footprint bounds come within ``halo``; columns prefixed ``a_`` and ``b_``.
 
     A pair meets in every cell both touch but is emitted only in the cell holding the lower corner
-    of the common area, so no duplicate has to be removed by a shuffle.
+    of the common area, so no duplicate has to be removed by a shuffle. ``once`` names an id of which
+    the left must be the smaller, for a table joined with itself.
     """
 
     def side(df: DataFrame, prefix: str, grow: float) -> DataFrame:
@@ -176,6 +179,8 @@ def footprint_pairs(left: DataFrame, right: DataFrame, keys: list[str], halo: fl
     a, b = side(left, "a_", halo), side(right, "b_", 0.0)
     pairs = a.join(b, [*keys, "_cx", "_cy"])
     lowx, lowy = F.greatest("a__x0", "b__x0"), F.greatest("a__y0", "b__y0")
+    if once:
+        pairs = pairs.filter(F.col(f"a_{once}") < F.col(f"b_{once}"))
     return pairs.filter(
         (lowx <= F.least("a__x1", "b__x1")) & (lowy <= F.least("a__y1", "b__y1"))
         & (F.col("_cx") == F.floor(lowx / cell)) & (F.col("_cy") == F.floor(lowy / cell)))

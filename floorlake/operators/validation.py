@@ -80,7 +80,7 @@ def check_support(objects: DataFrame, catalog: DataFrame) -> DataFrame:
 def check_ceiling(placed: DataFrame) -> DataFrame:
     excess = F.col("z") + F.col("height") - F.col("ceiling_height")
     high = placed.withColumn("_excess", excess).filter(_more(F.col("_excess"), 0.01))
-    trim = (F.col("support") == "floor") & (F.round(F.col("_excess") - F.col("height") * 0.4, 9) < 0)
+    trim = (F.col("support") == "floor") & (F.col("_excess") - F.col("height") * 0.4 < -5e-10)
     return _issue(high.filter(trim), "through_ceiling", "warning", True).unionByName(
         _issue(high.filter(~trim), "through_ceiling", "error", False))
 
@@ -109,18 +109,18 @@ def wall_crossings(objects: DataFrame, walls: DataFrame) -> DataFrame:
 
 
 def _more(value: Column, limit: float) -> Column:
-    """Compare after rounding to a nanometre, so a measure that equals the limit on paper is not over it."""
-    return F.round(value, 9) > limit
+    """Greater by more than half a nanometre, so a measure that equals the limit on paper is not over it."""
+    return value > limit + 5e-10
 
 
 def collisions(objects: DataFrame) -> DataFrame:
     """Pairs of footprints that penetrate each other by more than the tolerance."""
     usable = objects.filter(F.col("support").isin("floor", "on_object") & ~degenerate()).select(
         *KEYS, "object_id", "support_id", "x", "y", "z", "width", "depth", "height", "rotation_deg")
-    pairs = footprint_pairs(usable, usable, KEYS)
+    pairs = footprint_pairs(usable, usable, KEYS, once="object_id")
     stacked = F.coalesce(F.col("a_support_id") == F.col("b_object_id"), F.lit(False)) | F.coalesce(F.col("b_support_id") == F.col("a_object_id"), F.lit(False))
     level = _more(F.least(F.col("a_z") + F.col("a_height"), F.col("b_z") + F.col("b_height")) - F.greatest("a_z", "b_z"), 0.02)
-    hit = pairs.filter((F.col("a_object_id") < F.col("b_object_id")) & ~stacked & level).withColumn("penetration", F.round(g.rect_overlap("a_", "b_"), 9))
+    hit = pairs.filter(~stacked & level).withColumn("penetration", F.round(g.rect_overlap("a_", "b_"), 9))
     return hit.filter(_more(F.col("penetration"), OVERLAP_TOLERANCE)).select(*KEYS, "a_object_id", "b_object_id", "penetration")
 
 
@@ -152,9 +152,9 @@ def obstacles(objects: DataFrame) -> DataFrame:
 def narrow_gaps(objects: DataFrame, width: float = MIN_CIRCULATION) -> DataFrame:
     solid = obstacles(objects).filter(F.col("width") * F.col("depth") >= OBSTACLE_FOOTPRINT).select(
         *KEYS, "object_id", "x", "y", "width", "depth", "rotation_deg")
-    pairs = footprint_pairs(solid, solid, KEYS, halo=width).filter("a_object_id < b_object_id")
+    pairs = footprint_pairs(solid, solid, KEYS, halo=width, once="object_id")
     apart = pairs.filter(~_more(g.rect_overlap("a_", "b_"), 0.0)).withColumn("gap", F.round(g.rect_gap("a_", "b_"), 9))
-    return apart.filter(_more(F.col("gap"), 1e-6) & (F.round("gap", 9) < width)).select(*KEYS, "a_object_id", "b_object_id", "gap")
+    return apart.filter(_more(F.col("gap"), 1e-6) & (F.col("gap") < width - 5e-10)).select(*KEYS, "a_object_id", "b_object_id", "gap")
 
 
 def blocked_doors(objects: DataFrame, openings: DataFrame, rooms: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def corrected_columns(placed: DataFrame) -> DataFrame:
     dropped = moved.withColumn("new_z", F.when((F.col("support") == "floor") & _more(F.abs("z"), FLOAT_TOLERANCE), 0.0)
                                .when(F.col("support").isin("wall", "ceiling") & (F.col("z") < 0), 0.0).otherwise(F.col("z")))
     excess = F.col("new_z") + F.col("_h") - F.col("ceiling_height")
-    trim = (F.col("support") == "floor") & _more(excess, 0.01) & (F.round(excess - F.col("_h") * 0.4, 9) < 0)
+    trim = (F.col("support") == "floor") & _more(excess, 0.01) & ((excess - F.col("_h") * 0.4 < -5e-10))
     return dropped.withColumn("new_height", F.when(trim, F.col("_h") - excess - 0.02).otherwise(F.col("_h"))).withColumn(
         "new_x", F.col("_p.x")).withColumn("new_y", F.col("_p.y")).drop("_h", "_p")
 
