@@ -39,4 +39,4 @@ def dim(spark: SparkSession, name: str) -> DataFrame:
     return spark.sql(values_sql(name))
 
 
-from . import assets, catalog, furnishing, patterns, planning, rooms, scoring  # noqa: E402,F401
+from . import assets, catalog, furnishing, images, patterns, planning, rooms, scoring  # noqa: E402,F401
