@@ -158,9 +158,9 @@ d AS (SELECT o.building_id, r.room_id, opening_id, o.x AS ox, o.y AS oy, GREATES
 z AS (SELECT building_id, room_id, opening_id, ox + COS(h)*0.45e0 AS x, oy + SIN(h)*0.45e0 AS y, width, depth, DEGREES(h) - 90e0 AS rotation_deg FROM d),
 zc AS (SELECT *, {corners_sql('')} AS c FROM z),
 p AS (SELECT a.building_id, a.room_id, opening_id, object_id, {overlap_sql('a.c', 'b.c', 'a.rotation_deg', 'b.rotation_deg')} AS penetration FROM zc a JOIN f b ON a.building_id = b.building_id AND a.room_id = b.room_id AND {near_sql('a.', 'b.')})
-SELECT building_id, room_id, opening_id, object_id, RND(penetration,6) AS penetration FROM p WHERE penetration > 0.02e0""")
+SELECT building_id, room_id, opening_id, object_id, RND(penetration,4) AS penetration FROM p WHERE penetration > 0.02e0""")
 def blocked_doors(spark, sf_dir):
-    return rounded(va.blocked_doors(placed(spark, sf_dir), openings(spark, sf_dir), regions(spark, sf_dir)), 6, "penetration")
+    return rounded(va.blocked_doors(placed(spark, sf_dir), openings(spark, sf_dir), regions(spark, sf_dir)), 4, "penetration")
 
 
 CROSS = "CASE WHEN ABS(({1}.y-{0}.y)*({2}.x-{1}.x)-({1}.x-{0}.x)*({2}.y-{1}.y)) < 1e-12 THEN 0 WHEN ({1}.y-{0}.y)*({2}.x-{1}.x)-({1}.x-{0}.x)*({2}.y-{1}.y) > 0 THEN 1 ELSE 2 END"
