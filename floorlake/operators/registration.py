@@ -193,7 +193,7 @@ def accept(found: DataFrame, sheets: DataFrame, candidate_rows: DataFrame) -> Da
     staged = staged.withColumn("_lands", F.coalesce(lands, F.lit(False))).join(single, SHEET, "left")
     width, depth = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     span = F.greatest(width, depth)
-    # The single-anchor offset subtracts scale x v on both axes, as registrations of this kind have always been stored.
+    # The single-anchor y offset subtracts scale x v although v runs downwards; kept so that stored results agree.
     method = F.when(F.col("_lands"), "label_consensus").when(F.col("_s").isNotNull() & (span > 0), "single_anchor").otherwise("plan_bounds")
     choose = lambda a, b, c: F.when(F.col("method") == "label_consensus", a).when(F.col("method") == "single_anchor", b).otherwise(c)
     zero = F.lit(0.0)
