@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import round_trip_digests
 from .jaccard import jaccard_components
+from .packing import pack_documents
+from .tokenfile import token_file_documents
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -32,14 +36,19 @@ def _query(name: str, oracle: str | None = None) -> Callable[[Builder], Builder]
     return register
 
 
+@_query("op2_bpe_round_trip")
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 _JACCARD = f"""
 WITH RECURSIVE words AS (SELECT doc_id, {_WORDS.format(_FOLDED)} AS w FROM documents),
 sets AS (
   SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)])
                              WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
 sizes AS (SELECT doc_id, count(s) AS n FROM documents LEFT JOIN sets USING (doc_id) GROUP BY doc_id),
-pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
-links AS (SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * both >= 80 * (p.n + q.n - both)),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * shared >= 80 * (p.n + q.n - shared)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
 SELECT doc_id, n AS n_shingles, min(b) AS component_id FROM reach JOIN sizes ON doc_id = a GROUP BY ALL
 """
@@ -48,3 +57,13 @@ SELECT doc_id, n AS n_shingles, min(b) AS component_id FROM reach JOIN sizes ON
 @_query("op4_ngram_jaccard", _JACCARD)
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@_query("op6_token_files")
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+@_query("op7_packing")
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
