@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .archive import archived_pages
 from .bpe import round_trip_digests
+from .forest import vector_components
 from .jaccard import jaccard_components
 from .packing import pack_documents
 from .tokenfile import token_file_documents
@@ -83,3 +84,8 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_packing")
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+@_query("op10_embedding_near_dedup")
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_components(table(spark, sf_dir, "embeddings"))
