@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .archive import archived_pages
 from .bpe import round_trip_digests
 from .forest import vector_components
+from .grades import quality_grades
 from .jaccard import jaccard_components
 from .packing import pack_documents
 from .tokenfile import token_file_documents
+from .toxicity import toxicity_scores
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -89,3 +91,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_embedding_near_dedup")
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_components(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op8_quality_grades")
+def op8_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_grades(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
