@@ -242,7 +242,9 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], [f.split(" ")[0] for f in schema.split(", ")])
                         k = to
 
-    return manifest.repartition("path").mapInArrow(read, schema)
+    # One task per shuffle partition, however few bytes the manifest has.
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.repartition(tasks, "path").mapInArrow(read, schema)
 
 
 def archived_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:

@@ -12,6 +12,8 @@ from .bpe import round_trip_digests
 from .forest import vector_components
 from .grades import quality_grades
 from .jaccard import jaccard_components
+from .licenses import TEMPLATES, license_scans
+from .outliers import quality_rules
 from .packing import pack_documents
 from .tokenfile import token_file_documents
 from .toxicity import toxicity_scores
@@ -40,6 +42,27 @@ def _query(name: str, oracle: str | None = None) -> Callable[[Builder], Builder]
     return register
 
 
+_NORMAL = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
+_LICENSES = f"""
+WITH t(license_id, text) AS (VALUES {", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in pair) + ")" for pair in TEMPLATES.items())}),
+lined AS (SELECT doc_id, string_split({_NORMAL.format("text")}, chr(10)) AS lines FROM documents),
+units AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS line, unnest(lines) AS unit FROM lined
+          UNION ALL SELECT doc_id, 0, array_to_string(lines, ' ') FROM lined WHERE len(lines) > 1),
+uw AS (SELECT doc_id, line, list_filter(string_split(unit, ' '), lambda x: x <> '') AS w FROM units),
+tw AS (SELECT license_id, list_filter(string_split({_NORMAL.format("text")}, ' '), lambda x: x <> '') AS w FROM t),
+ub AS (SELECT doc_id, line, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS b FROM uw),
+tb AS (SELECT license_id, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS p FROM tw),
+m AS (SELECT doc_id, line, license_id, len(list_intersect(b, p)) AS overlap, 2 * len(list_intersect(b, p)) / (len(b) + len(p)) AS dice
+      FROM ub JOIN tb ON 6 * len(b) >= 4 * len(p) AND 4 * len(b) <= 6 * len(p))
+SELECT doc_id, line::INT AS line, license_id, overlap::INT AS overlap, dice FROM m WHERE dice >= 0.8 - 1e-12
+"""
+
+
+@_query("op1_license_scans", _LICENSES)
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scans(table(spark, sf_dir, "documents"))
+
+
 @_query("op2_bpe_round_trip")
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -101,3 +124,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_quality_grades")
 def op8_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_grades(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op9_quality_rules")
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))

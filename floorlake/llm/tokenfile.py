@@ -249,7 +249,9 @@ def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, [f.split(" ")[0] for f in schema.split(", ")])
 
-    return starts.repartition("shard", "segment").mapInArrow(read, schema)
+    # One task per shuffle partition, however few bytes the manifest has.
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return starts.repartition(tasks, "shard", "segment").mapInArrow(read, schema)
 
 
 def token_file_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None) -> DataFrame:
