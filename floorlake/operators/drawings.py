@@ -124,11 +124,11 @@ def select_walls(segments: DataFrame, wanted_layers: list[str]) -> DataFrame:
 
 
 def distinct_segments(segments: DataFrame) -> DataFrame:
-    """One row per unordered pair of end points; the smallest entity id stays."""
+    """One row per drawing and unordered pair of end points; the smallest entity id stays."""
     a, b = g.point("sx", "sy"), g.point("ex", "ey")
     keyed = segments.withColumns({"_a": F.least(a, b), "_b": F.greatest(a, b)})
-    keep = keyed.groupBy(DRAWING, "_a", "_b").agg(F.min("entity_id").alias("entity_id")).select("entity_id")
-    return segments.join(keep, "entity_id", "left_semi")
+    kept = F.min(F.struct("entity_id", *[c for c in segments.columns if c not in (DRAWING, "entity_id")])).alias("s")
+    return keyed.groupBy(DRAWING, "_a", "_b").agg(kept).select(DRAWING, "s.*").select(segments.columns)
 
 
 def polyline_segments(polylines: DataFrame) -> DataFrame:

@@ -46,19 +46,25 @@ def rejected_targets(edits: DataFrame, objects: DataFrame, lights: DataFrame, ro
 
 def remove_objects(objects: DataFrame, edits: DataFrame) -> DataFrame:
     """Objects without the removed ones and everything that rested on them."""
-    wanted = edits.filter("op = 'remove_objects'").select(F.col("target_id").try_cast("long").alias("object_id")).join(objects.select("object_id"), "object_id", "left_semi")
-    gone = cascade(wanted, objects.filter("support_id IS NOT NULL").select("object_id", "support_id"))
-    return objects.join(gone, "object_id", "left_anti")
+    key = [BUILDING, "object_id"]
+    wanted = edits.filter("op = 'remove_objects'").select(BUILDING, F.col("target_id").try_cast("long").alias("object_id")).join(objects.select(*key), key, "left_semi")
+    gone = cascade(wanted, objects.filter("support_id IS NOT NULL").select(*key, "support_id"), (BUILDING,))
+    return objects.join(gone, key, "left_anti")
 
 
 def keep_uncertain(objects: DataFrame, edits: DataFrame) -> DataFrame:
-    kept = edits.filter("op = 'keep_objects'").select(F.col("target_id").try_cast("long").alias("object_id"), F.lit(True).alias("_kept")).distinct()
-    joined = objects.join(kept, "object_id", "left")
+    kept = edits.filter("op = 'keep_objects'").select(BUILDING, F.col("target_id").try_cast("long").alias("object_id"), F.lit(True).alias("_kept")).distinct()
+    joined = objects.join(kept, [BUILDING, "object_id"], "left")
     confirmed = F.coalesce(F.col("_kept") & F.col("uncertain"), F.lit(False))
     return joined.withColumn("flags", F.when(confirmed, F.array_append("flags", F.lit("confirmed_by_user"))).otherwise(F.col("flags"))).withColumn(
         "uncertain", F.col("uncertain") & ~confirmed).drop("_kept")
 
 
+def last_value(edits: DataFrame, value: str = "value") -> Column:
+    """The value given last, by the edits' ``ordinal``. Edits without that column must give one value a key."""
+    return F.max_by(value, "ordinal") if "ordinal" in edits.columns else F.max(value)
+
+
 def strict_material(raw: Column) -> Column:
     found = tx.normalise_term(raw, "material")
     return F.when(raw.isNull() | (F.trim(raw) == "") | ((found == "unknown") & (F.lower(F.trim(raw)) != "unknown")), None).otherwise(found)
@@ -77,9 +83,9 @@ def override_appearance(objects: DataFrame, edits: DataFrame) -> tuple[DataFrame
     """
     spark = objects.sparkSession
     keys = ["category", "material", "color_hex", "asset"]
-    wide = edits.filter("op = 'object_overrides'").filter(F.col("key").isin(*keys)).groupBy(F.col("target_id").try_cast("long").alias("object_id")).pivot("key", keys).agg(F.max("value"))
-    wide = wide.select("object_id", *[F.col(k).alias(f"_{k}") for k in keys])
-    staged = objects.join(wide, "object_id", "left").withColumns({"_nc": tx.normalise_term(F.col("_category"), "category"), "_nm": strict_material(F.col("_material")), "_nh": strict_hex(F.col("_color_hex"))})
+    wide = edits.filter("op = 'object_overrides'").filter(F.col("key").isin(*keys)).groupBy(BUILDING, F.col("target_id").try_cast("long").alias("object_id")).pivot("key", keys).agg(last_value(edits))
+    wide = wide.select(BUILDING, "object_id", *[F.col(k).alias(f"_{k}") for k in keys])
+    staged = objects.join(wide, [BUILDING, "object_id"], "left").withColumns({"_nc": tx.normalise_term(F.col("_category"), "category"), "_nm": strict_material(F.col("_material")), "_nh": strict_hex(F.col("_color_hex"))})
     staged = staged.withColumn("category", F.coalesce("_nc", "category"))
     variants = F.broadcast(dim(spark, "dim_assets").select("category", F.col("asset").alias("_asset"), F.lit(True).alias("_fits")))
     staged = staged.join(variants, ["category", "_asset"], "left")
@@ -96,8 +102,8 @@ def override_appearance(objects: DataFrame, edits: DataFrame) -> tuple[DataFrame
 def override_lights(lights: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Kind, temperature (1500..10000 K) and power (0..5000 W) of lights; an edited light is certain."""
     keys = ["kind", "color_temperature_k", "power_w"]
-    wide = edits.filter("op = 'light_overrides'").filter(F.col("key").isin(*keys)).groupBy(F.col("target_id").try_cast("long").alias("light_id")).pivot("key", keys).agg(F.max("value"))
-    staged = lights.join(wide.select("light_id", *[F.col(k).alias(f"_{k}") for k in keys]), "light_id", "left").withColumns({
+    wide = edits.filter("op = 'light_overrides'").filter(F.col("key").isin(*keys)).groupBy(BUILDING, F.col("target_id").try_cast("long").alias("light_id")).pivot("key", keys).agg(last_value(edits))
+    staged = lights.join(wide.select(BUILDING, "light_id", *[F.col(k).alias(f"_{k}") for k in keys]), [BUILDING, "light_id"], "left").withColumns({
         "_nk": tx.normalise_term(F.col("_kind"), "light"), "_kt": F.col("_color_temperature_k").try_cast("double"), "_pw": F.col("_power_w").try_cast("double")})
     bad = lambda key, ok: staged.filter(F.col(f"_{key}").isNotNull() & ok.isNull()).select(
         BUILDING, F.lit("light_overrides").alias("op"), F.col("light_id").cast("string").alias("target_id"), F.lit(key).alias("key"), F.col(f"_{key}").alias("value"), F.lit(f"{key} not recognised").alias("reason"))
@@ -114,11 +120,11 @@ def override_finishes(finishes: DataFrame, edits: DataFrame) -> tuple[DataFrame,
     """``finishes``: building_id, room_id, surface, material, color_hex, roughness, confidence.
     ``edits``: key = 'surface.field'. A new material brings its catalog shading; edited finishes are certain."""
     spark = finishes.sparkSession
-    rows = edits.filter("op = 'room_finishes'").select("target_id", F.substring_index("key", ".", 1).alias("surface"), F.substring_index("key", ".", -1).alias("_f"), "value")
-    wide = rows.groupBy(F.col("target_id").try_cast("long").alias("room_id"), "surface").pivot("_f", ["material", "color_hex", "roughness"]).agg(F.max("value"))
-    wide = wide.select("room_id", "surface", F.col("material").alias("_m"), F.col("color_hex").alias("_h"), F.col("roughness").alias("_r"))
+    rows = edits.filter("op = 'room_finishes'").withColumns({"surface": F.substring_index("key", ".", 1), "_f": F.substring_index("key", ".", -1)})
+    wide = rows.groupBy(BUILDING, F.col("target_id").try_cast("long").alias("room_id"), "surface").pivot("_f", ["material", "color_hex", "roughness"]).agg(last_value(edits))
+    wide = wide.select(BUILDING, "room_id", "surface", F.col("material").alias("_m"), F.col("color_hex").alias("_h"), F.col("roughness").alias("_r"))
     shading = F.broadcast(dim(spark, "dim_materials").select(F.col("material").alias("_nm"), F.col("roughness").alias("_mr")))
-    staged = finishes.join(wide, ["room_id", "surface"], "left").withColumns({"_nm": strict_material(F.col("_m")), "_nh": strict_hex(F.col("_h")), "_nr": F.col("_r").try_cast("double")}).join(shading, "_nm", "left")
+    staged = finishes.join(wide, [BUILDING, "room_id", "surface"], "left").withColumns({"_nm": strict_material(F.col("_m")), "_nh": strict_hex(F.col("_h")), "_nr": F.col("_r").try_cast("double")}).join(shading, "_nm", "left")
     refused = (F.col("_m").isNotNull() & F.col("_nm").isNull()) | (F.col("_h").isNotNull() & F.col("_nh").isNull())
     touched = F.coalesce("_m", "_h", "_r").isNotNull() & ~refused
     rejected = staged.filter(refused).select(BUILDING, F.lit("room_finishes").alias("op"), F.col("room_id").cast("string").alias("target_id"), F.col("surface").alias("key"), F.coalesce("_m", "_h").alias("value"), F.lit("finish not recognised").alias("reason"))
@@ -130,8 +136,9 @@ def override_finishes(finishes: DataFrame, edits: DataFrame) -> tuple[DataFrame,
 
 
 def override_room_types(rooms: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    wanted = edits.filter("op = 'room_types'").select(F.col("target_id").try_cast("long").alias("room_id"), F.replace(F.lower(F.trim("value")), F.lit(" "), F.lit("_")).alias("_t"), "value")
-    staged = rooms.join(wanted.groupBy("room_id").agg(F.max("_t").alias("_t"), F.max("value").alias("_v")), "room_id", "left")
+    wanted = edits.filter("op = 'room_types'").withColumns({"room_id": F.col("target_id").try_cast("long"), "_t": F.replace(F.lower(F.trim("value")), F.lit(" "), F.lit("_"))})
+    wanted = wanted.groupBy(BUILDING, "room_id").agg(last_value(edits, "_t").alias("_t"), last_value(edits).alias("_v"))
+    staged = rooms.join(wanted, [BUILDING, "room_id"], "left")
     good = F.col("_t").isin(*ROOM_TYPES)
     rejected = staged.filter(F.col("_t").isNotNull() & ~good).select(BUILDING, F.lit("room_types").alias("op"), F.col("room_id").cast("string").alias("target_id"), F.lit("").alias("key"), F.col("_v").alias("value"), F.lit("not a known room type").alias("reason"))
     return staged.withColumn("room_type", F.when(good, F.col("_t")).otherwise(F.col("room_type"))).drop("_t", "_v"), rejected

@@ -98,13 +98,14 @@ def implied_relationships(objects: DataFrame, explicit: DataFrame) -> DataFrame:
     scope = lambda category: F.concat_ws("|", F.col(BUILDING).cast("string"), F.col("room_id").cast("string"), category)
     present = objects.select(BUILDING, "room_id", F.col("category").alias("object_category")).distinct()
     wanted = objects.withColumnRenamed("category", "subject_category").join(rules, "subject_category").join(present, [BUILDING, "room_id", "object_category"])
-    first = wanted.groupBy("object_id", "predicate").agg(F.min(F.struct("rule_no", "object_category", BUILDING, "room_id", "x", "y")).alias("r"))
-    open_ones = first.join(explicit.select(F.col("subject_id").alias("object_id"), "predicate").distinct(), ["object_id", "predicate"], "left_anti")
-    points = open_ones.select("object_id", "predicate", F.col(f"r.{BUILDING}").alias(BUILDING), F.col("r.room_id").alias("room_id"), F.col("r.object_category").alias("object_category"), F.col("r.x").alias("x"), F.col("r.y").alias("y"))
+    first = wanted.groupBy(BUILDING, "object_id", "predicate").agg(F.min(F.struct("rule_no", "object_category", "room_id", "x", "y")).alias("r"))
+    told = [*([BUILDING] if BUILDING in explicit.columns else []), "object_id", "predicate"]
+    open_ones = first.join(explicit.withColumn("object_id", F.col("subject_id")).select(*told).distinct(), told, "left_anti")
+    points = open_ones.select("object_id", "predicate", BUILDING, F.col("r.room_id").alias("room_id"), F.col("r.object_category").alias("object_category"), F.col("r.x").alias("x"), F.col("r.y").alias("y"))
     keyed = points.withColumn(BUILDING, scope(F.col("object_category"))).withColumn("point_id", F.concat_ws("|", F.col("object_id").cast("string"), "predicate"))
     targets = objects.withColumn(BUILDING, scope(F.col("category"))).select(BUILDING, F.col("object_id").alias("target_id"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("x").alias("ex"), F.col("y").alias("ey"))
     found = nearest_segment(keyed, "point_id", targets, "target_id")
-    return keyed.join(found, "point_id").filter("object_id <> target_id").select(F.col("object_id").alias("subject_id"), "predicate", F.col("target_id").alias("object_id"), F.lit(IMPLIED_CONFIDENCE).alias("confidence"))
+    return keyed.join(found, [BUILDING, "point_id"]).filter("object_id <> target_id").select(F.col("object_id").alias("subject_id"), "predicate", F.col("target_id").alias("object_id"), F.lit(IMPLIED_CONFIDENCE).alias("confidence"))
 
 
 def drop_conflicting(relationships: DataFrame) -> DataFrame:
@@ -126,7 +127,7 @@ def number_instances(objects: DataFrame, keys: list[str], order: list[Column]) -
 #
 # Greedy suppression and greedy attachment depend on what was kept before. Rows are hash
 # partitioned by group, sorted by Spark and streamed through one pass that holds only the boxes or
-# clusters kept so far - never a whole group - so groups of any length run in constant memory.
+# clusters kept so far, so memory grows with those of one group, not with its rows.
 
 
 def suppress_overlaps(boxes: DataFrame, keys: list[str], threshold: float = MERGE_IOU) -> DataFrame:
@@ -144,7 +145,7 @@ def suppress_overlaps(boxes: DataFrame, keys: list[str], threshold: float = MERG
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, kept = None, np.empty((0, 4))
         for pdf in batches:
-            names = list(pdf[keys].itertuples(index=False, name=None))
+            names = _group_names(pdf[keys])
             found = pdf[corners].to_numpy(float)
             keep = np.zeros(len(pdf), bool)
             for i, (name, box) in enumerate(zip(names, found)):
@@ -158,6 +159,11 @@ def suppress_overlaps(boxes: DataFrame, keys: list[str], threshold: float = MERG
     return ordered.mapInPandas(fold, ordered.schema)
 
 
+def _group_names(keys: pd.DataFrame) -> list[tuple]:
+    """Group keys that compare equal where both are null: pandas turns nulls into values that differ from themselves."""
+    return list(keys.astype(object).where(keys.notna(), None).itertuples(index=False, name=None))
+
+
 def _iou(kept: np.ndarray, box: np.ndarray) -> np.ndarray:
     side = np.clip(np.minimum(kept[:, 2:], box[2:]) - np.maximum(kept[:, :2], box[:2]), 0, None)
     shared = side.prod(axis=1)
@@ -192,7 +198,7 @@ def fuse_objects(observed: DataFrame, keys: list[str], threshold: float = MERGE_
         current, image, clusters, taken = None, None, [], set()
         for pdf in batches:
             out = np.zeros(len(pdf), "int64")
-            names = list(pdf[group].itertuples(index=False, name=None))
+            names = _group_names(pdf[group])
             looks = list(zip(pdf["_r"], pdf["_g"], pdf["_b"], pdf["_material"], pdf["_bucket"], pdf["_words"]))
             for i, (name, img, later, look) in enumerate(zip(names, pdf["image_id"], pdf["_later"], looks)):
                 if name != current:

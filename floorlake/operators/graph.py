@@ -86,17 +86,18 @@ def cluster_points(points: DataFrame, radius: float = CLUSTER_RADIUS) -> DataFra
         F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("points"))
 
 
-def cascade(removed: DataFrame, supports: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """Everything resting, directly or not, on something removed. ``supports``: object_id, support_id."""
-    gone = cut_lineage(removed.select("object_id").distinct())
-    frontier = gone
-    for _ in range(max_rounds):
-        above = supports.join(frontier.withColumnRenamed("object_id", "support_id"), "support_id", "left_semi").select("object_id").distinct()
-        frontier = cut_lineage(above.join(gone, "object_id", "left_anti"))
-        if frontier.isEmpty():
-            return gone
-        gone = cut_lineage(gone.union(frontier))
-    raise RuntimeError("cascade did not settle; raise max_rounds")
+def cascade(removed: DataFrame, supports: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Everything resting, directly or not, on something removed. ``supports``: keys, object_id, support_id.
+
+    ``keys`` (the building) go with every id. Each round writes its new rows only; it ends when there are none,
+    which is at the latest after the longest chain of supports.
+    """
+    gone = frontier = cut_lineage(removed.select(*keys, "object_id").distinct())
+    while not frontier.isEmpty():
+        above = supports.join(frontier.withColumnRenamed("object_id", "support_id"), [*keys, "support_id"], "left_semi").select(*keys, "object_id").distinct()
+        frontier = cut_lineage(above.join(gone, [*keys, "object_id"], "left_anti"))
+        gone = gone.union(frontier)
+    return gone
 
 
 def carry_children(moves: DataFrame, objects: DataFrame, max_rounds: int = 200) -> DataFrame:

@@ -43,7 +43,8 @@ def assign_regions(points: DataFrame, point_key: str, regions: DataFrame, tolera
 
     ``regions``: building, room_id, polygon, area. Among containing regions the smallest ``by`` wins
     (``area``, or ``room_id`` for first-declared). Weight is 1 inside, 1 - 0.5 d/tolerance outside.
-    Returns point_key, room_id, weight, distance, inside for the points that found a region.
+    Returns building, point_key, room_id, weight, distance, inside for the points that found a region; point
+    keys need only be unique within their building.
     """
     x0, y0, x1, y1 = polygon_bounds(F.col("polygon"))
     boxed = regions.select(BUILDING, "room_id", "polygon", F.col(by).alias("_by"), (x0 - tolerance).alias("_bx0"), (y0 - tolerance).alias("_by0"), (x1 + tolerance).alias("_bx1"), (y1 + tolerance).alias("_by1"))
@@ -51,7 +52,7 @@ def assign_regions(points: DataFrame, point_key: str, regions: DataFrame, tolera
     slim = point_cell(points.select(BUILDING, point_key, F.col("x").alias("_x"), F.col("y").alias("_y")), "_x", "_y", cell)
     boxes = F.col("_x").between(F.col("_bx0") - 1e-9, F.col("_bx1") + 1e-9) & F.col("_y").between(F.col("_by0") - 1e-9, F.col("_by1") + 1e-9)
     pairs = slim.join(reach, [BUILDING, "_cx", "_cy"]).filter(boxes).select(
-        point_key, "room_id", "_by", "polygon", "_x", "_y", g.in_polygon("_x", "_y", F.col("polygon")).alias("_inside"))
+        BUILDING, point_key, "room_id", "_by", "polygon", "_x", "_y", g.in_polygon("_x", "_y", F.col("polygon")).alias("_inside"))
     # The distance only matters outside, and every region outside the reach has been cut by its cells.
     pairs = pairs.withColumn("_distance", F.when(F.col("_inside"), 0.0).otherwise(F.round(g.polygon_distance("_x", "_y", F.col("polygon")), 9))).drop("polygon", "_x", "_y")
     near = F.col("_distance") < tolerance if strict else F.col("_distance") <= tolerance
@@ -59,10 +60,10 @@ def assign_regions(points: DataFrame, point_key: str, regions: DataFrame, tolera
         F.when(F.col("_inside"), 0).otherwise(1).alias("tier"),
         F.when(F.col("_inside"), F.col("_by").cast("double")).otherwise(F.col("_distance")).alias("order"),
         F.col("room_id").alias("room_id"), F.col("_distance").alias("distance"))
-    best = pairs.filter(F.col("_inside") | near).groupBy(point_key).agg(F.min(candidate).alias("b"))
+    best = pairs.filter(F.col("_inside") | near).groupBy(BUILDING, point_key).agg(F.min(candidate).alias("b"))
     inside = F.col("b.tier") == 0
     return best.select(
-        point_key, F.col("b.room_id").alias("room_id"),
+        BUILDING, point_key, F.col("b.room_id").alias("room_id"),
         F.when(inside, 1.0).otherwise(1 - 0.5 * F.col("b.distance") / tolerance).alias("weight"),
         F.when(inside, 0.0).otherwise(F.col("b.distance")).alias("distance"), inside.alias("inside"))
 
@@ -71,8 +72,8 @@ def stamp_rooms(points: DataFrame, point_key: str, regions: DataFrame, tolerance
     """Fills missing room ids from the plan; ``outside_every_room`` where nothing is near enough."""
     open_points = points.filter(F.col("room_id").isNull())
     found = assign_regions(open_points, point_key, regions, tolerance, by="room_id", strict=True).select(
-        point_key, F.col("room_id").alias("_found"))
-    return points.join(found, point_key, "left").withColumn("room_id", F.coalesce("room_id", "_found")).drop("_found").withColumn(
+        BUILDING, point_key, F.col("room_id").alias("_found"))
+    return points.join(found, [BUILDING, point_key], "left").withColumn("room_id", F.coalesce("room_id", "_found")).drop("_found").withColumn(
         "outside_every_room", F.col("room_id").isNull())
 
 
@@ -135,15 +136,15 @@ def nearest_segment(points: DataFrame, point_key: str, segments: DataFrame, segm
         reach = with_cells(lines, F.least("sx", "ex") - radius, F.least("sy", "ey") - radius,
                            F.greatest("sx", "ex") + radius, F.greatest("sy", "ey") + radius, radius)
         pairs = point_cell(rest, "_x", "_y", radius).join(reach, [BUILDING, "_cx", "_cy"])
-        found = pairs.select(point_key, F.struct(
+        found = pairs.select(BUILDING, point_key, F.struct(
             F.round(g.segment_distance("_x", "_y", "sx", "sy", "ex", "ey"), 9).alias("distance"), F.col(segment_key)).alias("b")).filter(
-            F.col("b.distance") <= radius).groupBy(point_key).agg(F.min("b").alias("b"))
-        found = found.select(point_key, F.col(f"b.{segment_key}").alias(segment_key), F.col("b.distance").alias("distance"))
+            F.col("b.distance") <= radius).groupBy(BUILDING, point_key).agg(F.min("b").alias("b"))
+        found = found.select(BUILDING, point_key, F.col(f"b.{segment_key}").alias(segment_key), F.col("b.distance").alias("distance"))
         done = found if done is None else done.unionByName(found)
         if radius >= widest:
             return done
         done = cut_lineage(done)
-        rest = rest.join(done.select(point_key), point_key, "left_anti")
+        rest = rest.join(done.select(BUILDING, point_key), [BUILDING, point_key], "left_anti")
         if rest.isEmpty():
             return done
         radius *= growth
@@ -154,8 +155,8 @@ def supersede(authoritative: DataFrame, observed: DataFrame, observed_key: str,
     reach = with_cells(authoritative.select(BUILDING, F.col("x").alias("_ax"), F.col("y").alias("_ay")),
                        F.col("_ax") - radius, F.col("_ay") - radius, F.col("_ax") + radius, F.col("_ay") + radius, radius)
     taken = point_cell(observed.select(BUILDING, observed_key, "x", "y"), "x", "y", radius).join(reach, [BUILDING, "_cx", "_cy"]).filter(
-        F.round(F.hypot(F.col("x") - F.col("_ax"), F.col("y") - F.col("_ay")), 9) <= radius).select(observed_key).distinct()
-    return authoritative.unionByName(observed.join(taken, observed_key, "left_anti"), allowMissingColumns=True)
+        F.round(F.hypot(F.col("x") - F.col("_ax"), F.col("y") - F.col("_ay")), 9) <= radius).select(BUILDING, observed_key).distinct()
+    return authoritative.unionByName(observed.join(taken, [BUILDING, observed_key], "left_anti"), allowMissingColumns=True)
 
 
 FOOTPRINT = ["x", "y", "width", "depth", "rotation_deg"]

@@ -180,7 +180,7 @@ def layer_role_counts(spark, sf_dir):
     names = F.element_at(F.array(*[F.lit(x) for x in ("plumbing_fixture", "casework", "wall", "furniture", "stair", "plumbing")]), (F.col("object_id") % 6 + 1).cast("int"))
     points = fx(spark, sf_dir, "fx_objects").withColumn("role", names).filter(F.col("role").isin(*LAYER_ROLES)).select("building_id", "role", "x", "y", "object_id")
     inside = sp.assign_regions(points, "object_id", regions(spark, sf_dir), 1e-9).filter("inside")
-    return points.join(inside.select("object_id", "room_id"), "object_id").groupBy("building_id", "room_id", "role").agg(F.count("*").alias("n"))
+    return points.join(inside.select("building_id", "object_id", "room_id"), ["building_id", "object_id"]).groupBy("building_id", "room_id", "role").agg(F.count("*").alias("n"))
 
 
 @query("label_attribution", "JN-04", oracle=f"""
@@ -190,7 +190,7 @@ SELECT building_id, room_id, COUNT(*) AS labels, MAX(declared) AS declared_area
 def label_attribution(spark, sf_dir):
     texts = fx(spark, sf_dir, "fx_objects").filter("object_id % 5 = 0").withColumn("declared", (F.col("object_id") % 50).cast("double"))
     found = sp.assign_regions(texts, "object_id", regions(spark, sf_dir), sp.LABEL_TOLERANCE)
-    return texts.select("object_id", "building_id", "declared").join(found, "object_id").groupBy("building_id", "room_id").agg(
+    return texts.select("object_id", "building_id", "declared").join(found, ["building_id", "object_id"]).groupBy("building_id", "room_id").agg(
         F.count("*").alias("labels"), F.max("declared").alias("declared_area"))
 
 

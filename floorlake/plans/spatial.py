@@ -38,7 +38,7 @@ k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY object_id ORDER BY CASE WHEN ins
 SELECT object_id, room_id, RND(CASE WHEN inside THEN 1e0 ELSE 1e0-0.5e0*d/0.45e0 END,6) AS weight, RND(CASE WHEN inside THEN 0e0 ELSE d END,6) AS distance FROM k WHERE rn = 1""")
 def contained_by(spark, sf_dir):
     found = sp.assign_regions(fx(spark, sf_dir, "fx_objects"), "object_id", regions(spark, sf_dir), sp.BLOCK_TOLERANCE)
-    return rounded(found.drop("inside"), 6, "weight", "distance")
+    return rounded(found.drop("building_id", "inside"), 6, "weight", "distance")
 
 
 @query("stamped_rooms", "JN-03", oracle=f"""
@@ -84,7 +84,7 @@ WITH c AS (SELECT o.opening_id, w.wall_id, o.x, o.y, sx, sy, ex, ey, GREATEST(0e
 k AS (SELECT opening_id, wall_id, {SEGMENT} AS d FROM c)
 SELECT opening_id, ARG_MIN(wall_id, d*1000000000e0 + wall_id*0.0001e0) AS wall_id, RND(MIN(d),6) AS distance FROM k GROUP BY opening_id""")
 def nearest_wall(spark, sf_dir):
-    return rounded(sp.nearest_segment(fx(spark, sf_dir, "fx_openings"), "opening_id", fx(spark, sf_dir, "fx_walls"), "wall_id"), 6, "distance")
+    return rounded(sp.nearest_segment(fx(spark, sf_dir, "fx_openings"), "opening_id", fx(spark, sf_dir, "fx_walls"), "wall_id").drop("building_id"), 6, "distance")
 
 
 @query("superseded_openings", "JN-10", "ED-01", oracle="""
