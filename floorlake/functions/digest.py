@@ -6,27 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIGEST_LENGTH = 32
-SEPARATOR = "|"
+NULL = "~"
+
+
+def framed(*fields: Column) -> Column:
+    """Texts joined so that they can be told apart again: each after its length, a null as a sign of its own."""
+    return F.concat(*[F.coalesce(F.concat(F.length(f).cast("string"), F.lit(":"), f), F.lit(NULL)) for f in fields])
 
 
 def canonical(df: DataFrame, columns: list[str]) -> Column:
-    """Fields joined as text in the given order; doubles as whole millionths, null as an empty field."""
+    """Fields framed as text in the given order; doubles as whole millionths."""
     types = dict(df.dtypes)
 
     def field(name: str) -> Column:
         col = F.col(name)
         if types[name] in ("double", "float"):
-            odd = F.isnan(col) | (F.abs(col) == float("inf"))
-            return F.when(odd, col.cast("string")).otherwise(F.round(col * 1000000).cast("long").cast("string"))
+            # Not numbers, infinities and what is too large for a decimal keep their own text.
+            return F.coalesce(F.round(col * 1000000).try_cast("decimal(38,0)").cast("string"), col.cast("string"))
         if types[name].startswith(("array", "map", "struct")):
             return F.to_json(col)
         return col.cast("string")
 
-    return F.concat_ws(SEPARATOR, *[F.coalesce(field(c), F.lit("")) for c in columns])
+    return framed(*[field(c) for c in columns])
 
 
 def digest(*parts: Column) -> Column:
-    return F.substring(F.sha2(F.concat_ws(SEPARATOR, *parts), 256), 1, DIGEST_LENGTH)
+    return F.substring(F.sha2(framed(*parts), 256), 1, DIGEST_LENGTH)
 
 
 def row_digest(df: DataFrame, columns: list[str]) -> Column:

@@ -15,9 +15,16 @@ ROOM_COLUMNS = ["room_id", "room_type", "style", "x0", "y0", "x1", "y1"]
 DOUBLES = set("x y z rotation_deg width depth height power_w kelvin x0 y0 x1 y1 yaw pitch_deg vfov_deg aspect".split())
 
 
+def framed_sql(*texts: str) -> str:
+    return "CONCAT(" + ", ".join(f"COALESCE(CAST(LENGTH({t}) AS VARCHAR) || ':' || {t}, '~')" for t in texts) + ")"
+
+
+def digest_sql(*texts: str) -> str:
+    return f"SUBSTRING(SHA256({framed_sql(*texts)}),1,32)"
+
+
 def canon_sql(columns: list[str]) -> str:
-    return "CONCAT_WS('|', " + ", ".join(
-        f"COALESCE(CAST(CAST(ROUND({c}*1000000) AS BIGINT) AS VARCHAR),'')" if c in DOUBLES else f"COALESCE(CAST({c} AS VARCHAR),'')" for c in columns) + ")"
+    return framed_sql(*[f"CAST(CAST(ROUND({c}*1000000) AS BIGINT) AS VARCHAR)" if c in DOUBLES else f"CAST({c} AS VARCHAR)" for c in columns])
 
 
 def row_sql(columns: list[str]) -> str:
@@ -26,7 +33,7 @@ def row_sql(columns: list[str]) -> str:
 
 def multiset_sql(row: str) -> str:
     half = lambda at: f"COALESCE(CAST(SUM(CAST(CONCAT('0x', SUBSTRING({row},{at},15)) AS BIGINT)) AS VARCHAR),'0')"
-    return f"SUBSTRING(SHA256(CONCAT_WS('|', CAST(COUNT({row}) AS VARCHAR), {half(1)}, {half(16)})),1,32)"
+    return digest_sql(f"CAST(COUNT({row}) AS VARCHAR)", half(1), half(16))
 
 
 BUCKETS = f"""
@@ -36,14 +43,14 @@ pb AS (SELECT p.*, CAST(COALESCE(p.room_id, w.room_id) AS VARCHAR) AS bucket FRO
 od AS (SELECT building_id, bucket, {multiset_sql('d')} AS o FROM (SELECT *, {row_sql(OBJECT_COLUMNS)} AS d FROM ob) GROUP BY ALL),
 ld AS (SELECT building_id, bucket, {multiset_sql('d')} AS l FROM (SELECT *, {row_sql(LIGHT_COLUMNS)} AS d FROM lb) GROUP BY ALL),
 pd AS (SELECT building_id, bucket, {multiset_sql('d')} AS p FROM (SELECT *, {row_sql(OPENING_COLUMNS)} AS d FROM pb) GROUP BY ALL),
-rh AS (SELECT r.building_id, r.room_id, SUBSTRING(SHA256(CONCAT_WS('|', {row_sql(ROOM_COLUMNS)}, COALESCE(l,''), COALESCE(o,''), COALESCE(p,''))),1,32) AS room_hash
+rh AS (SELECT r.building_id, r.room_id, {digest_sql(row_sql(ROOM_COLUMNS), "COALESCE(l,'')", "COALESCE(o,'')", "COALESCE(p,'')")} AS room_hash
   FROM fx_rooms r LEFT JOIN od ON od.building_id = r.building_id AND od.bucket = CAST(r.room_id AS VARCHAR) LEFT JOIN ld ON ld.building_id = r.building_id AND ld.bucket = CAST(r.room_id AS VARCHAR)
   LEFT JOIN pd ON pd.building_id = r.building_id AND pd.bucket = CAST(r.room_id AS VARCHAR)),
 roster AS (SELECT building_id, {multiset_sql('d')} AS ro FROM (SELECT building_id, {row_sql(['room_id'])} AS d FROM fx_rooms) GROUP BY building_id),
-sh AS (SELECT roster.building_id, SUBSTRING(SHA256(CONCAT_WS('|', 'default', CASE WHEN o IS NULL THEN '' ELSE SUBSTRING(SHA256(CONCAT_WS('|', '', o, '')),1,32) END, ro)),1,32) AS scene_hash FROM roster LEFT JOIN od ON od.building_id = roster.building_id AND od.bucket = '__scene__')"""
+sh AS (SELECT roster.building_id, {digest_sql("'default'", "CASE WHEN o IS NULL THEN '' ELSE " + digest_sql("''", "o", "''") + " END", "ro")} AS scene_hash FROM roster LEFT JOIN od ON od.building_id = roster.building_id AND od.bucket = '__scene__')"""
 CAMERA = f"""
-cam AS (SELECT *, SUBSTRING(SHA256(CONCAT_WS('|', {canon_sql(['x','y','z','yaw','pitch_deg','vfov_deg','aspect'])}, '640', '360')),1,32) AS camera_hash, CONCAT('preview/', CAST(viewpoint_id AS VARCHAR), '.png') AS image FROM fx_viewpoints),
-keyed AS (SELECT cam.*, room_hash, scene_hash, SUBSTRING(SHA256(CONCAT_WS('|', scene_hash, room_hash, camera_hash, image)),1,32) AS key FROM cam JOIN rh USING (building_id, room_id) JOIN sh USING (building_id)),
+cam AS (SELECT *, {digest_sql(canon_sql(['x','y','z','yaw','pitch_deg','vfov_deg','aspect']), "'640'", "'360'")} AS camera_hash, CONCAT('preview/', CAST(viewpoint_id AS VARCHAR), '.png') AS image FROM fx_viewpoints),
+keyed AS (SELECT cam.*, room_hash, scene_hash, {digest_sql('scene_hash', 'room_hash', 'camera_hash', 'image')} AS key FROM cam JOIN rh USING (building_id, room_id) JOIN sh USING (building_id)),
 cache AS (SELECT viewpoint_id + CASE WHEN viewpoint_id % 11 = 0 THEN 1000000 ELSE 0 END AS viewpoint_id, CASE WHEN viewpoint_id % 4 = 0 THEN 'old' ELSE key END AS key, viewpoint_id % 7 <> 0 AS outputs_present FROM keyed WHERE viewpoint_id % 3 <> 0),
 wl AS (SELECT k.*, CASE WHEN c.key IS NOT NULL THEN 'hit' ELSE 'render' END AS status FROM keyed k LEFT JOIN cache c ON c.viewpoint_id = k.viewpoint_id AND c.key = k.key AND c.outputs_present),
 folded AS (SELECT building_id, room_id, viewpoint_id, CASE WHEN status = 'hit' THEN 'cached' WHEN viewpoint_id % 5 IN (0, 1) THEN 'failed' ELSE 'rendered' END AS status,
@@ -101,7 +108,7 @@ def scene_digests(spark, sf_dir):
 
 @query("neighbour_digests", "IC-03", oracle=f"""
 WITH {BUCKETS}, adj AS (SELECT a.building_id, a.room_id, b.room_hash AS nh FROM rh a LEFT JOIN rh b ON b.building_id = a.building_id AND ABS(a.room_id - b.room_id) = 1)
-SELECT building_id, room_id, SUBSTRING(SHA256(CONCAT_WS('|', room_hash, CASE WHEN n = 0 THEN '' ELSE around END)),1,32) AS room_hash FROM rh JOIN
+SELECT building_id, room_id, {digest_sql('room_hash', "CASE WHEN n = 0 THEN '' ELSE around END")} AS room_hash FROM rh JOIN
  (SELECT building_id, room_id, COUNT(nh) AS n, {multiset_sql('nh')} AS around FROM adj GROUP BY building_id, room_id) USING (building_id, room_id)""")
 def neighbour_digests(spark, sf_dir):
     rooms, _ = hashes(spark, sf_dir)

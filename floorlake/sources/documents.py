@@ -198,15 +198,26 @@ def rejections(*flattened: DataFrame) -> DataFrame:
 PIXELS = "image_id string, prow long, pcol long, r double, g double, b double"
 
 
-def list_images(spark: SparkSession, path: str, limit: int = 6) -> DataFrame:
-    """First ``limit`` pictures per folder by name, of the five picture extensions."""
+def list_images(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Pictures of the five picture extensions with their folder; with ``limit`` the first by name of each folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,webp,bmp}").option("recursiveFileLookup", "true").load(path)
     named = files.select("path", "length").withColumn("project", F.regexp_replace("path", "/[^/]*$", ""))
-    return top_within(named, ["project"], [F.asc("path")], limit)
+    return named if limit is None else top_within(named, ["project"], [F.asc("path")], limit)
+
+
+def unreadable_images(images: DataFrame) -> DataFrame:
+    """``images``: image_id, content -> image_id and reason of the pictures that ``read_pixels`` gives no rows for."""
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bad = [(i, "no bytes" if c is None or not len(c) else "not decodable here") for i, c in zip(pdf["image_id"], pdf["content"], strict=True) if c is None or decode(c) is None]
+            yield pd.DataFrame(bad, columns=["image_id", "reason"])
+
+    return images.select(F.col("image_id").cast("string"), "content").mapInPandas(check, "image_id string, reason string")
 
 
 def read_pixels(images: DataFrame) -> DataFrame:
-    """``images``: image_id, content (bytes) -> long pixel table with channels 0..1. Unreadable pictures give no rows."""
+    """``images``: image_id, content (bytes) -> long pixel table with channels 0..1. Unreadable pictures give no rows; ``unreadable_images`` lists them."""
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

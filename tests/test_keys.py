@@ -111,3 +111,21 @@ def test_blocks_of_any_size_and_depth_are_expanded(spark):
     placed = drawings.inserts(rows)
     got = drawings.expand_inserts(placed.filter("parent_block IS NULL"), drawings.segments(rows).filter("block IS NOT NULL"), placed.filter("parent_block IS NOT NULL"))
     assert got.count() == 600 and {(r.depth, r.sx, r.ex) for r in got.collect()} == {(6, 6.0, 7.0)}
+
+
+def test_digests_tell_separators_and_nulls_apart(spark):
+    from floorlake.functions.digest import row_digest
+
+    rows = spark.createDataFrame([("a|b", "c", 1.0), ("a", "b|c", 1.0), ("", "c", 1.0), (None, "c", 1.0), ("~", "c", 1e30), (None, "c", float("nan"))], "p string, q string, d double")
+    assert rows.select(row_digest(rows, ["p", "q", "d"]).alias("h")).distinct().count() == 6
+
+
+def test_unreadable_pictures_are_listed(spark):
+    import numpy as np
+
+    from floorlake.functions.images import encode_png
+    from floorlake.sources.documents import read_pixels, unreadable_images
+
+    images = spark.createDataFrame([("good", encode_png(np.zeros((2, 2, 3)))), ("bad", b"\xff\xd8 no picture"), ("none", None)], "image_id string, content binary")
+    assert sorted(map(tuple, unreadable_images(images).collect())) == [("bad", "not decodable here"), ("none", "no bytes")]
+    assert {r.image_id for r in read_pixels(images.filter("content is not null")).collect()} == {"good"}
