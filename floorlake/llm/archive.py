@@ -168,6 +168,8 @@ def marked_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
     many = rows.where(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
+    # Written first, so that its size is known when Spark chooses between a broadcast and a shuffle of all payloads.
+    many = written(many, "repeated")
     return rows.join(many, "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first")).alias("refers_to"))
 
 
