@@ -191,8 +191,8 @@ def ordering_edges(actions: DataFrame, scopes: DataFrame, building: str = "build
     )
 
 
-def order_plan(ranked: DataFrame, scopes: DataFrame, limit: int = PLAN_LIMIT, building: str = "building_id") -> DataFrame:
-    """The first ``limit`` actions of the ready-first order with rank as tie-break.
+def order_plan(ranked: DataFrame, scopes: DataFrame, limit: int | None = None, building: str = "building_id") -> DataFrame:
+    """All actions, or the first ``limit`` of a building, in the ready-first order with rank as tie-break.
 
     Always running the best ranked ready action sorts actions by the worst rank among themselves
     and everything before them; ties are inside the descendants of one action and resolve the same

@@ -105,9 +105,11 @@ def room_frames(rooms: DataFrame, walls: DataFrame) -> DataFrame:
     return walls.select(*KEYS, "wall_id", "sx", "sy", "ex", "ey").unionByName(bare)
 
 
-def scene_findings(objects: DataFrame, rooms: DataFrame, limit: int = 6) -> DataFrame:
-    """Poor asset matches (worst six a building), categories without a model, rooms pictured but unstyled."""
-    poor = top_within(objects.filter("asset_score > 0 AND asset_score < 0.62 AND NOT uncertain"), ["building_id"], [F.asc("asset_score"), F.asc("object_id")], limit, "_r")
+def scene_findings(objects: DataFrame, rooms: DataFrame, limit: int | None = None) -> DataFrame:
+    """Poor asset matches (with ``limit`` the worst of each building), categories without a model, rooms pictured but unstyled."""
+    poor = objects.filter("asset_score > 0 AND asset_score < 0.62 AND NOT uncertain")
+    if limit is not None:
+        poor = top_within(poor, ["building_id"], [F.asc("asset_score"), F.asc("object_id")], limit, "_r")
     row = lambda df, kind, subject: df.select("building_id", F.lit(kind).alias("kind"), F.col(subject).cast("string").alias("subject"))
     generic = objects.filter(F.col("asset").startswith("generic_")).select("building_id", "category").distinct()
     return row(poor, "poor_match", "object_id").unionByName(row(generic, "no_model", "category")).unionByName(row(rooms.filter("pictured AND style = 'unknown'"), "unstyled", "room_id"))

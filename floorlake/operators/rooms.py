@@ -191,12 +191,12 @@ def fuse(evidence: DataFrame) -> DataFrame:
         F.col("_split").alias("authority_conflicts"), F.col("_contested").alias("contested"), F.coalesce(tie, F.lit(False)).alias("near_tie"))
 
 
-def explain(evidence: DataFrame, results: DataFrame, limit: int = 6) -> DataFrame:
-    """The strongest distinct reasons for or against each room's label."""
+def explain(evidence: DataFrame, results: DataFrame, limit: int | None = None) -> DataFrame:
+    """The distinct reasons, with ``limit`` the strongest, for or against each room's label."""
     mine = evidence.join(results.select(*KEYS, "label"), [*KEYS, "label"]).withColumn("contribution", F.col("score") * F.col("weight")).filter(F.abs("contribution") >= 0.05)
     text = F.concat(F.when(F.col("contribution") > 0, "").otherwise("against: "), "reason")
     distinct = mine.groupBy(*KEYS, text.alias("reason")).agg(F.max(F.abs("contribution")).alias("strength"))
-    return top_within(distinct, KEYS, [F.round("strength", 9).desc(), F.asc("reason")], limit)
+    return distinct if limit is None else top_within(distinct, KEYS, [F.round("strength", 9).desc(), F.asc("reason")], limit)
 
 
 def classify(evidence: DataFrame, rooms: DataFrame, adjacency: DataFrame) -> DataFrame:

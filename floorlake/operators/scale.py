@@ -32,12 +32,14 @@ def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], nam
     )
 
 
-def top_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int, name: str = "rank") -> DataFrame:
-    """The first ``limit`` rows of every group.
+def top_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int | None, name: str = "rank") -> DataFrame:
+    """The first ``limit`` rows of every group; all rows with their rank where ``limit`` is None.
 
     Spark cuts each map task's share to ``limit`` rows per group before the shuffle
     (WindowGroupLimit), so the reduce side holds at most tasks x limit rows of one group.
     """
+    if limit is None:
+        return rank_within(df, keys, order, name)
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= limit)
 

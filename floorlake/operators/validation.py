@@ -127,8 +127,8 @@ def collisions(objects: DataFrame) -> DataFrame:
 HAND_FLAGS = ["position_set_by_user", "rotation_z_set_by_user", "dimensions_set_by_user"]
 
 
-def user_conflicts(objects: DataFrame, limit: int = 10) -> DataFrame:
-    """First conflicts per building of objects placed by hand, against everything solid in the room."""
+def user_conflicts(objects: DataFrame, limit: int | None = None) -> DataFrame:
+    """Conflicts, or the first ``limit`` of each building, of objects placed by hand, against everything solid in the room."""
     columns = [*KEYS, "object_id", "support_id", "x", "y", "z", "width", "depth", "height", "rotation_deg"]
     by_hand = F.exists("flags", _starts)
     pairs = footprint_pairs(objects.filter(by_hand).select(*columns), objects.filter(~degenerate()).select(*columns), KEYS)
@@ -138,7 +138,7 @@ def user_conflicts(objects: DataFrame, limit: int = 10) -> DataFrame:
     unordered = hit.filter(_more(F.col("penetration"), OVERLAP_TOLERANCE)).groupBy(
         *KEYS, F.least("a_object_id", "b_object_id").alias("first_id"), F.greatest("a_object_id", "b_object_id").alias("second_id")).agg(
         F.max("penetration").alias("penetration"))
-    return top_within(unordered, [BUILDING], [F.asc("first_id"), F.asc("second_id")], limit)
+    return unordered if limit is None else top_within(unordered, [BUILDING], [F.asc("first_id"), F.asc("second_id")], limit)
 
 
 def _starts(flag: Column) -> Column:

@@ -48,7 +48,7 @@ def candidates(groups):
 def actions_and_scopes(spark, sf_dir):
     found = candidates(pl.group_findings(planned(spark, sf_dir)))
     acts = pl.deduplicate_actions(found).withColumn("confidence", F.round("confidence", 9))
-    objects = found.filter("scope LIKE 'object:%'").select("building_id", "action_id", F.lit("object").alias("kind"), F.substring("scope", 8, 40).alias("entity"))
+    objects = found.filter("scope LIKE 'object:%'").select("building_id", "action_id", F.lit("object").alias("kind"), F.expr("substring(scope, 8)").alias("entity"))
     rooms = found.select("building_id", "action_id", F.lit("room").alias("kind"), F.col("room_id").cast("string").alias("entity"))
     return acts, objects.union(rooms).distinct()
 
@@ -132,7 +132,7 @@ def ordering_edges(spark, sf_dir):
 @query("plan_order", "GR-10")
 def plan_order(spark, sf_dir):
     table, scopes, _ = priced(spark, sf_dir)
-    return pl.order_plan(pl.rank_actions(table), scopes)
+    return pl.order_plan(pl.rank_actions(table), scopes, pl.PLAN_LIMIT)
 
 
 

@@ -81,7 +81,7 @@ WITH {ASSETS}, p AS (SELECT m.*, ROW_NUMBER() OVER (PARTITION BY m.building_id O
 SELECT building_id, 'poor_match' AS kind, CAST(object_id AS VARCHAR) AS subject FROM p WHERE rn <= 6 UNION ALL SELECT DISTINCT building_id, 'no_model', category FROM mt WHERE asset LIKE 'generic%' UNION ALL SELECT building_id, 'unstyled', CAST(room_id AS VARCHAR) FROM fx_rooms WHERE style = 'unknown' AND room_id % 2 = 1""")
 def scene_findings(spark, sf_dir):
     rooms = fx(spark, sf_dir, "fx_rooms").withColumn("pictured", F.col("room_id") % 2 == 1)
-    return rv.scene_findings(matched(spark, sf_dir), rooms)
+    return rv.scene_findings(matched(spark, sf_dir), rooms, 6)
 
 
 @query("catalog_usage", "SRC-12", oracle="SELECT obj_group, support, COUNT(*) AS objects FROM (SELECT category FROM fx_placed) p JOIN dim_objects d USING (category) GROUP BY ALL")

@@ -134,7 +134,7 @@ WITH {FOOTPRINTS}, p AS (SELECT a.building_id, a.room_id, LEAST(a.object_id, b.o
 k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY building_id ORDER BY first_id, second_id) AS rank FROM p WHERE penetration > 0.02e0)
 SELECT building_id, room_id, first_id, second_id, RND(penetration,6) AS penetration, rank FROM k WHERE rank <= 10""")
 def user_placement_conflicts(spark, sf_dir):
-    return rounded(va.user_conflicts(placed(spark, sf_dir)), 6, "penetration")
+    return rounded(va.user_conflicts(placed(spark, sf_dir), 10), 6, "penetration")
 
 
 EDGE_GAP = """LIST_MIN(LIST_TRANSFORM({c}, LAMBDA p: LIST_MIN(LIST_TRANSFORM(RANGE(1, 5), LAMBDA i:

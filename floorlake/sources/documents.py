@@ -146,7 +146,7 @@ def flatten_objects(answers: DataFrame) -> DataFrame:
     """Object rows with ``reason``: empty when kept, else why the entry is rejected."""
     rows = observed_lists(answers, "objects").withColumns({
         "category": F.coalesce(tx.normalise_term(F.coalesce(F.nullif(_field("category"), F.lit("")), _field("label")), "category"), tx.normalise_term(_field("label"), "category")),
-        "confidence": _confidence(), "box": _box(), "label": F.substring(F.coalesce(_field("label"), F.lit("")), 1, 160)})
+        "confidence": _confidence(), "box": _box(), "label": F.coalesce(_field("label"), F.lit(""))})
     area = F.greatest(F.lit(0.0), F.col("box.x1") - F.col("box.x0")) * F.greatest(F.lit(0.0), F.col("box.y1") - F.col("box.y0"))
     reason = (F.when(F.col("item").isNull(), "object_not_object").when(F.col("category").isNull(), "unrecognised_category")
               .when(F.col("confidence") < coerce.UNCERTAIN, "below_confidence_floor").when(F.coalesce(area, F.lit(0.0)) <= 1e-6, "missing_or_empty_bbox").otherwise(""))

@@ -129,3 +129,12 @@ def test_unreadable_pictures_are_listed(spark):
     images = spark.createDataFrame([("good", encode_png(np.zeros((2, 2, 3)))), ("bad", b"\xff\xd8 no picture"), ("none", None)], "image_id string, content binary")
     assert sorted(map(tuple, unreadable_images(images).collect())) == [("bad", "not decodable here"), ("none", "no bytes")]
     assert {r.image_id for r in read_pixels(images.filter("content is not null")).collect()} == {"good"}
+
+
+def test_nothing_is_cut_unless_asked(spark):
+    from floorlake.operators.scale import top_within
+
+    rows = spark.createDataFrame([(b, i) for b in (1, 2) for i in range(40)], "building_id long, object_id long")
+    ranked = top_within(rows, ["building_id"], [F.desc("object_id")], None).collect()
+    assert len(ranked) == 80 and all(r["rank"] == 40 - r.object_id for r in ranked)
+    assert top_within(rows, ["building_id"], [F.desc("object_id")], 3).count() == 6
