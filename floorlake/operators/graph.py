@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..session import cut_lineage
+from ..session import cut_lineage, forget
 from .spatial import BUILDING, point_cell, polygon_bounds, with_cells
 from .validation import obstacles
 
@@ -16,26 +16,29 @@ JOIN_TOLERANCE = 0.30
 CLUSTER_RADIUS = 0.9
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``nodes``: id; ``edges``: src, dst -> id, component (the smallest id of the component).
 
     Every round takes the smallest label among neighbours and then follows labels one step
     (pointer jumping), so long chains settle in a logarithmic number of rounds. Label joins have
     one row per id on one side; a component of any size only skews the other, which AQE splits.
+    Labels only fall and each round lowers one, so the loop ends; the files of a round are deleted
+    when the next one is written.
     """
     both = cut_lineage(edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").distinct())
-    labels = cut_lineage(nodes.select("id", F.col("id").alias("component")))
-    for _ in range(max_rounds):
+    kept = labels = cut_lineage(nodes.select("id", F.col("id").alias("component")))
+    while True:
         offered = both.join(labels.withColumnsRenamed({"id": "src", "component": "_c"}), "src").groupBy(F.col("dst").alias("id")).agg(F.min("_c").alias("_c"))
         lowered = labels.join(offered, "id", "left").select("id", F.col("component").alias("_old"), F.least("component", F.coalesce("_c", "component")).alias("_new"))
         lowered = cut_lineage(lowered)
         hop = lowered.select(F.col("id").alias("_new"), F.col("_new").alias("_far"))
         jumped = cut_lineage(lowered.join(hop, "_new", "left").select("id", "_old", F.least("_new", F.coalesce("_far", "_new")).alias("component")))
         settled = jumped.filter("component <> _old").isEmpty()
-        labels = jumped.select("id", "component")
+        forget(kept, lowered)
+        kept, labels = jumped, jumped.select("id", "component")
         if settled:
+            forget(both)
             return labels
-    raise RuntimeError("components did not settle; raise max_rounds")
 
 
 def touching_segments(segments: DataFrame, tolerance: float = JOIN_TOLERANCE, cell: float = 1.0) -> DataFrame:
@@ -100,7 +103,7 @@ def cascade(removed: DataFrame, supports: DataFrame, keys: tuple[str, ...] = ())
     return gone
 
 
-def carry_children(moves: DataFrame, objects: DataFrame, max_rounds: int = 200) -> DataFrame:
+def carry_children(moves: DataFrame, objects: DataFrame) -> DataFrame:
     """Objects carried along with a moved parent: turned about its new position and shifted with it.
 
     ``moves``: root_id, old_x, old_y, dx, dy, turn_deg; ``objects``: object_id, support_id, x, y, rotation_deg.
@@ -108,14 +111,10 @@ def carry_children(moves: DataFrame, objects: DataFrame, max_rounds: int = 200)
     pairs = cut_lineage(moves.select("root_id", F.col("root_id").alias("object_id")))
     frontier = pairs
     links = objects.filter("support_id IS NOT NULL").select("object_id", "support_id")
-    for _ in range(max_rounds):
+    while not frontier.isEmpty():
         above = links.join(frontier.withColumnRenamed("object_id", "support_id"), "support_id").select("root_id", "object_id")
         frontier = cut_lineage(above.join(pairs, ["root_id", "object_id"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        pairs = cut_lineage(pairs.union(frontier))
-    else:
-        raise RuntimeError("support closure did not settle; raise max_rounds")
+        pairs = pairs.union(frontier)
     moved = pairs.filter("root_id <> object_id").join(moves, "root_id").join(objects.select("object_id", "x", "y", "rotation_deg"), "object_id")
     angle = F.radians("turn_deg")
     rx, ry = F.col("x") - F.col("old_x"), F.col("y") - F.col("old_y")

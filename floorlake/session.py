@@ -52,4 +52,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/floorlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._cut_path = path
+    return read
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete what ``cut_lineage`` wrote for ``frames``, once nothing will read them any more (the rounds of a loop)."""
+    for df in frames:
+        path = df.__dict__.pop("_cut_path", None)
+        if path:
+            spark = df.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
