@@ -103,22 +103,21 @@ def feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 class Sparse:
     """Binary rows over the features that enough rows have and whose rate differs enough between the classes of ``target``, and ``also`` some others."""
 
-    def __init__(self, lists: list, target: np.ndarray, least: int = 5, apart: float = 3.0, also: np.ndarray | None = None):
-        flat = np.concatenate([np.asarray(x, np.int64) for x in lists]) if lists else np.empty(0, np.int64)
-        sizes = np.array([len(x) for x in lists], np.int64)
-        row = np.repeat(np.arange(len(lists)), sizes)
+    def __init__(self, flat: np.ndarray, at: np.ndarray, target: np.ndarray, least: int = 5, apart: float = 3.0, also: np.ndarray | None = None):
+        self.n = len(at) - 1
+        row = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(at))
         df = np.bincount(flat, minlength=BUCKETS)
         hit = np.bincount(flat, target[row], BUCKETS)
-        n, rate = max(len(lists), 1), float(target.mean()) if len(target) else 0.0
+        n, rate = max(self.n, 1), float(target.mean()) if len(target) else 0.0
         spread = np.sqrt(np.maximum(df * rate * (1 - rate) * (1 - df / n), 1e-9))
         self.kept = np.flatnonzero((df >= least) & (np.abs(hit - df * rate) > apart * spread))
         if also is not None:
             self.kept = np.union1d(self.kept, also)
-        place = np.full(BUCKETS, -1)
+        place = np.full(BUCKETS, -1, np.int32)
         place[self.kept] = np.arange(len(self.kept))
         self.col = place[flat]
         use = self.col >= 0
-        self.col, self.row, self.n = self.col[use], row[use], len(lists)
+        self.col, self.row = self.col[use], row[use]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.col], self.n)

@@ -21,7 +21,7 @@ from .features import BUCKETS, Sparse, descend, margins, sigmoid
 from .toxicity import fold, labelled_features
 
 GRADES = 3
-FIT_ROWS = 6000
+FIT_ROWS = 2000
 GOOD, CUT = 1, 0.5
 RIDGE = 2e-4
 
@@ -66,13 +66,11 @@ def fit_cumulative_link(rows: Sparse, grade: np.ndarray, grades: int = GRADES) -
 def fit_grades(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> GradeModel:
     """Fit on at most ``fit_rows`` labelled rows of each grade from the training folds (crc32 of the id modulo 3 is not 1)."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, F.when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 2))
-    frame = labelled_features(docs, labels, grade, fit_rows, id_col, text_col)
-    order = sorted(range(len(frame)), key=lambda i: (int(frame.grade[i]), len(frame.features[i]), tuple(frame.features[i][:8])))
-    lists, given = [np.asarray(frame.features[i], np.int64) for i in order], np.array([int(frame.grade[i]) for i in order], np.int64)
+    given, flat, at = labelled_features(docs, labels, grade, fit_rows, id_col, text_col)
     if len(set(given.tolist())) < 2:  # nothing to learn from: everything is kept
         return GradeModel(np.arange(GRADES - 1) - 4.0, np.zeros(BUCKETS))
-    upper = Sparse(lists, (given >= GRADES - 1).astype(float), apart=4.0)
-    rows = Sparse(lists, (given >= GOOD).astype(float), apart=4.0, also=upper.kept)
+    upper = Sparse(flat, at, (given >= GRADES - 1).astype(float), apart=4.0)
+    rows = Sparse(flat, at, (given >= GOOD).astype(float), apart=4.0, also=upper.kept)
     thresholds, weights = fit_cumulative_link(rows, given)
     return GradeModel(thresholds, rows.spread(weights))
 

@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import slices
 from .features import BUCKETS, Sparse, bucket, descend, feature_batches, margins, sigmoid, string_hashes
+from .units import gather
 
-FIT_ROWS = 6000
+FIT_ROWS = 3000
 CUT = 0.7
 #: Word beginnings taken from the labelled rows as voters.
 INDUCED = 192
@@ -53,11 +54,10 @@ def lexicon_buckets() -> list[np.ndarray]:
     return words + [bucket(10, *string_hashes(pa.array(line, pa.large_string()))) for line in _SIGNS]
 
 
-def votes_of(lists: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Votes (1 toxic, -1 clean, 0 none) of all voters on all rows; ``labels`` is 1, 0 or -1 for none."""
-    n = len(lists)
-    sizes = np.array([len(x) for x in lists])
-    flat, row = (np.concatenate(lists) if n else np.empty(0, np.int64)), np.repeat(np.arange(n), sizes)
+def votes_of(flat: np.ndarray, at: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Votes (1 toxic, -1 clean, 0 none) of all voters on all rows of buckets; ``labels`` is 1, 0 or -1 for none."""
+    n = len(at) - 1
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(at))
     voters = []
     for own in lexicon_buckets():
         voters.append((np.bincount(row, np.isin(flat, own), n) > 0).astype(np.int8))
@@ -78,7 +78,7 @@ def votes_of(lists: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     leaning[(df >= 4) & (support > 0.5 + rate / 2)] = True
     voters.append(np.where(np.bincount(row, leaning[flat], n) > 0, 0, -1).astype(np.int8))
     voters.append(np.where(labels < 0, 0, 2 * labels - 1).astype(np.int8))
-    return np.stack(voters, axis=1) if n else np.zeros((0, len(voters)), np.int8)
+    return np.stack(voters, axis=1)
 
 
 def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,32 +127,40 @@ def fold(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 3
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, grade: Column, per_class: int, id_col: str, text_col: str) -> pd.DataFrame:
-    """At most ``per_class`` rows of each grade from the training folds, chosen by a hash of the id -> grade, features."""
-    rows = labels.select(F.col(id_col).alias("doc_id"), grade.cast("int").alias("grade")).where("grade is not null and doc_id is not null").where(fold("doc_id") != 1).dropDuplicates(["doc_id"])
+def labelled_features(docs: DataFrame, labels: DataFrame, grade: Column, per_class: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At most ``per_class`` rows of each grade from the training folds, chosen by a hash of the id -> grades, and each row's buckets (flat, with offsets).
+
+    The rows come in the order of their ids.
+    """
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.cast("int").alias("grade")).where("grade is not null and doc_id is not null").where(fold("doc_id") != 1).dropDuplicates(["doc_id"])
     chosen = None
     for value in (r[0] for r in rows.select("grade").distinct().orderBy("grade").limit(16).collect()):
         some = rows.where(F.col("grade") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = some if chosen is None else chosen.union(some)
     if chosen is None:
-        return pd.DataFrame({"grade": np.empty(0, np.int64), "features": []})
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+        return np.empty(0, np.int64), np.empty(0, np.int32), np.zeros(1, np.int64)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # The chosen rows are bounded by ``per_class``, so they may be broadcast.
-    found = texts.join(F.broadcast(chosen), "doc_id").select("grade", "text").mapInArrow(feature_batches, "grade int, features array<int>")
-    return found.toPandas()
+    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text").mapInArrow(feature_batches, "doc_id long, grade int, features array<int>")
+    table = found.toArrow().combine_chunks()
+    if not table.num_rows:
+        return np.empty(0, np.int64), np.empty(0, np.int32), np.zeros(1, np.int64)
+    lists = table.column("features").combine_chunks()
+    order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
+    at = lists.offsets.to_numpy().astype(np.int64)
+    flat, at = gather(lists.values.to_numpy(), at, order)
+    return table.column("grade").to_numpy()[order].astype(np.int64), flat, at
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Fit on labelled rows of the training folds (crc32 of the id modulo 3 is not 1)."""
     kind = F.when(F.col(label_col).isin(0, 1), F.col(label_col))
-    frame = labelled_features(docs, labels, kind, fit_rows, id_col, text_col)
-    order = sorted(range(len(frame)), key=lambda i: (int(frame.grade[i]), len(frame.features[i]), tuple(frame.features[i][:8])))
-    lists, given = [np.asarray(frame.features[i], np.int64) for i in order], np.array([int(frame.grade[i]) for i in order], np.int64)
+    given, flat, at = labelled_features(docs, labels, kind, fit_rows, id_col, text_col)
     if not (given == 1).any() or not (given == 0).any():  # nothing to learn from: every text gets the same score
         return ToxicityModel(-2.0, np.zeros(BUCKETS), np.zeros(0), np.zeros((0, 0)))
-    votes = votes_of(lists, given)
+    votes = votes_of(flat, at, given)
     q, accuracy, correlation = label_model(votes, float(given.mean()))
-    rows = Sparse(lists, q, apart=4.0)
+    rows = Sparse(flat, at, q, apart=4.0)
     # Both classes count alike.
     cost = np.where(q > 0.5, 0.5 / max((q > 0.5).sum(), 1), 0.5 / max((q <= 0.5).sum(), 1)) * len(q)
 

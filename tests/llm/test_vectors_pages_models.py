@@ -183,7 +183,7 @@ def test_cumulative_link_orders_the_grades():
     rng = np.random.default_rng(5)
     grade = rng.integers(0, 3, 900)
     lists = [np.unique(np.concatenate([rng.integers(1, 40, 5), [100 + g] if rng.random() < 0.8 else [100 + rng.integers(0, 3)]])) for g in grade]
-    rows = Sparse(lists, (grade >= 1).astype(float), apart=0.0)
+    rows = Sparse(np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])]), (grade >= 1).astype(float), apart=0.0)
     thresholds, weights = fit_cumulative_link(rows, grade)
     assert thresholds[0] < thresholds[1]
     w = rows.spread(weights)
