@@ -32,8 +32,12 @@ WIDTH = 5
 PERCENT = 80
 #: Rows of one tile that are compared with as many others in one step.
 BLOCK = 2048
+#: Rows before it that a row of a tile is chained to.
+CHAIN = 3
 #: A shingle in at least one of this many documents comes last in the prefix order.
-COMMON_SHARE = 256
+COMMON_SHARE = 2048
+_KEYED = "key long, size int, place int, ck long"
+_TILES = _KEYED + ", lead long"
 _FACTS = "kind int, doc_id long, n_shingles long, ck long, twin long, sketch binary, shingle long, uses long"
 
 
@@ -110,57 +114,62 @@ def _prefixes_of(width: int, percent: int, common: np.ndarray):
                     owner.append((ck, n, len(rows[-1])))
                 if rows:
                     cks, sizes, lengths = (np.array(x, np.int64) for x in zip(*owner, strict=True))
-                    yield _batch("key long, size long, ck long", key=np.concatenate(rows).view(np.int64), size=np.repeat(sizes, lengths), ck=np.repeat(cks, lengths))
+                    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                    yield _batch(_KEYED, key=np.concatenate(rows).view(np.int64), size=np.repeat(sizes, lengths).astype(np.int32), place=place.astype(np.int32), ck=np.repeat(cks, lengths))
 
     return prefixes
 
 
 def _stars_of(percent: int):
+    def leads(starts: np.ndarray, size: np.ndarray, ck: np.ndarray, first: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Leading class and its size for each row; ``starts`` begins a run, ``first`` leads the first row."""
+        starts = starts.copy()
+        starts[0] = True
+        while True:
+            run = np.cumsum(starts) - 1
+            head, head_size = ck[starts], size[starts]
+            head[0], head_size[0] = first
+            out = np.flatnonzero(100 * head_size[run] < percent * size)
+            if not len(out):
+                return head[run], head_size[run]
+            # The first row of a run that is out of its leader's band leads from there on.
+            starts[out[np.concatenate([[True], run[out][1:] != run[out][:-1]])]] = True
+
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (key, size, ck) -> the rows of keys with several classes, each with the leading class of its size band. Keeps one row."""
-        schema = "key long, size long, ck long, lead long"
-        held = None  # the last row so far, and its lead: (key, size, ck, lead, lead's size, emitted before)
-
-        def led(key, size, ck, lead, lead_size):
-            """Leads of consecutive rows; the first row may follow ``lead`` of the same key."""
-            new = np.concatenate([[True], key[1:] != key[:-1]])
-            if lead is not None:
-                new[0] = False
-            while True:
-                group = np.cumsum(new) - 1 + (lead is not None)
-                heads, head_sizes = ck[new], size[new]
-                if lead is not None:
-                    heads, head_sizes = np.concatenate([[lead], heads]), np.concatenate([[lead_size], head_sizes])
-                out = 100 * head_sizes[group] < percent * size
-                if not out.any():
-                    return heads[group], head_sizes[group], new
-                # The first row out of its band begins a new one.
-                first = np.flatnonzero(out)
-                first = first[np.concatenate([[True], group[first][1:] != group[first][:-1]])]
-                new[first] = True
+        """Rows sorted by (key, size, ck) -> rows that have another of their key near in size, each with the leading class of its band.
 
+        Sizes ascend, so a row without a neighbour in reach has no partner at all. One row waits for its successor.
+        """
+        names = ["key", "size", "ck", "place"]
+        held = np.empty((4, 0), np.int64)  # the row that waits
+        joined, first = False, (0, 0)  # whether it follows the row before, and its leader
         for b in batches:
-            key, size, ck = (b.column(c).to_numpy() for c in ("key", "size", "ck"))
-            if not len(key):
-                continue
-            fresh = np.concatenate([[held is None or (key[0], ck[0]) != (held[0], held[2])], (key[1:] != key[:-1]) | (ck[1:] != ck[:-1])])
-            key, size, ck = key[fresh], size[fresh], ck[fresh]
-            if not len(key):
+            rows = np.concatenate([held, np.stack([b.column(c).to_numpy().astype(np.int64) for c in names])], axis=1)
+            if not rows.shape[1]:
                 continue
-            follows = held is not None and held[0] == key[0]
-            lead, lead_size, _ = led(key, size, ck, held[3] if follows else None, held[4] if follows else None)
-            same = key[1:] == key[:-1]
-            several = np.concatenate([[follows], same]) | np.concatenate([same, [False]])
-            last = (int(key[-1]), int(size[-1]), int(ck[-1]), int(lead[-1]), int(lead_size[-1]), bool(several[-1]))
-            if follows and not held[5]:
-                yield _batch(schema, key=[held[0]], size=[held[1]], ck=[held[2]], lead=[held[3]])
-            if several.any():
-                yield _batch(schema, key=key[several], size=size[several], ck=ck[several], lead=lead[several])
-            held = last
+            fresh = np.ones(rows.shape[1], bool)
+            fresh[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[2, 1:] != rows[2, :-1])
+            rows = rows[:, fresh]
+            key, size, ck, _ = rows
+            near = np.ones(rows.shape[1], bool)
+            near[1:] = (key[1:] == key[:-1]) & (100 * size[:-1] >= percent * size[1:])
+            near[0] = joined
+            lead, lead_size = leads(~near, size, ck, first if joined else (ck[0], size[0]))
+            keep = near[:-1] | near[1:]
+            if keep.any():
+                yield _tile_rows(rows[:, :-1][:, keep], lead[:-1][keep])
+            held, joined, first = rows[:, -1:], bool(near[-1]), (int(lead[-1]), int(lead_size[-1]))
+        if joined:
+            yield _tile_rows(held, np.array([first[0]]))
 
     return stars
 
 
+def _tile_rows(rows: np.ndarray, lead: np.ndarray) -> pa.RecordBatch:
+    key, size, ck, place = rows
+    return _batch(_TILES, key=key, size=size.astype(np.int32), place=place.astype(np.int32), ck=ck, lead=lead)
+
+
 def _words(bitmap: bytes) -> np.ndarray:
     return np.frombuffer(bitmap, np.uint64)
 
@@ -191,7 +200,8 @@ def _pairs_of(percent: int):
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by block of a tile and size -> pairs across components that pass the bitmap bound."""
         for names, table in _groups(batches, ["key", "lo", "hi"]):
-            size, ck, comp, part = (table.column(c).to_numpy() for c in ("size", "ck", "comp", "part"))
+            size, ck, comp, part, place = (table.column(c).to_numpy() for c in ("size", "ck", "comp", "part", "place"))
+            size, left = size.astype(np.int64), size.astype(np.int64) - place
             bitmaps = [_words(x) for x in table.column("sketch").to_pylist()]
             widths = np.array([len(x) for x in bitmaps])
             for width in np.unique(widths):
@@ -205,6 +215,8 @@ def _pairs_of(percent: int):
                     at = rows[k : k + step]
                     apart = np.bitwise_count(mine[k : k + step, None, :] ^ other[None, :, :]).sum(axis=2, dtype=np.int64)
                     ok = _reachable(size[at][:, None], size[index][None, :], apart, percent) & (comp[at][:, None] != comp[index][None, :])
+                    # In the first key that two classes share, what they share is no more than what either has from there on.
+                    ok &= (100 + percent) * np.minimum(left[at][:, None], left[index][None, :]) >= percent * (size[at][:, None] + size[index][None, :])
                     ok &= (index[None, :] > at[:, None]) | (widths[index] != width)[None, :]
                     if names[1] != names[2]:
                         ok &= part[at][:, None] != part[index][None, :]
@@ -289,8 +301,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = classes.select("ck", "doc_id", F.when(F.col("_t") == F.col("_u"), F.col("size")).otherwise(F.raise_error(F.lit("two shingle sets share a digest"))).alias("size"), "sketch")
     classes = written(classes, "classes")
 
-    keyed = docs.mapInArrow(_prefixes_of(width, percent, common), "key long, size long, ck long")
-    tiles = written(keyed.repartition("key").sortWithinPartitions("key", "size", "ck").mapInArrow(_stars_of(percent), "key long, size long, ck long, lead long"), "tiles")
+    keyed = docs.mapInArrow(_prefixes_of(width, percent, common), _KEYED)
+    tiles = written(keyed.repartition("key").sortWithinPartitions("key", "size", "ck").mapInArrow(_stars_of(percent), _TILES), "tiles")
 
     def decided(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of class keys that reach the threshold."""
@@ -311,7 +323,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def still_open(links: DataFrame) -> DataFrame:
         """Rows of the tiles that hold several components, with their component and the blocks ``q`` of the tile."""
         labels = components(links).select(F.col("node").alias("ck"), F.col("component").alias("comp"))
-        labelled = written(tiles.select("key", "size", "ck").join(labels, "ck", "left").withColumn("comp", F.coalesce("comp", "ck")), "labelled")
+        labelled = written(tiles.select("key", "size", "place", "ck").join(labels, "ck", "left").withColumn("comp", F.coalesce("comp", "ck")), "labelled")
         keys = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x <> y")
         return labelled.join(keys.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("q")), "key")
 
@@ -319,14 +331,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = decided(possible(lead))
 
     # A chain through each tile in an order of its own links groups whose copies are not all close to the leading one.
-    mixed = still_open(links).withColumns({"place": F.xxhash64("key", "ck"), "bin": F.expr("pmod(xxhash64(ck, key), q)")})
-    along = Window.partitionBy("key", "bin").orderBy("place", "ck")
-    chain = mixed.withColumns({"to": F.lag("ck").over(along), "to_comp": F.lag("comp").over(along)}).where("comp <> to_comp")
-    links = written(links.union(decided(possible(chain.select(F.least("ck", "to").alias("a"), F.greatest("ck", "to").alias("b")).distinct()))), "linked")
+    mixed = still_open(links).withColumns({"turn": F.xxhash64("key", "ck"), "bin": F.expr("pmod(xxhash64(ck, key), q)")})
+    along = Window.partitionBy("key", "bin").orderBy("turn", "ck")
+    steps = F.array(*[F.struct(*[F.lag(c, k).over(along).alias(f"to_{c}") for c in ("ck", "comp", "size")]) for k in range(1, CHAIN + 1)])
+    chain = mixed.select("ck", "comp", "size", steps.alias("steps")).select("ck", "comp", "size", F.explode("steps").alias("s")).select("ck", "comp", "size", "s.*")
+    chain = chain.where(f"comp <> to_comp and 100 * least(size, to_size) >= {percent} * greatest(size, to_size)")
+    links = written(links.union(decided(possible(chain.select(F.least("ck", "to_ck").alias("a"), F.greatest("ck", "to_ck").alias("b")).distinct()))), "linked")
 
     spread = still_open(links).withColumn("part", F.expr("cast(pmod(ck, q) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
-    spread = spread.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "size", "ck", "comp", "part")
-    spread = spread.join(classes.select("ck", "sketch"), "ck").select("key", "lo", "hi", "size", "ck", "comp", "part", "sketch")
+    spread = spread.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "size", "place", "ck", "comp", "part")
+    spread = spread.join(classes.select("ck", "sketch"), "ck").select("key", "lo", "hi", "size", "place", "ck", "comp", "part", "sketch")
     rest = spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "size", "ck").mapInArrow(_pairs_of(percent), "a long, b long").distinct()
     links = links.union(decided(rest))
 
