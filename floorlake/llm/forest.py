@@ -24,7 +24,7 @@ from .common import components, written
 from .jaccard import _groups
 
 THRESHOLD = 0.93
-TREES = 8
+TREES = 6
 LEAF = 1024
 BLOCK = 4096
 FIT_ROWS = 8192
@@ -175,9 +175,11 @@ def vector_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     Equal vectors are compared once and all count as links of each other. Rows of one
     id are vectors of their own under that id. Other columns are not read.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).cast("long").alias("label"))
+    # Vectors of floats are moved as floats; all reckoning is in double precision.
+    kind = "array<float>" if vectors.select(vector_col).dtypes[0][1] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("embedding"), F.col(label_col).cast("long").alias("label"))
     # x - x is zero for finite numbers only; a null component gives a null sum.
-    sound = F.expr("aggregate(embedding, 0.0D, (s, x) -> s + (x - x)) = 0 and aggregate(embedding, 0.0D, (s, x) -> s + x * x) between 1e-280 and 1e280")
+    sound = F.expr("aggregate(embedding, 0.0D, (s, x) -> s + (x - x)) = 0 and aggregate(embedding, 0.0D, (s, x) -> s + double(x) * double(x)) between 1e-280 and 1e280")
     rows = rows.withColumn("usable", F.coalesce(sound & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)))
     rows = rows.withColumns({"k": F.xxhash64("embedding"), "l": F.hash("embedding")})
     usable = rows.where("usable")
@@ -188,7 +190,7 @@ def vector_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     forest = fit(fitted / np.linalg.norm(fitted, axis=1, keepdims=True), threshold, trees)
     depths = classes.groupBy("label").agg(F.least(F.lit(LEVELS), F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / LEAF)))).cast("int").alias("depth"))
     routed = classes.join(depths, "label").select("label", "rep", "n", "embedding", F.when(F.size("embedding") == size, F.col("depth")).otherwise(0).alias("depth"))
-    routed = written(routed.mapInArrow(_router(forest, spill_width(threshold, size)), "label long, leaf long, size int, rep long, n long, embedding array<double>, leaves array<long>"), "leaves")
+    routed = written(routed.mapInArrow(_router(forest, spill_width(threshold, size)), f"label long, leaf long, size int, rep long, n long, embedding {kind}, leaves array<long>"), "leaves")
     blocks = routed.groupBy("label", "leaf", "size").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q"))
     spread = routed.join(blocks, ["label", "leaf", "size"]).withColumn("part", F.expr("cast(pmod(rep, q) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     spread = spread.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")}).drop("q", "other")
