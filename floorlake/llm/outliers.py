@@ -24,8 +24,9 @@ SHARE, STEPS = 0.75, 4
 #: Squared distance beyond which a document is rejected: the chi-square quantile of 1 - 1e-8 for five statistics.
 CUT = 45.0
 _MEDIAN = 4.3515  # the median of that chi-square distribution
-#: Groups of fewer rows are pooled by language; pools of fewer rows reject nothing.
+#: Groups of fewer rows are measured against all rows of their language, or against all rows where those are few too.
 LEAST = 60
+_ALL = "{}"  # the pool of all rows
 #: Names of the statistics, and the least standard deviation that each is given.
 STATISTICS = {"x1": 0.25, "x2": 0.25, "x3": 0.06, "x4": 0.3, "x5": 0.1}
 
@@ -55,13 +56,28 @@ def base_failed() -> Column:
 
 
 def _with_groups(rows: DataFrame) -> DataFrame:
-    """``grp``: language and source as one text, pooled by language where few; null where that is few too."""
-    fine = F.to_json(F.struct("lang", "source"))
-    rows = rows.withColumns({"_fine": fine, "_coarse": F.to_json(F.struct("lang"))})
-    many = rows.where("not base_failed").groupBy("_fine").agg(F.count("*").alias("_n")).where(F.col("_n") >= LEAST).select("_fine", F.col("_fine").alias("_own"))
-    rows = rows.join(many, "_fine", "left").withColumn("_pool", F.coalesce("_own", "_coarse"))
-    pools = rows.where("not base_failed").groupBy("_pool").agg(F.count("*").alias("_n")).where(F.col("_n") >= LEAST).select("_pool", F.col("_pool").alias("grp"))
-    return rows.join(pools, "_pool", "left").drop("_fine", "_coarse", "_own", "_pool")
+    """``grp``: the smallest of source, language and all rows that is large enough; ``judged``: whether the row is measured against it.
+
+    A row that passes the base rules is there once more, not ``judged``, for every other pool that a small group needs,
+    so that a pool rests on all rows of its language, or on all rows.
+    """
+    keep = {"ignoreNullFields": "false"}  # else a null source would share its text with the language
+    rows = rows.withColumns({"_fine": F.to_json(F.struct("lang", "source"), keep), "_coarse": F.to_json(F.struct("lang"), keep)})
+    sizes = written(rows.groupBy("_coarse", "_fine").agg(F.count_if(~F.col("base_failed")).alias("_n")), "sizes")
+    few = F.col("_n").between(1, LEAST - 1)
+    langs = written(sizes.groupBy("_coarse").agg(F.sum("_n").alias("_all"), F.coalesce(F.bool_or(few), F.lit(False)).alias("_few")), "sizes")
+    # A language of few rows has small groups only, so they need the last pool, whatever its size.
+    last = not langs.where(F.col("_all").between(1, LEAST - 1)).isEmpty()
+    many, pooled = F.col("_n") >= LEAST, F.col("_all") >= LEAST
+    groups = sizes.join(langs, "_coarse").select(
+        "_fine",
+        F.when(many, F.col("_fine")).when(pooled, F.col("_coarse")).otherwise(F.lit(_ALL)).alias("_own"),
+        F.array_compact(F.array(F.when(pooled & F.col("_few"), F.col("_coarse")), F.lit(_ALL if last else None).cast("string"))).alias("_pools"),
+    )
+    rows = rows.join(groups, "_fine")
+    pools = F.when(F.col("base_failed"), F.array("_own")).otherwise(F.array_union(F.array("_own"), F.col("_pools")))
+    rows = rows.withColumn("grp", F.explode(pools)).withColumn("judged", F.col("grp") == F.col("_own"))
+    return rows.drop("_fine", "_coarse", "_own", "_pools")
 
 
 def _statistics(rows: DataFrame) -> DataFrame:
@@ -134,13 +150,13 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """-> doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance; one row per row of ``docs``.
 
     Estimates are made of the rows that pass the base rules. A null text has no words, so it fails them. Null languages and
-    sources are groups of their own. Ids may be null or repeat. ``distance`` is null where no estimate was made;
-    such rows are kept unless the base rules reject them. ``keys`` names further columns to carry; no other is read.
+    sources are groups of their own. Ids may be null or repeat. Every row that passes the base rules has a
+    ``distance``; it is null only for rejected rows of a group without an estimate. ``keys`` names further columns to carry; no other is read.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), *[F.col(k) for k in keys], F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
     rows = written(text_statistics(narrow).withColumn("base_failed", base_failed()), "statistics")
     rows = written(_statistics(_with_groups(rows)), "statistics")
-    estimates = minimum_covariance(rows.where("not base_failed and grp is not null").select("grp", *STATISTICS))
-    judged = _distance(rows, estimates).withColumn("distance", F.col("d") / F.col("scale"))
-    kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUT)
+    estimates = minimum_covariance(rows.where("not base_failed").select("grp", *STATISTICS))
+    judged = _distance(rows.where("judged"), estimates).withColumn("distance", F.col("d") / F.col("scale"))
+    kept = ~F.col("base_failed") & (F.col("distance") <= CUT)
     return judged.select("doc_id", *keys, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

@@ -117,6 +117,28 @@ def test_rule_statistics_and_verdicts(spark):
     assert quality_rules(frame(spark, [])).collect() == []
 
 
+def test_small_groups_are_measured_against_all_rows_of_their_language_or_of_the_table(spark):
+    rnd = random.Random(6)
+
+    def plain():
+        return " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 9))) for _ in range(rnd.randrange(60, 400)))
+
+    def odd():
+        return "### " + " *** ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(120))
+
+    places = [("en", "s", 150, 3), ("en", None, 12, 2), ("en", "t", 1, 1), ("fr", "s", 8, 2), (None, None, 5, 1), (None, "s", 0, 1)]
+    rows, want = [], {}
+    for lang, source, normal, strange in places:
+        for text, kept in [(plain(), True) for _ in range(normal)] + [(odd(), False) for _ in range(strange)] + [("too short", False)]:
+            rows.append((len(rows), text, lang, source))
+            want[len(rows) - 1] = kept
+    got = quality_rules(frame(spark, rows)).collect()
+    assert {r.doc_id: r.kept for r in got} == want and len(got) == len(rows)
+    assert all(r.distance is not None for r in got if not r.base_failed)
+    few = quality_rules(frame(spark, rows[:20])).collect()
+    assert len(few) == 20 and all(r.distance is not None and r.kept for r in few)
+
+
 def test_concentration_steps_are_those_of_numpy(spark):
     import numpy as np
 
