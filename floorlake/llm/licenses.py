@@ -1,10 +1,13 @@
-"""License scans: lines and whole texts against licence templates by the Dice coefficient of word bigrams.
+"""License scans: lines, whole texts and passages against licence templates by the Dice coefficient of word bigrams.
 
 DataFrame functions only. Text is lower-cased and everything but letters, digits and line ends becomes
 one blank. With n distinct bigrams on one side and m on the other, Dice is at most 2 min(n, m) /
 (n + m), so a template of m bigrams can only match units of t / (2 - t) * m to (2 - t) / t * m; units
 meet their candidate templates by an equality join on n. The template table is fixed, so its broadcast is
 of fixed size; documents are not shuffled.
+
+A passage is a run of words, over any line ends, that starts and ends with a bigram of the template. Only texts that hold
+enough of a template's bigrams are searched for it, and only places that no line and no whole text has reported.
 """
 
 from __future__ import annotations
@@ -57,11 +60,20 @@ def _normal(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
 
 
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.translate(text, "\n", " "), " "), lambda x: x != "")
+
+
+def _pairs(words: Column) -> Column:
+    """Hashes of the bigrams in their order."""
+    rest = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), rest), F.slice(words, F.lit(2), rest), lambda a, b: F.xxhash64(a, b))
+
+
 def _with_bigrams(units: DataFrame) -> DataFrame:
     """``unit`` -> ``bigrams`` and their number ``n``, rows without any left out."""
-    rows = units.withColumn("_words", F.filter(F.split(F.translate("unit", "\n", " "), " "), lambda x: x != "")).drop("unit")
-    pairs = F.zip_with(F.slice("_words", F.lit(1), F.greatest(F.size("_words") - 1, F.lit(0))), F.slice("_words", F.lit(2), F.greatest(F.size("_words") - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    rows = rows.withColumn("bigrams", F.array_distinct(pairs)).drop("_words")
+    rows = units.withColumn("_words", _words(F.col("unit"))).drop("unit")
+    rows = rows.withColumn("bigrams", F.array_distinct(_pairs(F.col("_words")))).drop("_words")
     return rows.withColumn("n", F.size("bigrams")).where("n > 0")
 
 
@@ -73,18 +85,70 @@ def templates(spark: SparkSession, threshold: float = THRESHOLD) -> DataFrame:
     return rows.withColumn("n", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
 
 
+def passages(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``rows``: doc_id, _lines (normal) -> the columns of ``license_scans`` for passages at places without a match of their own.
+
+    A passage has at most (2 - t) / t times as many bigrams as the template. Of passages that overlap, the one of
+    the highest Dice counts, then the earlier one; ``line`` is the line on which it starts.
+    """
+    spark = rows.sparkSession
+    known = spark.createDataFrame(list(TEMPLATES.items()), "license_id string, text string").withColumn("_all", _pairs(_words(_normal(F.col("text")))))
+    known = known.select("license_id", F.array_distinct("_all").alias("pattern"), F.floor(F.size("_all") * ((2 - threshold) / threshold) + 1e-9).cast("int").alias("most"))
+    known = known.withColumn("m", F.size("pattern")).withColumn("need", F.ceil(F.col("m") * (threshold / (2 - threshold)) - 1e-9).cast("int"))
+    fixed = known.select("pattern", "need").collect()  # fixed by TEMPLATES
+    every = F.array(*[F.lit(h) for h in sorted({h for r in fixed for h in r.pattern})]).cast("array<bigint>")
+    rows = rows.withColumn("_pairs", _pairs(_words(F.concat_ws(" ", "_lines")))).where(F.size(F.array_intersect("_pairs", every)) >= min(r.need for r in fixed))
+    rows = rows.crossJoin(F.broadcast(known)).where(F.size(F.array_intersect("_pairs", "pattern")) >= F.col("need"))
+
+    def dice(bigrams: Column) -> Column:
+        return 2 * F.size(F.array_intersect(bigrams, F.col("pattern"))) / (F.size(F.array_distinct(bigrams)) + F.col("m"))
+
+    def reaches(bigrams: Column) -> Column:
+        return dice(bigrams) >= threshold - 1e-12
+
+    rows = rows.where((F.size("_lines") == 1) | ~reaches(F.col("_pairs")))
+    own = F.filter(F.transform("_lines", lambda x, i: F.when(reaches(_pairs(_words(x))), i + 1)), lambda x: x.isNotNull())
+    at = F.flatten(F.transform("_lines", lambda x, i: F.array_repeat(i + 1, F.size(_words(x)))))
+    spots = F.filter(F.transform("_pairs", lambda h, i: F.when(F.array_contains("pattern", h), i)), lambda x: x.isNotNull())
+    rows = rows.select("doc_id", "license_id", "pattern", "m", "need", "most", "_pairs", own.alias("_own"), at.alias("_at"), spots.alias("_spots"))
+    last = F.size("_spots") - 1
+
+    def ends(a: Column) -> Column:
+        start = F.get("_spots", a)
+        inside = F.filter(F.sequence(a + F.col("need") - 1, F.least(last, a + F.col("most") - 1)), lambda b: F.get("_spots", b) - start < F.col("most"))
+        return F.transform(inside, lambda b: F.struct(start.alias("start"), F.get("_spots", b).alias("stop")))
+
+    found = F.flatten(F.transform(F.sequence(F.lit(0), last + 1 - F.col("need")), ends))
+    # A place that a line has reported is not reported again.
+    free = F.filter(found, lambda x: ~F.exists("_own", lambda i: i.between(F.get("_at", x["start"]), F.get("_at", x["stop"] + 1))))
+    rows = rows.withColumn("_found", free)  # no filter on it here: it would be pushed down and computed again for every element
+
+    def measured(x: Column) -> Column:
+        bigrams = F.slice("_pairs", x["start"] + 1, x["stop"] - x["start"] + 1)
+        overlap = F.size(F.array_intersect(bigrams, F.col("pattern")))
+        return F.struct((-dice(bigrams)).alias("less"), x["start"].alias("start"), x["stop"].alias("stop"), overlap.alias("overlap"))
+
+    good = F.sort_array(F.filter(F.transform("_found", measured), lambda x: -x["less"] >= threshold - 1e-12))
+    none = F.array().cast("array<struct<less:double,start:int,stop:int,overlap:int>>")
+    apart = F.aggregate(good, none, lambda kept, x: F.when(F.exists(kept, lambda y: (x["start"] <= y["stop"] + 1) & (y["start"] <= x["stop"] + 1)), kept).otherwise(F.concat(kept, F.array(x))))
+    rows = rows.select("doc_id", "license_id", "_at", F.explode_outer(apart).alias("x")).where("x is not null")
+    return rows.select("doc_id", F.get("_at", F.col("x.start")).alias("line"), "license_id", "x.overlap", (-F.col("x.less")).alias("dice"))
+
+
 def license_scans(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """-> doc_id, line, license_id, overlap, dice: one row per unit and template that reach ``threshold``.
 
-    ``line`` is the 1-based number of the line that matches, 0 for the text as a whole where it has several lines. Null and
+    ``line`` is the 1-based number of the line that matches, 0 for the text as a whole where it has several lines; for a
+    passage over several lines or inside a longer one, the line on which it starts (see ``passages``). Null and
     empty texts match nothing; repeated rows give repeated matches, a null id is kept, ties between templates are all
     returned. Other columns are not read.
     """
     lines = F.split(_normal(F.col(text_col)), "\n", -1)
     rows = docs.select(F.col(id_col).alias("doc_id"), lines.alias("_lines"))
+    inner = passages(rows.where("_lines is not null"), threshold)
     whole = F.when(F.size("_lines") > 1, F.concat_ws("\n", "_lines"))
     rows = rows.select("doc_id", F.posexplode(F.concat(F.array(whole), F.col("_lines"))).alias("line", "unit")).where("unit is not null")
     known = F.broadcast(templates(docs.sparkSession, threshold))  # fixed by TEMPLATES
     found = _with_bigrams(rows).join(known, "n").withColumn("overlap", F.size(F.array_intersect("bigrams", "pattern")))
     dice = 2 * F.col("overlap") / (F.col("n") + F.col("m"))
-    return found.withColumn("dice", dice).where(F.col("dice") >= threshold - 1e-12).select("doc_id", "line", "license_id", "overlap", "dice")
+    return found.withColumn("dice", dice).where(F.col("dice") >= threshold - 1e-12).select("doc_id", "line", "license_id", "overlap", "dice").union(inner)

@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,3 +191,22 @@ def test_license_scans(spark):
     got = collections.Counter((r.doc_id, r.line, r.license_id, r.overlap, round(r.dice, 12)) for r in license_scans(frame(spark, rows)).collect())
     assert got == collections.Counter((i, *s) for i, t, _, _ in rows if t for s in scans(t))
     assert license_scans(frame(spark, [])).collect() == []
+
+
+def test_license_passages_over_line_ends_and_inside_lines(spark):
+    def wrapped(name, before=""):
+        return "\n".join(before + x for x in textwrap.wrap(TEMPLATES[name], 72))
+
+    prose = "\n".join(" ".join(f"w{i}x{j}" for j in range(12)) for i in range(40))
+    line = " ".join(f"v{i}" for i in range(60))
+    texts = {
+        1: f"{prose}\n\n{wrapped('mit')}\n\n{prose}",
+        2: f"{wrapped('header-apache-2.0', '# ')}\n\n{prose}",
+        3: f"{line} {TEMPLATES['notice-mit']} {line}",
+        4: f"{prose}\n{wrapped('isc')}\n{prose}\n{wrapped('isc')}\n{TEMPLATES['notice-bsd']}",
+        5: f"{prose}\n{line}",
+    }
+    got = {(r.doc_id, r.line, r.license_id, round(r.dice, 12)) for r in license_scans(frame(spark, [(i, t, None, None) for i, t in texts.items()])).collect()}
+    height = len(wrapped("isc").split("\n"))
+    want = {(1, 42, "mit", 1.0), (2, 1, "header-apache-2.0", 1.0), (2, 1, "notice-apache-2.0", 1.0), (3, 1, "notice-mit", 1.0)}
+    assert got == want | {(4, 41, "isc", 1.0), (4, 81 + height, "isc", 1.0), (4, 81 + 2 * height, "notice-bsd", 1.0)}
