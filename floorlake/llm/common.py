@@ -30,6 +30,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table that may be broadcast; a larger one is joined by shuffles.
+BROADCAST_ROWS = 200_000
+
+
+def sized(table: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked for broadcasting only where a count shows that it is small."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
 def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
     """The store and the path in it for ``folder``, a URI (file, hdfs, s3, gs) or an absolute path."""
     if folder.startswith("file:"):

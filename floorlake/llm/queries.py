@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .archive import archived_pages
 from .bpe import round_trip_digests
+from .codes import vector_codes
+from .divergence import source_divergence
 from .forest import vector_components
 from .grades import quality_grades
 from .jaccard import jaccard_components
 from .licenses import TEMPLATES, license_scans
 from .outliers import quality_rules
 from .packing import pack_documents
+from .suffixes import contamination_report
 from .tokenfile import token_file_documents
 from .toxicity import toxicity_scores
 
@@ -129,3 +132,71 @@ def op8_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_quality_rules")
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+_NEAREST = """a{k} AS (SELECT vec_id, part, x, min(list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 64 + e)::BIGINT AS best
+       FROM p JOIN c{k} USING (part) GROUP BY ALL),
+"""
+_MOVED = """m{k} AS (SELECT part, e, list(floor(total / n)::BIGINT ORDER BY i) AS z
+       FROM (SELECT part, best % 64 AS e, i, sum(x[i]) AS total, count(*) AS n FROM a{k}, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i) GROUP BY ALL) GROUP BY ALL),
+c{j} AS (SELECT part, e, coalesce(z, y) AS y FROM c{k} LEFT JOIN m{k} USING (part, e)),
+"""
+_CODES = f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, part, v[len(v) // 16 * part + 1 : len(v) // 16 * (part + 1)] AS x FROM k, range(16) r(part)),
+c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x AS y FROM p QUALIFY e < 64),
+{_NEAREST.format(k=0)}{_MOVED.format(k=0, j=1)}{_NEAREST.format(k=1)}{_MOVED.format(k=1, j=2)}{_NEAREST.format(k=2)}
+books AS (SELECT sha256(string_agg(y[i]::VARCHAR, ',' ORDER BY part, e, i)) AS digest FROM c2, LATERAL (SELECT unnest(range(1, len(y) + 1)) AS i)),
+coded AS (SELECT vec_id, string_agg(printf('%02x', best % 64), '' ORDER BY part) AS code, sum(best // 64)::BIGINT AS error FROM a2 GROUP BY vec_id),
+labelled AS (SELECT vec_id, label, code, error FROM coded JOIN k USING (vec_id))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, digest AS codebooks_sha256 FROM labelled, books
+"""
+
+
+@_query("op11_vector_codes", _CODES)
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+_ITEM_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(_FOLDED)
+_CONTAMINATION = f"""
+WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_ITEM_WORDS} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i : i + 9], ' ') AS s FROM b, LATERAL (SELECT unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i) WHERE len(w) > 0),
+spots AS (SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS s FROM d, (SELECT DISTINCT k FROM windows), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)),
+met AS (SELECT doc_id, i, k, item_id FROM spots JOIN windows USING (k, s)),
+hits AS (SELECT doc_id, count(DISTINCT h) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS h FROM met) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM met) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@_query("op12_benchmark_decontamination", _CONTAMINATION)
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_DIVERGENCE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_FOLDED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT lang, source, r, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+sizes AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+shares AS (SELECT lang, source, term, coalesce(n, 0) AS n, (1 + 1000000000 * (coalesce(n, 0) + 1) // (total + v))::BIGINT AS p, (1 + 1000000000 * (lang_n + 1) // (lang_total + v))::BIGINT AS q
+           FROM totals JOIN kept USING (lang) JOIN sizes USING (lang) LEFT JOIN counts USING (lang, source, term)),
+summed AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+          LEFT JOIN summed s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source),
+above AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM shares WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pairs
+UNION ALL SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM above QUALIFY rank <= 200
+"""
+
+
+@_query("op13_source_divergence", _DIVERGENCE)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))

@@ -39,9 +39,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts (ASCII case folded), and the number of words of each text.
 
+    ``breaks`` tells for each byte whether it parts words.
+
     A word hash is a polynomial over per-byte random codes modulo 2**64, taken from differences of
     one running sum, so no Python object is made for a word.
     """
@@ -52,7 +54,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint64), np.zeros(n, np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8, hi - lo, lo)
     ends = ends - lo
-    inside = ~_SPACE[data]
+    inside = ~breaks[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     cut = ends[1:-1]
