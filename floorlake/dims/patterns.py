@@ -22,12 +22,31 @@ ROOM_LABELS = [
 ]
 # Whole labels that are drawing metadata.
 TITLE_NOISE = (
-    r"^(?:(?:GROUND|FIRST|SECOND|THIRD|TYPICAL|UPPER|LOWER|BASEMENT|ROOF|[0-9]+(?:ST|ND|RD|TH))?\s*FLOOR\s"
-    r"*PLAN|(?:SITE|LAYOUT|KEY|LOCATION|ROOF|CEILING|FURNITURE|ELECTRICAL|PLUMBING)\s*PLAN|SCALE\s*[:=]?.*"
-    r"|N\.?T\.?S\.?|DO\s*NOT\s*SCALE.*|DRAWN\s*BY.*|CHECKED\s*BY.*|APPROVED.*|CLIENT.*|PROJECT.*|DRAWING\s"
-    r"*(NO|TITLE).*|SHEET\s*(NO)?.*|REV(ISION)?\s*(NO)?.*|DATE\s*[:=]?.*|ALL\s+DIMENSIONS?.*|NOTES?\s*[:=]"
-    r"?|LEGEND|GENERAL\s+NOTES?|SECTION\s*[-A-Z0-9 ]*|ELEVATION\s*[-A-Z0-9 ]*|DETAIL\s*[-A-Z0-9 ]*|NORTH|T"
-    r"RUE\s*NORTH)$"
+    r"^(?:"
+    r"(?:GROUND|FIRST|SECOND|THIRD|TYPICAL|UPPER|LOWER|BASEMENT|ROOF|[0-9]+(?:ST|ND|RD|TH))?\s*FLOOR\s*PLAN"
+    r"|(?:SITE|LAYOUT|KEY|LOCATION|ROOF|CEILING|FURNITURE|ELECTRICAL|PLUMBING)\s*PLAN"
+    r"|SCALE\s*[:=]?.*"
+    r"|N\.?T\.?S\.?"
+    r"|DO\s*NOT\s*SCALE.*"
+    r"|DRAWN\s*BY.*"
+    r"|CHECKED\s*BY.*"
+    r"|APPROVED.*"
+    r"|CLIENT.*"
+    r"|PROJECT.*"
+    r"|DRAWING\s*(NO|TITLE).*"
+    r"|SHEET\s*(NO)?.*"
+    r"|REV(ISION)?\s*(NO)?.*"
+    r"|DATE\s*[:=]?.*"
+    r"|ALL\s+DIMENSIONS?.*"
+    r"|NOTES?\s*[:=]?"
+    r"|LEGEND"
+    r"|GENERAL\s+NOTES?"
+    r"|SECTION\s*[-A-Z0-9 ]*"
+    r"|ELEVATION\s*[-A-Z0-9 ]*"
+    r"|DETAIL\s*[-A-Z0-9 ]*"
+    r"|NORTH"
+    r"|TRUE\s*NORTH"
+    r")$"
 )
 # Specific room type and its parent.
 ROOM_PARENTS = [
