@@ -1,13 +1,12 @@
 """Fitting picture sheets to drawings by their labels, and interior views to regions.
 
-Candidates are pruned to 8 per label and 150 per sheet before anything quadratic happens, so pairs,
-fits and scores per sheet have a fixed ceiling and sheets run in parallel.
+All candidates of a sheet take part. Every label is paired with a fixed number of others, which is all of them on
+sheets of a few dozen labels, so the pairs grow with the labels and not with their square. The transform of each pair
+votes for cells of transforms; only the fits of the fullest cells are measured against all candidates.
 """
 
 from __future__ import annotations
 
-from itertools import permutations
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +14,14 @@ from pyspark.sql import functions as F
 from ..dims import dim
 from ..functions import text as tx
 from ..session import cut_lineage
-from .scale import rank_within, top_within
-
-PER_LABEL, PER_SHEET = 8, 150
+from .scale import greedy_matching, rank_within, top_within
+
+#: Labels that each label of a sheet is paired with, and the fullest cells of a sheet whose fits are measured.
+PARTNERS, FULLEST = 64, 4
+#: Side of a cell of transforms in tolerances, and the number of grids, each shifted against the one before.
+CELL, GRIDS = 2.0, 5
+#: Room types there are, so the most that a plan can show (fixed by the vocabulary).
+ALL_TYPES = 14
 MIN_SCALE, MAX_SCALE = 0.5, 500.0
 SNAP_DEG = 4.0
 MIN_IN_FRAME = 0.3
@@ -35,12 +39,12 @@ def match_keys(anchors: DataFrame) -> DataFrame:
     return keyed.filter(tx.informative(F.col("match_key")))
 
 
-def candidates(image: DataFrame, drawing: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
+def candidates(image: DataFrame, drawing: DataFrame, per_label: int | None = None) -> DataFrame:
     """Image labels against drawing labels of the same sheet.
 
     Similar texts share a word or a character pair, so the join runs on those instead of on all
     pairs. ``image``: sheet_id, uid, match_key, room_type, confidence, u, v; ``drawing``: the same
-    with x, y and kind.
+    with x, y and kind. ``per_label`` keeps only the best of each image label.
     """
     grams = lambda df: df.withColumn("_g", F.explode(F.array_distinct(F.concat(tx.bigrams(F.col("match_key")), F.split("match_key", " "), F.when(
         F.coalesce("room_type", F.lit("unknown")).isin("", "unknown", "none"), F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("type:"), "room_type")))))))
@@ -58,7 +62,7 @@ def candidates(image: DataFrame, drawing: DataFrame, per_label: int = PER_LABEL)
     sure = lambda c: F.when(F.coalesce(c, F.lit(0.0)) == 0, 1.0).otherwise(F.col(c))
     trust = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.least(sure("_ca"), sure("_cb"))))
     scored = staged.withColumn("weight", F.col("weight") * F.when(F.col("kind") != "room_label", 0.8).otherwise(1.0) * (0.5 + 0.5 * trust))
-    best = top_within(scored, [SHEET, "image_label_id"], [F.round("weight", 9).desc(), F.asc("cad_uid")], per_label, "_r")
+    best = scored if per_label is None else top_within(scored, [SHEET, "image_label_id"], [F.round("weight", 9).desc(), F.asc("cad_uid")], per_label, "_r")
     return best.select(SHEET, "image_label_id", "cad_uid", "text", "u", "v", "x", "y", F.round(F.col("weight") + 1e-9, 4).alias("weight"))
 
 
@@ -67,8 +71,9 @@ def unmatched(anchors: DataFrame, used: DataFrame, key: str) -> DataFrame:
     return anchors.join(used.select(SHEET, F.col(key).alias("uid")), [SHEET, "uid"], "left_anti").select(SHEET, "match_key").distinct()
 
 
-def prune(pool: DataFrame, limit: int = PER_SHEET) -> DataFrame:
-    return top_within(pool, [SHEET], [F.desc("weight"), F.asc("image_label_id"), F.asc("cad_uid")], limit, "no")
+def numbered(pool: DataFrame) -> DataFrame:
+    """``no``: the rank of every candidate of its sheet, heaviest first."""
+    return rank_within(pool, [SHEET], [F.desc("weight"), F.asc("image_label_id"), F.asc("cad_uid")], "no")
 
 
 # -- fits --------------------------------------------------------------------------
@@ -102,49 +107,72 @@ def fit_groups(points: DataFrame, keys: list[str], rotation: Column | None = Non
     return sums.filter("_n >= 2").withColumn("fit", similarity({k: F.col(f"_{k}") for k in terms}, rotation)).filter("fit IS NOT NULL").select(*keys, "fit")
 
 
-def pair_fits(pool: DataFrame) -> DataFrame:
-    """A fit for every pair of candidates with different labels on both sides (at most 11,175 a sheet)."""
-    side = lambda p: pool.select(SHEET, *[F.col(c).alias(f"{p}_{c}") for c in ("no", "image_label_id", "cad_uid", "u", "v", "x", "y", "weight")])
-    pairs = side("i").join(side("j"), SHEET).filter("i_no < j_no AND i_image_label_id <> j_image_label_id AND i_cad_uid <> j_cad_uid")
+def pair_fits(pool: DataFrame, partners: int = PARTNERS) -> DataFrame:
+    """A fit for pairs of candidates with different labels on both sides, with the sums it is made of.
+
+    Labels are put into a hashed order and paired with the ``partners`` that follow; every candidate of the one meets every
+    candidate of the other.
+    """
+    labels = rank_within(pool.select(SHEET, "image_label_id").distinct().withColumn("_h", F.xxhash64("image_label_id")), [SHEET], [F.asc("_h"), F.asc("image_label_id")], "_k").drop("_h")
+    turned = cut_lineage(labels).select(SHEET, "image_label_id", "_k")
+    meeting = turned.withColumn("_o", F.explode(F.sequence(F.lit(1), F.lit(partners)))).select(SHEET, F.col("image_label_id").alias("i_image_label_id"), (F.col("_k") + F.col("_o")).alias("_k"))
+    meeting = meeting.join(turned.withColumnRenamed("image_label_id", "j_image_label_id"), [SHEET, "_k"]).drop("_k")
+    side = lambda p: pool.select(SHEET, *[F.col(c).alias(f"{p}_{c}") for c in ("image_label_id", "cad_uid", "u", "v", "x", "y", "weight")], *(["tolerance_m"] if p == "i" else []))
+    pairs = meeting.join(side("i"), [SHEET, "i_image_label_id"]).join(side("j"), [SHEET, "j_image_label_id"]).filter("i_cad_uid <> j_cad_uid")
     one = lambda p: moments(*[F.col(f"{p}_{c}") for c in ("u", "v", "x", "y", "weight")])
     a, b = one("i"), one("j")
     staged = pairs.withColumns({f"_{k}": a[k] + b[k] for k in a})
-    return staged.withColumn("fit", similarity({k: F.col(f"_{k}") for k in a})).filter("fit IS NOT NULL").select(SHEET, F.col("i_no").alias("i"), F.col("j_no").alias("j"), "fit")
+    return staged.withColumn("fit", similarity({k: F.col(f"_{k}") for k in a})).filter("fit IS NOT NULL").select(SHEET, "tolerance_m", "fit", *[f"_{k}" for k in a])
+
+
+def voted_fits(pairs: DataFrame, fullest: int = FULLEST) -> DataFrame:
+    """The fits of the fullest cells of every sheet, each from the summed moments of the pairs in the cell.
+
+    A similarity is where it takes two points, the middles of the picture's left and right edge: four numbers. They are
+    cut into cells of a few tolerances; several shifted grids see to it that like transforms share a cell.
+    """
+    f = lambda name: F.col(f"fit.{name}")
+    ends = [f("a") * u + f("b") * 0.5 + f("tx") for u in (0.0, 1.0)] + [f("c") * u + f("d") * 0.5 + f("ty") for u in (0.0, 1.0)]
+    sums = [c for c in pairs.columns if c.startswith("_")]
+    spread = pairs.withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(GRIDS - 1))))
+    cells = [F.floor(e / (CELL * F.col("tolerance_m")) + F.col("grid") / GRIDS) for e in ends]
+    votes = spread.withColumn("cell", F.array(*cells)).groupBy(SHEET, "grid", "cell").agg(*[F.sum(c).alias(c) for c in sums])
+    best = top_within(votes, [SHEET], [F.round("_w", 9).desc(), F.asc("grid"), F.asc("cell")], fullest, "nth")
+    return best.withColumn("fit", similarity({c[1:]: F.col(c) for c in sums})).filter("fit IS NOT NULL").select(SHEET, "nth", "fit")
 
 
 def evaluate(fits: DataFrame, pool: DataFrame, keys: list[str]) -> DataFrame:
-    """One-to-one inliers of every fit, closest first. ``pool`` carries tolerance_m.
+    """One-to-one inliers of every fit, closest first, summed up. ``pool`` carries tolerance_m.
 
-    Per fit only the candidates inside the tolerance are listed - at most the 150 of its sheet -
-    and one ordered fold takes each label once on either side.
+    -> keys, fit, tolerance_m, inlier_count, support, residual_mean, residual_max; ``inlier_rows`` has the inliers.
     """
-    placed = fits.join(pool, SHEET).withColumns({
+    near = inlier_rows(fits, pool, keys)
+    scored = near.groupBy(*keys).agg(F.count("*").alias("inlier_count"), F.round(F.sum("weight"), 9).alias("support"), F.round(F.avg("residual"), 9).alias("residual_mean"), F.max("residual").alias("residual_max"), F.first("tolerance_m").alias("tolerance_m"))
+    return fits.select(*keys, "fit").join(scored.filter("inlier_count >= 2"), keys)
+
+
+def inlier_rows(fits: DataFrame, pool: DataFrame, keys: list[str]) -> DataFrame:
+    """The candidates within the tolerance of each fit, each label once on either side, with their ``residual``."""
+    placed = fits.select(*keys, "fit").join(pool, SHEET).withColumns({
         "_px": F.col("fit.a") * F.col("u") + F.col("fit.b") * F.col("v") + F.col("fit.tx"), "_py": F.col("fit.c") * F.col("u") + F.col("fit.d") * F.col("v") + F.col("fit.ty")})
-    near = placed.withColumn("residual", F.hypot(F.col("_px") - F.col("x"), F.col("_py") - F.col("y"))).filter(F.round("residual", 9) <= F.col("tolerance_m"))
-    listed = near.groupBy(*keys, "fit", "tolerance_m").agg(F.array_sort(F.collect_list(F.struct(
-        F.round("residual", 9).alias("r"), F.col("image_label_id").alias("image"), F.col("cad_uid").alias("cad"), F.col("no").alias("no"), F.col("weight").alias("w")))).alias("_l"))
-    entry = listed.schema["_l"].dataType.simpleString()
-    kept = F.aggregate("_l", F.expr(f"CAST(array() AS {entry})"), lambda acc, e: F.when(
-        F.exists(acc, lambda k: (k["image"] == e["image"]) | (k["cad"] == e["cad"])), acc).otherwise(F.array_append(acc, e)))
-    scored = listed.withColumn("inliers", kept).filter(F.size("inliers") >= 2)
-    total = lambda f: F.aggregate("inliers", F.lit(0.0), lambda a, e: a + e[f])
-    return scored.select(*keys, "fit", "tolerance_m", "inliers", F.size("inliers").alias("inlier_count"), F.round(total("w"), 9).alias("support"),
-                         F.round(total("r") / F.size("inliers"), 9).alias("residual_mean"), F.array_max(F.transform("inliers", lambda e: e["r"])).alias("residual_max"))
+    near = placed.withColumn("residual", F.round(F.hypot(F.col("_px") - F.col("x"), F.col("_py") - F.col("y")), 9)).filter("residual <= tolerance_m").drop("_px", "_py", "fit")
+    return greedy_matching(near, keys, "image_label_id", "cad_uid", ["residual"])
 
 
 def best_fits(scored: DataFrame) -> DataFrame:
-    """Most support, then smaller mean residual, then the first pair."""
-    order = F.struct((-F.col("support")).alias("s"), F.col("residual_mean").alias("m"), "i", "j", "fit", "inliers", "inlier_count", "residual_max", "tolerance_m")
+    """Most support, then smaller mean residual, then the fuller cell."""
+    fields = ["inlier_count", "residual_max", "tolerance_m"]
+    order = F.struct((-F.col("support")).alias("s"), F.col("residual_mean").alias("m"), "nth", "fit", *fields)
     picked = scored.groupBy(SHEET).agg(F.min(order).alias("b"))
-    return picked.select(SHEET, "b.fit", "b.tolerance_m", "b.inliers", "b.inlier_count", (-F.col("b.s")).alias("support"), F.col("b.m").alias("residual_mean"), "b.residual_max")
+    return picked.select(SHEET, "b.fit", *[f"b.{f}" for f in fields], (-F.col("b.s")).alias("support"), F.col("b.m").alias("residual_mean"))
 
 
 def _inlier_points(best: DataFrame, pool: DataFrame) -> DataFrame:
-    return best.select(SHEET, F.explode(F.transform("inliers", lambda e: e["no"])).alias("no")).join(pool, [SHEET, "no"])
+    return inlier_rows(best, pool, [SHEET])
 
 
 def _adopt(best: DataFrame, challenger: DataFrame, wins: Column, flag: str | None = None) -> DataFrame:
-    fields = ["fit", "tolerance_m", "inliers", "inlier_count", "support", "residual_mean", "residual_max"]
+    fields = ["fit", "tolerance_m", "inlier_count", "support", "residual_mean", "residual_max"]
     other = challenger.select(SHEET, *[F.col(f).alias(f"_n_{f}") for f in fields])
     joined = best.join(other, SHEET, "left").withColumn("_w", F.coalesce(wins, F.lit(False)))
     out = joined.select(SHEET, *[F.when(F.col("_w"), F.col(f"_n_{f}")).otherwise(F.col(f)).alias(f) for f in fields], *([F.col("_w").alias(flag)] if flag else []))
@@ -152,13 +180,14 @@ def _adopt(best: DataFrame, challenger: DataFrame, wins: Column, flag: str | Non
 
 
 def consensus(candidate_rows: DataFrame, sheets: DataFrame, passes: int = 2) -> DataFrame:
-    """Best transform per sheet: pair search, up to two refits while they improve, square-up.
+    """Best transform per sheet: votes of pairs, up to ``passes`` refits while they improve, square-up.
 
     ``sheets``: sheet_id, x0, y0, x1, y1 (plan bounds).
     """
     limits = sheets.select(SHEET, tolerance(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("tolerance_m"))
-    pool = cut_lineage(prune(candidate_rows).join(limits, SHEET))
-    best = cut_lineage(best_fits(evaluate(pair_fits(pool), pool, [SHEET, "i", "j"])))
+    pool = cut_lineage(numbered(candidate_rows).join(limits, SHEET))
+    fits = cut_lineage(voted_fits(pair_fits(pool)))
+    best = cut_lineage(best_fits(evaluate(fits, pool, [SHEET, "nth"])))
     for _ in range(passes):
         again = evaluate(fit_groups(_inlier_points(best, pool), [SHEET]), pool, [SHEET])
         better = (F.col("_n_support") - F.col("support") > 1e-9) | ((F.abs(F.col("_n_support") - F.col("support")) <= 1e-9) & (F.col("_n_residual_mean") < F.col("residual_mean")))
@@ -235,41 +264,65 @@ def score_regions(types: DataFrame, regions: DataFrame, plan: str = "building_id
     return pairs.select(plan, "observed_type", "room_id", F.col("_rank").alias("region_order"), F.greatest(F.lit(0.0), score).alias("score"), "room_type", "room_type_confidence")
 
 
+def best_assignment(value: list[list[int]]) -> list[int]:
+    """Column of each row such that the sum of the whole numbers is largest (no more rows than columns).
+
+    Shortest augmenting paths with row and column potentials, one row at a time.
+    """
+    rows, cols = len(value), len(value[0]) if value else 0
+    u, v, owner, back = [0] * (rows + 1), [0] * (cols + 1), [0] * (cols + 1), [0] * (cols + 1)
+    for i in range(1, rows + 1):
+        owner[0], j = i, 0
+        least: list[int | None] = [None] * (cols + 1)
+        used = [False] * (cols + 1)
+        while owner[j]:
+            used[j] = True
+            at, delta, nearest = owner[j], None, 0
+            for k in range(1, cols + 1):
+                if not used[k]:
+                    cost = -value[at - 1][k - 1] - u[at] - v[k]
+                    if least[k] is None or cost < least[k]:
+                        least[k], back[k] = cost, j
+                    if delta is None or least[k] < delta:
+                        delta, nearest = least[k], k
+            for k in range(cols + 1):
+                if used[k]:
+                    u[owner[k]] += delta
+                    v[k] -= delta
+                elif least[k] is not None:
+                    least[k] -= delta
+            j = nearest
+        while j:
+            owner[j] = owner[back[j]]
+            j = back[j]
+    found = [0] * rows
+    for k in range(1, cols + 1):
+        if owner[k]:
+            found[owner[k] - 1] = k - 1
+    return found
+
+
 def assign_regions(scores: DataFrame, type_order: DataFrame, plan: str = "building_id") -> DataFrame:
-    """Distinct region per type: best total for up to 6 types and 8 regions, else greedy in type order.
+    """A region of its own for each type such that the sum of the scores is largest -> plan, observed_type, room_id.
 
-    ``type_order``: plan, observed_type, position. Greedy choices only ever need a type's best
-    fourteen regions (thirteen may be taken), so every group handed to Python has at most 196 rows.
+    ``type_order``: plan, observed_type, position. Of equal sums the one that gives the first types the first regions
+    counts. A type whose score is below MIN_ASSIGN, or for which no region is left, has none. There are at most
+    ``ALL_TYPES`` types, so of a type's regions only as many of the best can be needed, whatever the size of the plan: the
+    others are dropped before the shuffle, and the one exact method sees a small table of each plan.
     """
-    counts = scores.groupBy(plan).agg(F.count_distinct("observed_type").alias("_t"), F.count_distinct("room_id").alias("_r"))
-    sized = scores.join(counts, plan).join(type_order, [plan, "observed_type"])
-    small = (F.col("_t") <= 6) & (F.col("_r") <= 8)
-    exact = sized.filter(small).withColumn("_k", F.lit(0).cast("long"))
-    wide = top_within(sized.filter(~small), [plan, "observed_type"], [F.round("score", 12).desc(), F.asc("region_order")], 14, "_k")
-    rows = exact.unionByName(wide.withColumn("_k", F.col("_k").cast("long"))).select(plan, "observed_type", "position", "room_id", "region_order", F.round("score", 12).alias("score"), small.alias("small"))
+    sized = scores.join(type_order, [plan, "observed_type"])
+    rows = top_within(sized, [plan, "observed_type"], [F.round("score", 12).desc(), F.asc("region_order")], ALL_TYPES, "_k").select(plan, "observed_type", "position", "room_id", "region_order", F.round("score", 12).alias("score"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["position", "region_order"])
-        types = list(dict.fromkeys(pdf["observed_type"]))
-        value = {(t, r): s for t, r, s in zip(pdf["observed_type"], pdf["room_id"], pdf["score"])}
-        chosen: dict[str, int] = {}
-        if pdf["small"].iloc[0]:
-            rooms = list(dict.fromkeys(pdf.sort_values("region_order")["room_id"]))
-            best, pick = -1.0, None
-            for combo in permutations(rooms, len(types)):
-                total = sum(value[t, r] for t, r in zip(types, combo))
-                if total > best:
-                    best, pick = total, combo
-            chosen = {t: r for t, r in zip(types, pick or ()) if value[t, r] >= MIN_ASSIGN}
-        else:
-            for t in types:
-                open_rooms = [(s, r) for (kind, r), s in value.items() if kind == t and r not in chosen.values()]
-                if open_rooms:
-                    top = max(s for s, _ in open_rooms)
-                    room = next(r for s, r in open_rooms if s == top)
-                    if top >= MIN_ASSIGN:
-                        chosen[t] = room
-        return pd.DataFrame({plan: pdf[plan].iloc[0], "observed_type": types, "room_id": pd.array([chosen.get(t) for t in types], dtype="Int64")})
+        types = list(dict.fromkeys(pdf.sort_values("position")["observed_type"]))
+        rooms = list(dict.fromkeys(pdf.sort_values("region_order")["room_id"]))
+        score = {(t, r): s for t, r, s in zip(pdf["observed_type"], pdf["room_id"], pdf["score"], strict=True)}
+        # Every type may also stay without a region, which is worth nothing. Scores outweigh all orders.
+        size = len(rooms) + len(types) + 1
+        weight = size ** len(types)
+        value = [[round(score.get((t, r), -1.0) * 10**12) * weight - k * size ** (len(types) - 1 - i) for k, r in enumerate(rooms)] + [-len(rooms) * size ** (len(types) - 1 - i)] * len(types) for i, t in enumerate(types)]
+        chosen = [rooms[k] if k < len(rooms) and score.get((t, rooms[k]), 0.0) >= MIN_ASSIGN else None for t, k in zip(types, best_assignment(value), strict=True)]
+        return pd.DataFrame({plan: pdf[plan].iloc[0], "observed_type": types, "room_id": pd.array(chosen, dtype="Int64")})
 
     return rows.groupBy(plan).applyInPandas(solve, f"{plan} long, observed_type string, room_id long")
 

@@ -87,3 +87,22 @@ def medians_within(df: DataFrame, keys: Sequence[str], columns: Sequence[str], t
         one = ranked.filter(middle).groupBy(*keys).agg(F.avg(column).alias(f"median_{column}"))
         out = one if out is None else out.join(one, [*keys])
     return out
+
+
+def greedy_matching(rows: DataFrame, keys: Sequence[str], left: str, right: str, order: Sequence[str]) -> DataFrame:
+    """One-to-one choice, best first: a row is taken unless a better one took its left or its right end.
+
+    ``order`` names columns that, with both ends, order the rows of a group totally, smallest best. In each round
+    the rows that are the best open ones of both their ends are taken, whatever the others do, and rows at their ends
+    drop out; so a group of any size is a few grouped minima, and no group is listed in one place. Rounds end by
+    the data: each takes at least the best open row of every group.
+    """
+    rank = F.struct(*order, left, right)
+    open_rows, taken = cut_lineage(rows.withColumn("_rank", rank)), None
+    while not open_rows.isEmpty():
+        best = lambda end: open_rows.groupBy(*keys, end).agg(F.min("_rank").alias(f"_best_{end}"))  # noqa: B023, E731
+        won = cut_lineage(open_rows.join(best(left), [*keys, left]).join(best(right), [*keys, right]).filter((F.col("_rank") == F.col(f"_best_{left}")) & (F.col("_rank") == F.col(f"_best_{right}"))).select(*open_rows.columns))
+        taken = won if taken is None else taken.unionByName(won)
+        rest = open_rows.join(won.select(*keys, left), [*keys, left], "left_anti").join(won.select(*keys, right), [*keys, right], "left_anti")
+        open_rows = cut_lineage(rest)
+    return (open_rows if taken is None else taken).drop("_rank")

@@ -37,10 +37,10 @@ p AS (SELECT a.sheet_id, a.uid AS ia, b.uid AS cb, a.room_type AS ra, b.room_typ
 g AS (SELECT *, {GRAMS.format('ta')} AS ga, {GRAMS.format('tb')} AS gb FROM p), s AS (SELECT *, 2e0*LEN(LIST_INTERSECT(ga,gb))/(LEN(ga)+LEN(gb)) AS dice, LEN(LIST_INTERSECT(wa,wb)) AS shared FROM g),
 w AS (SELECT *, CASE WHEN ka = kb THEN 1e0 WHEN shared = LEN(wa) OR shared = LEN(wb) THEN 0.75e0 WHEN dice >= 0.62e0 THEN dice WHEN ra <> 'unknown' AND ra = rb THEN 0.5e0 ELSE 0e0 END AS w0 FROM s),
 z AS (SELECT sheet_id, ia, cb, w0*CASE WHEN kind <> 'room_label' THEN 0.8e0 ELSE 1e0 END*(0.5e0+0.5e0*cf) AS w FROM w WHERE w0 > 0),
-cd AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY sheet_id, ia ORDER BY ROUND(w,9) DESC, cb) AS rn FROM z) WHERE rn <= 8)"""
+cd AS (SELECT * FROM z)"""
 
 
-@query("label_candidates", "JN-16", "WN-07", oracle=f"WITH {CAND} SELECT sheet_id, ia AS image_label_id, cb AS cad_uid, RND(w,4) AS weight FROM cd")
+@query("label_candidates", "JN-16", oracle=f"WITH {CAND} SELECT sheet_id, ia AS image_label_id, cb AS cad_uid, RND(w,4) AS weight FROM cd")
 def label_candidates(spark, sf_dir):
     return rg.candidates(*anchors(spark, sf_dir)).select("sheet_id", "image_label_id", "cad_uid", "weight")
 
@@ -97,13 +97,16 @@ def region_scores(spark, sf_dir):
     return rounded(scored(spark, sf_dir)[0].select("building_id", "observed_type", "room_id", "score"), 6, "score")
 
 
-@query("region_assignment", "RG-06", oracle=f"""
-WITH {SCORES}, s1 AS (SELECT building_id, room_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY building_id ORDER BY ROUND(score,12) DESC, room_id) AS rn FROM (SELECT fs.*, rnk FROM fs JOIN rk USING (building_id, room_id)) WHERE observed_type = 'living_room') WHERE rn = 1 AND score >= 0.15e0)
-SELECT building_id, 'living_room' AS observed_type, room_id FROM s1""")
+ASSIGNED = f"""{SCORES}, v AS (SELECT fs.building_id, observed_type, fs.room_id, rnk, CAST(ROUND(score*1e9) AS BIGINT) AS s FROM fs JOIN rk USING (building_id, room_id)),
+cb AS (SELECT l.building_id, l.room_id AS rl, b.room_id AS rb, h.room_id AS rh, l.s AS sl, b.s AS sb, h.s AS sh, ROW_NUMBER() OVER (PARTITION BY l.building_id ORDER BY l.s + b.s + h.s DESC, l.rnk, b.rnk, h.rnk) AS k
+ FROM v l JOIN v b ON b.building_id = l.building_id AND b.room_id <> l.room_id JOIN v h ON h.building_id = l.building_id AND h.room_id <> l.room_id AND h.room_id <> b.room_id WHERE l.observed_type = 'living_room' AND b.observed_type = 'bedroom' AND h.observed_type = 'hallway'),
+asg AS (SELECT building_id, 'living_room' AS observed_type, CASE WHEN sl >= 150000000 THEN rl END AS room_id FROM cb WHERE k = 1 UNION ALL SELECT building_id, 'bedroom', CASE WHEN sb >= 150000000 THEN rb END FROM cb WHERE k = 1 UNION ALL SELECT building_id, 'hallway', CASE WHEN sh >= 150000000 THEN rh END FROM cb WHERE k = 1)"""
+
+
+@query("region_assignment", "RG-06", oracle=f"WITH {ASSIGNED} SELECT building_id, observed_type, room_id FROM asg")
 def region_assignment(spark, sf_dir):
-    """First type of the greedy order (ten regions a building are beyond the exhaustive limit)."""
     scores, order, _ = scored(spark, sf_dir)
-    return rg.assign_regions(scores, order).filter("observed_type = 'living_room'").select("building_id", "observed_type", "room_id")
+    return rg.assign_regions(scores, order).select("building_id", "observed_type", "room_id")
 
 
 @query("image_groups", "RG-07")
