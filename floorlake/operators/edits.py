@@ -1,6 +1,6 @@
 """Edit sets applied as joins, constraint checks and the immutability proof.
 
-Edits are rows: ``edits`` has building_id, op, target_id, key, value (text). Every function returns
+Edits are rows: ``edits`` has building_id, op, target_id, key, value (text) and ordinal, the order they were given in. Every function returns
 (accepted result, rejected rows) or rows with a reason; nothing is applied silently.
 """
 
@@ -60,9 +60,9 @@ def keep_uncertain(objects: DataFrame, edits: DataFrame) -> DataFrame:
         "uncertain", F.col("uncertain") & ~confirmed).drop("_kept")
 
 
-def last_value(edits: DataFrame, value: str = "value") -> Column:
-    """The value given last, by the edits' ``ordinal``. Edits without that column must give one value a key."""
-    return F.max_by(value, "ordinal") if "ordinal" in edits.columns else F.max(value)
+def last_value(value: str = "value") -> Column:
+    """The value given last, by the edits' ``ordinal``."""
+    return F.max_by(value, "ordinal")
 
 
 def strict_material(raw: Column) -> Column:
@@ -83,7 +83,7 @@ def override_appearance(objects: DataFrame, edits: DataFrame) -> tuple[DataFrame
     """
     spark = objects.sparkSession
     keys = ["category", "material", "color_hex", "asset"]
-    wide = edits.filter("op = 'object_overrides'").filter(F.col("key").isin(*keys)).groupBy(BUILDING, F.col("target_id").try_cast("long").alias("object_id")).pivot("key", keys).agg(last_value(edits))
+    wide = edits.filter("op = 'object_overrides'").filter(F.col("key").isin(*keys)).groupBy(BUILDING, F.col("target_id").try_cast("long").alias("object_id")).pivot("key", keys).agg(last_value())
     wide = wide.select(BUILDING, "object_id", *[F.col(k).alias(f"_{k}") for k in keys])
     staged = objects.join(wide, [BUILDING, "object_id"], "left").withColumns({"_nc": tx.normalise_term(F.col("_category"), "category"), "_nm": strict_material(F.col("_material")), "_nh": strict_hex(F.col("_color_hex"))})
     staged = staged.withColumn("category", F.coalesce("_nc", "category"))
@@ -102,7 +102,7 @@ def override_appearance(objects: DataFrame, edits: DataFrame) -> tuple[DataFrame
 def override_lights(lights: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Kind, temperature (1500..10000 K) and power (0..5000 W) of lights; an edited light is certain."""
     keys = ["kind", "color_temperature_k", "power_w"]
-    wide = edits.filter("op = 'light_overrides'").filter(F.col("key").isin(*keys)).groupBy(BUILDING, F.col("target_id").try_cast("long").alias("light_id")).pivot("key", keys).agg(last_value(edits))
+    wide = edits.filter("op = 'light_overrides'").filter(F.col("key").isin(*keys)).groupBy(BUILDING, F.col("target_id").try_cast("long").alias("light_id")).pivot("key", keys).agg(last_value())
     staged = lights.join(wide.select(BUILDING, "light_id", *[F.col(k).alias(f"_{k}") for k in keys]), [BUILDING, "light_id"], "left").withColumns({
         "_nk": tx.normalise_term(F.col("_kind"), "light"), "_kt": F.col("_color_temperature_k").try_cast("double"), "_pw": F.col("_power_w").try_cast("double")})
     bad = lambda key, ok: staged.filter(F.col(f"_{key}").isNotNull() & ok.isNull()).select(
@@ -121,7 +121,7 @@ def override_finishes(finishes: DataFrame, edits: DataFrame) -> tuple[DataFrame,
     ``edits``: key = 'surface.field'. A new material brings its catalog shading; edited finishes are certain."""
     spark = finishes.sparkSession
     rows = edits.filter("op = 'room_finishes'").withColumns({"surface": F.substring_index("key", ".", 1), "_f": F.substring_index("key", ".", -1)})
-    wide = rows.groupBy(BUILDING, F.col("target_id").try_cast("long").alias("room_id"), "surface").pivot("_f", ["material", "color_hex", "roughness"]).agg(last_value(edits))
+    wide = rows.groupBy(BUILDING, F.col("target_id").try_cast("long").alias("room_id"), "surface").pivot("_f", ["material", "color_hex", "roughness"]).agg(last_value())
     wide = wide.select(BUILDING, "room_id", "surface", F.col("material").alias("_m"), F.col("color_hex").alias("_h"), F.col("roughness").alias("_r"))
     shading = F.broadcast(dim(spark, "dim_materials").select(F.col("material").alias("_nm"), F.col("roughness").alias("_mr")))
     staged = finishes.join(wide, [BUILDING, "room_id", "surface"], "left").withColumns({"_nm": strict_material(F.col("_m")), "_nh": strict_hex(F.col("_h")), "_nr": F.col("_r").try_cast("double")}).join(shading, "_nm", "left")
@@ -137,7 +137,7 @@ def override_finishes(finishes: DataFrame, edits: DataFrame) -> tuple[DataFrame,
 
 def override_room_types(rooms: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = edits.filter("op = 'room_types'").withColumns({"room_id": F.col("target_id").try_cast("long"), "_t": F.replace(F.lower(F.trim("value")), F.lit(" "), F.lit("_"))})
-    wanted = wanted.groupBy(BUILDING, "room_id").agg(last_value(edits, "_t").alias("_t"), last_value(edits).alias("_v"))
+    wanted = wanted.groupBy(BUILDING, "room_id").agg(last_value("_t").alias("_t"), last_value().alias("_v"))
     staged = rooms.join(wanted, [BUILDING, "room_id"], "left")
     good = F.col("_t").isin(*ROOM_TYPES)
     rejected = staged.filter(F.col("_t").isNotNull() & ~good).select(BUILDING, F.lit("room_types").alias("op"), F.col("room_id").cast("string").alias("target_id"), F.lit("").alias("key"), F.col("_v").alias("value"), F.lit("not a known room type").alias("reason"))
