@@ -15,10 +15,10 @@ from .spatial import corners_sql, near_sql, overlap_sql, placed, regions
 
 FX["fx_edits"] = """
 SELECT building_id, CASE object_id % 6 WHEN 0 THEN 'remove_objects' WHEN 1 THEN 'keep_objects' WHEN 2 THEN 'object_overrides' WHEN 3 THEN 'light_overrides' WHEN 4 THEN 'room_types' ELSE 'paint_everything' END AS op,
- CAST(CASE object_id % 6 WHEN 3 THEN object_id % 1700 WHEN 4 THEN room_id + CASE WHEN object_id % 7 = 0 THEN 100000 ELSE 0 END ELSE object_id + CASE WHEN object_id % 7 = 0 THEN 10000000 ELSE 0 END END AS VARCHAR(20)) AS target_id,
+ CAST(CASE object_id % 6 WHEN 3 THEN room_id + n * (1 + object_id % 3) + CASE WHEN object_id % 7 = 0 THEN 10000000 ELSE 0 END WHEN 4 THEN room_id + CASE WHEN object_id % 7 = 0 THEN 100000 ELSE 0 END ELSE object_id + CASE WHEN object_id % 7 = 0 THEN 10000000 ELSE 0 END END AS VARCHAR(20)) AS target_id,
  CASE object_id % 6 WHEN 2 THEN CASE object_id % 4 WHEN 0 THEN 'material' WHEN 2 THEN 'color_hex' ELSE 'mood' END WHEN 3 THEN CASE object_id % 2 WHEN 0 THEN 'kind' ELSE 'power_w' END ELSE '' END AS key,
- CASE object_id % 6 WHEN 2 THEN CASE object_id % 8 WHEN 0 THEN 'walnut' WHEN 4 THEN 'stardust' WHEN 2 THEN 'ff8800' ELSE 'red' END WHEN 3 THEN CASE object_id % 4 WHEN 0 THEN 'sconce' WHEN 2 THEN 'candle' WHEN 1 THEN '9000' ELSE 'bright' END WHEN 4 THEN CASE object_id % 5 WHEN 0 THEN 'Dining Room' WHEN 1 THEN 'attic' ELSE 'office' END ELSE '' END AS value
-FROM fx_placed WHERE object_id % 11 = 0"""
+ CASE object_id % 6 WHEN 2 THEN CASE object_id % 8 WHEN 0 THEN 'walnut' WHEN 4 THEN 'stardust' WHEN 2 THEN 'ff8800' ELSE 'red' END WHEN 3 THEN CASE object_id % 4 WHEN 0 THEN 'sconce' WHEN 2 THEN 'candle' WHEN 1 THEN '9000' ELSE 'bright' END WHEN 4 THEN CASE object_id % 5 WHEN 0 THEN 'Dining Room' WHEN 1 THEN 'attic' ELSE 'office' END ELSE '' END AS value, object_id AS ordinal
+FROM fx_placed CROSS JOIN (SELECT COUNT(*) AS n FROM supplier) c WHERE object_id % 11 = 0"""
 
 
 def edits(spark, sf_dir):
@@ -36,30 +36,33 @@ def edit_rejections(spark, sf_dir):
 
 
 @query("edited_objects", "ED-02", oracle="""
-WITH RECURSIVE gone(object_id) AS (SELECT object_id FROM fx_placed WHERE CAST(object_id AS VARCHAR) IN (SELECT target_id FROM fx_edits WHERE op = 'remove_objects') UNION SELECT p.object_id FROM fx_placed p JOIN gone ON p.support_id = gone.object_id)
-SELECT object_id, uncertain AND CAST(object_id AS VARCHAR) NOT IN (SELECT target_id FROM fx_edits WHERE op = 'keep_objects') AS uncertain FROM fx_placed WHERE object_id NOT IN (SELECT object_id FROM gone)""")
+WITH RECURSIVE e AS (SELECT building_id, TRY_CAST(target_id AS BIGINT) AS object_id, op FROM fx_edits),
+gone(building_id, object_id) AS (SELECT p.building_id, p.object_id FROM fx_placed p JOIN e ON e.building_id = p.building_id AND e.object_id = p.object_id AND op = 'remove_objects'
+ UNION SELECT p.building_id, p.object_id FROM fx_placed p JOIN gone ON p.building_id = gone.building_id AND p.support_id = gone.object_id)
+SELECT object_id, uncertain AND NOT EXISTS (SELECT 1 FROM e WHERE e.building_id = p.building_id AND e.object_id = p.object_id AND op = 'keep_objects') AS uncertain
+FROM fx_placed p WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.building_id = p.building_id AND gone.object_id = p.object_id)""")
 def edited_objects(spark, sf_dir):
     changes = edits(spark, sf_dir)
     return ed.keep_uncertain(ed.remove_objects(placed(spark, sf_dir), changes), changes).select("object_id", "uncertain")
 
 
 @query("appearance_overrides", "ED-03", oracle="""
-WITH o AS (SELECT target_id, MAX(value) FILTER (key = 'material') AS m, MAX(value) FILTER (key = 'color_hex') AS h FROM fx_edits WHERE op = 'object_overrides' GROUP BY target_id)
-SELECT object_id, CASE WHEN m = 'walnut' THEN 'walnut' ELSE material END AS material, CASE WHEN h = 'ff8800' THEN '#FF8800' ELSE color_hex END AS color_hex FROM fx_coloured LEFT JOIN o ON target_id = CAST(object_id AS VARCHAR)""")
+WITH o AS (SELECT building_id, target_id, MAX_BY(value, ordinal) FILTER (key = 'material') AS m, MAX_BY(value, ordinal) FILTER (key = 'color_hex') AS h FROM fx_edits WHERE op = 'object_overrides' GROUP BY building_id, target_id)
+SELECT object_id, CASE WHEN m = 'walnut' THEN 'walnut' ELSE material END AS material, CASE WHEN h = 'ff8800' THEN '#FF8800' ELSE color_hex END AS color_hex FROM fx_coloured c LEFT JOIN o ON o.building_id = c.building_id AND target_id = CAST(object_id AS VARCHAR)""")
 def appearance_overrides(spark, sf_dir):
     objects = fx(spark, sf_dir, "fx_coloured").withColumns({"asset": F.lit(""), "asset_score": F.lit(0.5)})
     return ed.override_appearance(objects, edits(spark, sf_dir))[0].select("object_id", "material", "color_hex")
 
 
 @query("light_overrides", "ED-03", oracle="""
-WITH o AS (SELECT target_id, MAX(value) FILTER (key = 'kind') AS k, MAX(value) FILTER (key = 'power_w') AS p FROM fx_edits WHERE op = 'light_overrides' GROUP BY target_id)
-SELECT light_id, CASE WHEN k = 'sconce' THEN 'wall_light' ELSE kind END AS kind, CASE WHEN p = '9000' THEN 5000e0 ELSE power_w END AS power_w, uncertain AND NOT COALESCE(k = 'sconce' OR p = '9000', FALSE) AS uncertain FROM fx_lights LEFT JOIN o ON target_id = CAST(light_id AS VARCHAR)""")
+WITH o AS (SELECT building_id, target_id, MAX_BY(value, ordinal) FILTER (key = 'kind') AS k, MAX_BY(value, ordinal) FILTER (key = 'power_w') AS p FROM fx_edits WHERE op = 'light_overrides' GROUP BY building_id, target_id)
+SELECT light_id, CASE WHEN k = 'sconce' THEN 'wall_light' ELSE kind END AS kind, CASE WHEN p = '9000' THEN 5000e0 ELSE power_w END AS power_w, uncertain AND NOT COALESCE(k = 'sconce' OR p = '9000', FALSE) AS uncertain FROM fx_lights l LEFT JOIN o ON o.building_id = l.building_id AND target_id = CAST(light_id AS VARCHAR)""")
 def light_overrides(spark, sf_dir):
     return ed.override_lights(fx(spark, sf_dir, "fx_lights"), edits(spark, sf_dir))[0].select("light_id", "kind", "power_w", "uncertain")
 
 
 @query("room_type_overrides", "ED-02", oracle="""
-WITH o AS (SELECT target_id, MAX(REPLACE(LOWER(TRIM(value)), ' ', '_')) AS t FROM fx_edits WHERE op = 'room_types' GROUP BY target_id) SELECT room_id, CASE WHEN t IN ('dining_room','office') THEN t ELSE room_type END AS room_type FROM fx_rooms LEFT JOIN o ON target_id = CAST(room_id AS VARCHAR)""")
+WITH o AS (SELECT building_id, target_id, MAX_BY(REPLACE(LOWER(TRIM(value)), ' ', '_'), ordinal) AS t FROM fx_edits WHERE op = 'room_types' GROUP BY building_id, target_id) SELECT room_id, CASE WHEN t IN ('dining_room','office') THEN t ELSE room_type END AS room_type FROM fx_rooms r LEFT JOIN o ON o.building_id = r.building_id AND target_id = CAST(room_id AS VARCHAR)""")
 def room_type_overrides(spark, sf_dir):
     return ed.override_room_types(fx(spark, sf_dir, "fx_rooms"), edits(spark, sf_dir))[0].select("room_id", "room_type")
 
@@ -68,7 +71,7 @@ def room_type_overrides(spark, sf_dir):
 SELECT room_id, CASE WHEN room_id % 3 = 0 THEN 'teak' ELSE 'wood' END AS material, CASE room_id % 3 WHEN 0 THEN 0.4e0 ELSE 0.9e0 END AS roughness, CASE WHEN room_id % 3 = 0 THEN 1e0 ELSE 0.5e0 END AS confidence FROM fx_rooms""")
 def finish_overrides(spark, sf_dir):
     finishes = fx(spark, sf_dir, "fx_rooms").select("building_id", "room_id", F.lit("floor").alias("surface"), F.lit("wood").alias("material"), F.lit("#C08E5C").alias("color_hex"), F.lit(0.9).alias("roughness"), F.lit(0.5).alias("confidence"))
-    asked = fx(spark, sf_dir, "fx_rooms").filter("room_id % 3 < 2").select("building_id", F.lit("room_finishes").alias("op"), F.col("room_id").cast("string").alias("target_id"), F.lit("floor.material").alias("key"), F.when(F.col("room_id") % 3 == 0, "Teak").otherwise("moon dust").alias("value"))
+    asked = fx(spark, sf_dir, "fx_rooms").filter("room_id % 3 < 2").select("building_id", F.lit("room_finishes").alias("op"), F.col("room_id").cast("string").alias("target_id"), F.lit("floor.material").alias("key"), F.when(F.col("room_id") % 3 == 0, "Teak").otherwise("moon dust").alias("value"), F.lit(1).alias("ordinal"))
     return ed.override_finishes(finishes, asked)[0].select("room_id", "material", "roughness", "confidence")
 
 
@@ -119,14 +122,14 @@ def buildable_objects(spark, sf_dir):
 
 @query("action_violations", "VL-07", oracle="""
 WITH a AS (SELECT building_id, object_id AS action_id, CASE object_id % 3 WHEN 0 THEN 'material_adjustment' WHEN 1 THEN 'style_refinement' ELSE 'asset_replacement' END AS t, CASE WHEN object_id % 10 = 0 THEN 'wall:7' ELSE 'object:1' END AS target, CASE object_id % 3 WHEN 0 THEN CASE WHEN object_id % 2 = 0 THEN 'teak' ELSE 'moonstone' END END AS species, CASE object_id % 3 WHEN 1 THEN CASE WHEN object_id % 2 = 0 THEN 'modern' ELSE 'cubist' END END AS style, CASE object_id % 3 WHEN 2 THEN 'sofa_deep_lounge' END AS asset,
-  object_id + CASE WHEN object_id % 8 = 0 THEN 10000000 ELSE 0 END AS oid, room_id + CASE WHEN object_id % 5 = 0 THEN 100000 ELSE 0 END AS rid FROM fx_placed WHERE object_id % 7 = 0)
+  object_id + CASE WHEN object_id % 8 = 0 THEN 10000000 ELSE 0 END AS oid, room_id + CASE WHEN object_id % 5 = 0 THEN 100000 ELSE 0 END AS rid FROM fx_placed)
 SELECT building_id, action_id, 'immutable_target' AS rule, target AS subject FROM a WHERE target LIKE 'wall:%' UNION ALL SELECT building_id, action_id, 'unknown_object', CAST(oid AS VARCHAR) FROM a WHERE oid >= 10000000
 UNION ALL SELECT a.building_id, action_id, 'locked_object', CAST(oid AS VARCHAR) FROM a JOIN fx_placed p ON p.object_id = oid AND p.locked UNION ALL SELECT building_id, action_id, 'unknown_room', CAST(rid AS VARCHAR) FROM a WHERE rid >= 100000
 UNION ALL SELECT building_id, action_id, 'material_taxonomy', species FROM a WHERE species = 'moonstone' UNION ALL SELECT building_id, action_id, 'style_taxonomy', style FROM a WHERE style = 'cubist'
 UNION ALL SELECT a.building_id, action_id, 'asset_category', asset FROM a JOIN fx_placed p ON p.object_id = oid WHERE asset IS NOT NULL AND p.category <> 'sofa'""")
 def action_violations(spark, sf_dir):
     k = F.col("object_id")
-    base = fx(spark, sf_dir, "fx_placed").filter("object_id % 7 = 0").select(
+    base = fx(spark, sf_dir, "fx_placed").select(
         "building_id", k.alias("action_id"), F.when(k % 3 == 0, "material_adjustment").when(k % 3 == 1, "style_refinement").otherwise("asset_replacement").alias("action_type"),
         F.when(k % 10 == 0, "wall:7").otherwise("object:1").alias("target"), F.when(k % 3 == 0, F.when(k % 2 == 0, "teak").otherwise("moonstone")).alias("species"),
         F.when(k % 3 == 1, F.when(k % 2 == 0, "modern").otherwise("cubist")).alias("style"), F.when(k % 3 == 2, "sofa_deep_lounge").alias("asset"),
@@ -155,7 +158,7 @@ def immutability_proof(spark, sf_dir):
 
 # -- synthesis ---------------------------------------------------------------------
 
-LF = """lf AS (SELECT building_id, room_id, object_id AS finding_id, CASE object_id % 3 WHEN 0 THEN 'exposure' WHEN 1 THEN 'warmth' ELSE 'contrast' END AS code, CAST(object_id % 37 AS DOUBLE)/50e0 + 0.02e0 AS reference, CAST(object_id % 29 AS DOUBLE)/40e0 AS render FROM fx_placed WHERE object_id % 17 = 0),
+LF = """lf AS (SELECT building_id, room_id, object_id AS finding_id, CASE object_id % 3 WHEN 0 THEN 'exposure' WHEN 1 THEN 'warmth' ELSE 'contrast' END AS code, CAST(object_id % 37 AS DOUBLE)/50e0 + 0.02e0 AS reference, CAST(object_id % 29 AS DOUBLE)/40e0 AS render FROM fx_placed),
 f1 AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY building_id, room_id, code ORDER BY finding_id) AS rn FROM lf) WHERE rn = 1)"""
 
 
@@ -166,7 +169,7 @@ n AS (SELECT building_id, room_id, CASE WHEN ABS(am-0.4e0) > 0.01e0 THEN am END
 SELECT room_id, RND(ROUND(new_ambient,4),3) AS new_ambient, RND(ROUND(new_kelvin,1),1) AS new_kelvin, RND(ROUND(new_softness,3),2) AS new_softness FROM n WHERE new_ambient IS NOT NULL OR new_kelvin IS NOT NULL OR new_softness IS NOT NULL""")
 def lighting_actions(spark, sf_dir):
     k = F.col("object_id")
-    found = fx(spark, sf_dir, "fx_placed").filter("object_id % 17 = 0").select(
+    found = fx(spark, sf_dir, "fx_placed").select(
         "building_id", "room_id", k.alias("finding_id"), F.when(k % 3 == 0, "exposure").when(k % 3 == 1, "warmth").otherwise("contrast").alias("code"), ((k % 37) / 50 + 0.02).alias("reference"), ((k % 29) / 40).alias("render"))
     rooms = fx(spark, sf_dir, "fx_rooms").select("building_id", "room_id", F.lit(0.4).alias("ambient"), F.lit(3400.0).alias("color_temperature_k"), F.lit(0.5).alias("shadow_softness"))
     made = sy.lighting_actions(found, rooms).select("room_id", "new_ambient", "new_kelvin", "new_softness")
@@ -174,12 +177,12 @@ def lighting_actions(spark, sf_dir):
 
 
 @query("placement_actions", "PN-04", oracle="""
-WITH d AS (SELECT room_id, object_id, (CAST(object_id % 9 AS DOUBLE)-4e0)*0.75e0 AS dx, (CAST(object_id % 5 AS DOUBLE)-2e0)*0.75e0 AS dy FROM fx_placed WHERE object_id % 3 = 0), e AS (SELECT *, SQRT(dx*dx+dy*dy) AS l FROM d)
+WITH d AS (SELECT room_id, object_id, (CAST(object_id % 9 AS DOUBLE)-4e0)*0.75e0 AS dx, (CAST(object_id % 5 AS DOUBLE)-2e0)*0.75e0 AS dy FROM fx_placed), e AS (SELECT *, SQRT(dx*dx+dy*dy) AS l FROM d)
 SELECT room_id, object_id, RND(dx*CASE WHEN l > 3 THEN 3e0/l ELSE 1e0 END,4) AS dx, RND(dy*CASE WHEN l > 3 THEN 3e0/l ELSE 1e0 END,4) AS dy FROM e WHERE ROUND(l,9) >= 0.02e0""")
 def placement_actions(spark, sf_dir):
     objects = fx(spark, sf_dir, "fx_placed")
     k = F.col("object_id")
-    found = objects.filter("object_id % 3 = 0").select("object_id", k.alias("finding_id"), ((k % 9) - 4.0).alias("implied_x"), ((k % 5) - 2.0).alias("implied_y"), F.lit(0.0).alias("actual_x"), F.lit(0.0).alias("actual_y"))
+    found = objects.select("object_id", k.alias("finding_id"), ((k % 9) - 4.0).alias("implied_x"), ((k % 5) - 2.0).alias("implied_y"), F.lit(0.0).alias("actual_x"), F.lit(0.0).alias("actual_y"))
     return rounded(sy.placement_actions(found, objects).select("room_id", "object_id", "dx", "dy"), 4, "dx", "dy")
 
 
@@ -194,13 +197,13 @@ def camera_actions(spark, sf_dir):
 
 
 @query("rotation_actions", "PN-04", oracle="""
-WITH r AS (SELECT s.object_id, s.rotation_deg, s.x, s.y, t.object_id AS toward, t.x AS tx, t.y AS ty FROM fx_placed s CROSS JOIN (SELECT COUNT(*) AS n FROM supplier) c JOIN fx_placed t ON t.object_id = s.object_id + n WHERE s.object_id % 6 = 0),
+WITH r AS (SELECT s.object_id, s.rotation_deg, s.x, s.y, t.object_id AS toward, t.x AS tx, t.y AS ty FROM fx_placed s CROSS JOIN (SELECT COUNT(*) AS n FROM supplier) c JOIN fx_placed t ON t.object_id = s.object_id + n),
 h AS (SELECT *, CASE WHEN ABS(tx-x) < 1e-9 AND ABS(ty-y) < 1e-9 THEN 0e0 ELSE DEGREES(ATAN2(-(tx-x), ty-y)) END AS a FROM r), m AS (SELECT *, a - 360e0*FLOOR(a/360e0) AS heading FROM h), d AS (SELECT *, (heading-rotation_deg+180e0) - 360e0*FLOOR((heading-rotation_deg+180e0)/360e0) - 180e0 AS delta FROM m)
 SELECT object_id, toward, RND(heading,2) AS rotation_z, RND(delta,2) AS delta_deg FROM d WHERE ROUND(ABS(delta),9) >= 5""")
 def rotation_actions(spark, sf_dir):
     objects = fx(spark, sf_dir, "fx_placed")
     n = spark.read.parquet(f"{sf_dir}/supplier.parquet").agg(F.count("*").alias("n"))
-    facing = objects.filter("object_id % 6 = 0").crossJoin(F.broadcast(n)).select(F.col("object_id").alias("subject_id"), F.lit("faces").alias("predicate"), (F.col("object_id") + F.col("n")).alias("object_id"), F.lit(False).alias("satisfied"), F.lit(1).alias("ordinal"))
+    facing = objects.crossJoin(F.broadcast(n)).select(F.col("object_id").alias("subject_id"), F.lit("faces").alias("predicate"), (F.col("object_id") + F.col("n")).alias("object_id"), F.lit(False).alias("satisfied"), F.lit(1).alias("ordinal"))
     return rounded(sy.rotation_actions(objects, facing).select("object_id", "toward", "rotation_z", "delta_deg"), 2, "rotation_z", "delta_deg")
 
 
@@ -223,10 +226,10 @@ def scale_actions(spark, sf_dir):
     return rounded(objects, 3, "width", "depth")
 
 
-@query("decor_actions", "PN-04", oracle="SELECT room_id, object_id FROM fx_placed WHERE uncertain AND width > 0 AND depth > 0 AND height > 0 AND object_id % 4 = 0")
+@query("decor_actions", "PN-04", oracle="SELECT room_id, object_id FROM fx_placed WHERE uncertain AND width > 0 AND depth > 0 AND height > 0")
 def decor_actions(spark, sf_dir):
     objects = fx(spark, sf_dir, "fx_placed")
-    return sy.decor_actions(objects.filter("object_id % 4 = 0"), objects).select("room_id", "object_id")
+    return sy.decor_actions(objects, objects).select("room_id", "object_id")
 
 
 BLEND = hex_sql(*[f"255e0*({SRGB.format(f'({LIN.format(f'({a}/255e0)')} + ({LIN.format(f'({b}/255e0)')} - {LIN.format(f'({a}/255e0)')})*0.35e0)')})" for a, b in zip([c.format('old_hex') for c in RGB], [c.format('toward') for c in RGB])])
@@ -242,13 +245,13 @@ def palette_actions(spark, sf_dir):
 
 
 @query("material_actions", "PN-04", oracle="""
-WITH f AS (SELECT room_id, CASE object_id % 4 WHEN 0 THEN 'wood' WHEN 1 THEN 'fabric' WHEN 2 THEN 'walnut' ELSE 'glass' END AS material, object_id AS fid, CASE object_id % 2 WHEN 0 THEN 'saturation' ELSE 'texture' END AS code, 0.3e0 + CAST(object_id % 20 AS DOUBLE)/10e0 AS ratio FROM fx_placed WHERE object_id % 31 = 0),
+WITH f AS (SELECT room_id, CASE object_id % 4 WHEN 0 THEN 'wood' WHEN 1 THEN 'fabric' WHEN 2 THEN 'walnut' ELSE 'glass' END AS material, object_id AS fid, CASE object_id % 2 WHEN 0 THEN 'saturation' ELSE 'texture' END AS code, 0.3e0 + CAST(object_id % 20 AS DOUBLE)/10e0 AS ratio FROM fx_placed),
 s AS (SELECT a.material, MIN(b.grain) AS g FROM dim_materials a JOIN dim_materials b ON b.family = a.family AND b.material <> b.family AND b.material <> a.material AND ROUND(b.grain-a.grain,9) > 0.05e0 GROUP BY a.material), sp AS (SELECT s.material, MIN(b.material) AS species FROM s JOIN dim_materials a ON a.material = s.material JOIN dim_materials b ON b.family = a.family AND b.material <> b.family AND b.material <> a.material AND b.grain = s.g GROUP BY s.material),
 q AS (SELECT room_id, material, ARG_MIN(ratio, fid) FILTER (code = 'saturation') AS r, BOOL_OR(code = 'texture') AS t FROM f GROUP BY ALL), z AS (SELECT room_id, q.material, CASE WHEN r > 1e-3 AND ABS(1-r) > 0.05e0 THEN GREATEST(0.35e0, LEAST(3e0, EXP(LN(1e0/r)*0.75e0))) END AS sc, CASE WHEN t THEN species END AS species FROM q LEFT JOIN sp ON sp.material = q.material)
 SELECT room_id, material, RND(sc,3) AS saturation_scale, species FROM z WHERE sc IS NOT NULL OR species IS NOT NULL""")
 def material_actions(spark, sf_dir):
     k = F.col("object_id")
-    found = fx(spark, sf_dir, "fx_placed").filter("object_id % 31 = 0").select(
+    found = fx(spark, sf_dir, "fx_placed").select(
         "building_id", "room_id", F.when(k % 4 == 0, "wood").when(k % 4 == 1, "fabric").when(k % 4 == 2, "walnut").otherwise("glass").alias("material"), k.alias("finding_id"),
         F.when(k % 2 == 0, "saturation").otherwise("texture").alias("code"), (0.3 + (k % 20) / 10).alias("ratio"), F.lit(None).cast("string").alias("reference_hex"))
     return rounded(sy.material_actions(found).select("room_id", "material", "saturation_scale", "species"), 3, "saturation_scale")

@@ -40,11 +40,11 @@ def door_openings(spark, sf_dir):
 
 
 @query("point_clusters", "GR-03", oracle="WITH RECURSIVE " + LABELS.format(
-    p="q_", edges="SELECT a.opening_id AS src, b.opening_id AS dst FROM fx_openings a JOIN fx_openings b ON a.building_id = b.building_id AND a.opening_id <> b.opening_id AND a.opening_id % 29 = 0 AND b.opening_id % 29 = 0 AND ROUND(SQRT(POWER(a.x-b.x,2)+POWER(a.y-b.y,2)),9) <= 0.9e0",
-    nodes="SELECT opening_id AS id FROM fx_openings WHERE opening_id % 29 = 0") + """
+    p="q_", edges="SELECT a.opening_id AS src, b.opening_id AS dst FROM fx_openings a JOIN fx_openings b ON a.building_id = b.building_id AND a.opening_id <> b.opening_id AND ROUND(SQRT(POWER(a.x-b.x,2)+POWER(a.y-b.y,2)),9) <= 0.9e0",
+    nodes="SELECT opening_id AS id FROM fx_openings") + """
 SELECT building_id, component, RND(AVG(x),6) AS x, RND(AVG(y),6) AS y, COUNT(*) AS points FROM fx_openings JOIN q_cc ON id = opening_id GROUP BY ALL""")
 def point_clusters(spark, sf_dir):
-    points = fx(spark, sf_dir, "fx_openings").filter("opening_id % 29 = 0").withColumnRenamed("opening_id", "point_id")
+    points = fx(spark, sf_dir, "fx_openings").withColumnRenamed("opening_id", "point_id")
     return rounded(gr.cluster_points(points), 6, "x", "y")
 
 
@@ -98,15 +98,17 @@ def segmented_rooms(spark, sf_dir):
 WITH RECURSIVE fr AS (SELECT building_id, room_id, x0, y0, x1, y1, CAST(FLOOR((x1-x0)/0.1e0+1e-9) AS BIGINT)+1 AS cols, CAST(FLOOR((y1-y0)/0.1e0+1e-9) AS BIGINT)+1 AS rws FROM fx_rooms),
 g0 AS (SELECT room_id, x0, y0, x1, y1, UNNEST(RANGE(0, cols)) AS c, rws FROM fr), g1 AS (SELECT room_id, x0, y0, x1, y1, c, UNNEST(RANGE(0, rws)) AS r FROM g0),
 fl AS (SELECT room_id, r, c, x0+(c+0.5e0)*0.1e0 AS px, y0+(r+0.5e0)*0.1e0 AS py FROM g1 WHERE x0+(c+0.5e0)*0.1e0 < x1 AND y0+(r+0.5e0)*0.1e0 < y1),
-ob AS (SELECT * FROM fx_placed WHERE {OBSTACLE} AND object_id % 40 < 2),
+ob AS (SELECT room_id, x, y, rotation_deg, width*0.1e0 AS width, depth*0.1e0 AS depth FROM fx_placed WHERE {OBSTACLE}),
 bl AS (SELECT DISTINCT f.room_id, r, c FROM fl f JOIN ob o ON o.room_id = f.room_id AND ROUND(ABS((px-x)*COS(RADIANS(rotation_deg))+(py-y)*SIN(RADIANS(rotation_deg)))-width/2e0,9) < 0 AND ROUND(ABS(-(px-x)*SIN(RADIANS(rotation_deg))+(py-y)*COS(RADIANS(rotation_deg)))-depth/2e0,9) < 0),
 fc AS (SELECT f.room_id, f.r, f.c FROM fl f LEFT JOIN bl USING (room_id, r, c) WHERE bl.room_id IS NULL),
-dr AS (SELECT opening_id, f.*, o.x AS ox, o.y AS oy, (x0+x1)/2e0-o.x AS mx, (y0+y1)/2e0-o.y AS my FROM fx_openings o JOIN fr f ON f.room_id = COALESCE(o.room_id, CAST(FLOOR(CAST(wall_id AS DOUBLE)/4e0) AS BIGINT)) WHERE kind = 'door' AND opening_id % 7 = 0),
+dr AS (SELECT opening_id, f.*, o.x AS ox, o.y AS oy, (x0+x1)/2e0-o.x AS mx, (y0+y1)/2e0-o.y AS my FROM fx_openings o JOIN fr f ON f.room_id = COALESCE(o.room_id, CAST(FLOOR(CAST(wall_id AS DOUBLE)/4e0) AS BIGINT)) WHERE kind = 'door'),
 pr AS (SELECT opening_id, room_id, s, CAST(FLOOR((oy+my/SQRT(mx*mx+my*my)*0.1e0*s-y0)/0.1e0+1e-9) AS BIGINT) AS r, CAST(FLOOR((ox+mx/SQRT(mx*mx+my*my)*0.1e0*s-x0)/0.1e0+1e-9) AS BIGINT) AS c FROM dr CROSS JOIN (SELECT UNNEST(RANGE(1,12)) AS s) q),
 sd AS (SELECT room_id, r, c FROM (SELECT pr.*, ROW_NUMBER() OVER (PARTITION BY opening_id ORDER BY s) AS rn FROM pr JOIN fc USING (room_id, r, c)) WHERE rn = 1),
 fd(room_id, r, c) AS (SELECT DISTINCT room_id, r, c FROM sd UNION SELECT f.room_id, f.r, f.c FROM fd d JOIN fc f ON f.room_id = d.room_id AND ((f.r = d.r AND ABS(f.c-d.c) = 1) OR (f.c = d.c AND ABS(f.r-d.r) = 1))),
 t AS (SELECT room_id, COUNT(*) AS n FROM fc GROUP BY 1), h AS (SELECT room_id, COUNT(*) AS n FROM fd GROUP BY 1)
 SELECT f.building_id, f.room_id, COALESCE(t.n, 0) AS free_cells, COALESCE(h.n, 0) AS reached_cells, RND(CAST(h.n AS DOUBLE)/t.n,6) AS share, CASE WHEN t.n IS NULL THEN 'room_full' WHEN CAST(h.n AS DOUBLE)/t.n < 0.6e0 THEN 'unreachable_floor' ELSE '' END AS issue FROM fr f LEFT JOIN t USING (room_id) LEFT JOIN h USING (room_id)""")
 def reachable_floor(spark, sf_dir):
-    found = gr.reachable_floor(regions(spark, sf_dir), placed(spark, sf_dir).filter("object_id % 40 < 2"), openings(spark, sf_dir).filter("opening_id % 7 = 0"))
+    """All objects stand on the floor, a tenth as wide and deep, else no room of this data had free floor."""
+    slender = placed(spark, sf_dir).withColumns({"width": F.col("width") * 0.1, "depth": F.col("depth") * 0.1})
+    found = gr.reachable_floor(regions(spark, sf_dir), slender, openings(spark, sf_dir))
     return rounded(found, 6, "share")

@@ -178,7 +178,7 @@ def material_findings(spark, sf_dir):
 
 FX["fx_views_of"] = """
 SELECT v.viewpoint_id, p.object_id, 0.1e0 + CAST(p.object_id % 7 AS DOUBLE)*0.1e0 AS bx0, 0.3e0 + CAST(p.object_id % 7 AS DOUBLE)*0.1e0 AS bx1, 0.7e0 + CAST(p.object_id % 4 AS DOUBLE)*0.08e0 AS by1, p.x AS actual_x, p.y AS actual_y, v.x, v.y, v.z, v.yaw, v.pitch_deg, v.vfov_deg, v.aspect
-FROM fx_viewpoints v JOIN fx_placed p ON p.building_id = v.building_id AND p.room_id = v.room_id WHERE v.viewpoint_id % 10 = 0 AND p.object_id % 20 = 0 AND p.support = 'floor'"""
+FROM fx_viewpoints v JOIN fx_placed p ON p.building_id = v.building_id AND p.room_id = v.room_id WHERE p.support = 'floor'"""
 CAM = """
 c0 AS (SELECT *, RADIANS(yaw) AS w, RADIANS(90e0+pitch_deg) AS t, TAN(RADIANS(GREATEST(5e0,LEAST(150e0,vfov_deg)))/2e0) AS tv FROM fx_views_of),
 c1 AS (SELECT *, tv*aspect AS th, -SIN(w)*SIN(t) AS f1, COS(w)*SIN(t) AS f2, -COS(t) AS f3, COS(w) AS r1, SIN(w) AS r2, -SIN(w)*COS(t) AS u1, COS(w)*COS(t) AS u2, SIN(t) AS u3 FROM c0),

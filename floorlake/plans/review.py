@@ -60,11 +60,11 @@ def review_rollup(spark, sf_dir):
 
 
 @query("trusted_facts", "STR-19", oracle="""
-WITH f AS (SELECT room_id, object_id, CASE object_id % 4 WHEN 0 THEN 'image' WHEN 1 THEN 'cad_text' WHEN 2 THEN 'rumour' ELSE 'reasoning' END AS source FROM fx_placed WHERE object_id % 3 = 0)
+WITH f AS (SELECT room_id, object_id, CASE object_id % 4 WHEN 0 THEN 'image' WHEN 1 THEN 'cad_text' WHEN 2 THEN 'rumour' ELSE 'reasoning' END AS source FROM fx_placed)
 SELECT room_id, object_id, source FROM (SELECT f.*, ROW_NUMBER() OVER (PARTITION BY room_id ORDER BY COALESCE(tier, 99), object_id) AS rn FROM f LEFT JOIN dim_source_tiers USING (source)) WHERE rn = 1""")
 def trusted_facts(spark, sf_dir):
     k = F.col("object_id")
-    facts = fx(spark, sf_dir, "fx_placed").filter("object_id % 3 = 0").select("room_id", "object_id", F.when(k % 4 == 0, "image").when(k % 4 == 1, "cad_text").when(k % 4 == 2, "rumour").otherwise("reasoning").alias("source"))
+    facts = fx(spark, sf_dir, "fx_placed").select("room_id", "object_id", F.when(k % 4 == 0, "image").when(k % 4 == 1, "cad_text").when(k % 4 == 2, "rumour").otherwise("reasoning").alias("source"))
     return rv.most_trusted(facts, ["room_id"], "object_id").select("room_id", "object_id", "source")
 
 
@@ -78,10 +78,10 @@ def room_frames(spark, sf_dir):
 
 @query("scene_findings", "PX-15", oracle=f"""
 WITH {ASSETS}, p AS (SELECT m.*, ROW_NUMBER() OVER (PARTITION BY m.building_id ORDER BY asset_score, m.object_id) AS rn FROM mt m JOIN fx_placed USING (object_id) WHERE asset_score > 0 AND asset_score < 0.62e0 AND NOT uncertain)
-SELECT building_id, 'poor_match' AS kind, CAST(object_id AS VARCHAR) AS subject FROM p WHERE rn <= 6 UNION ALL SELECT DISTINCT building_id, 'no_model', category FROM mt WHERE asset LIKE 'generic%' UNION ALL SELECT building_id, 'unstyled', CAST(room_id AS VARCHAR) FROM fx_rooms WHERE style = 'unknown' AND room_id % 2 = 1""")
+SELECT building_id, 'poor_match' AS kind, CAST(object_id AS VARCHAR) AS subject FROM p UNION ALL SELECT DISTINCT building_id, 'no_model', category FROM mt WHERE asset LIKE 'generic%' UNION ALL SELECT building_id, 'unstyled', CAST(room_id AS VARCHAR) FROM fx_rooms WHERE style = 'unknown' AND room_id % 2 = 1""")
 def scene_findings(spark, sf_dir):
     rooms = fx(spark, sf_dir, "fx_rooms").withColumn("pictured", F.col("room_id") % 2 == 1)
-    return rv.scene_findings(matched(spark, sf_dir), rooms, 6)
+    return rv.scene_findings(matched(spark, sf_dir), rooms)
 
 
 @query("catalog_usage", "SRC-12", oracle="SELECT obj_group, support, COUNT(*) AS objects FROM (SELECT category FROM fx_placed) p JOIN dim_objects d USING (category) GROUP BY ALL")

@@ -17,18 +17,18 @@ LAYER_ROLES = ["plumbing_fixture", "casework", "appliance", "furniture", "stair"
 FX["fx_claims"] = """
 SELECT p_partkey AS ordinal, r.building_id, r.room_id, CASE p_size % 9 WHEN 0 THEN 'master_bedroom' WHEN 1 THEN 'kitchen' WHEN 2 THEN 'bathroom' WHEN 3 THEN 'lounge' WHEN 4 THEN 'hallway' WHEN 5 THEN 'bedroom' WHEN 6 THEN 'living_room' ELSE 'office' END AS room_type,
  CONCAT('T', CAST(p_partkey AS VARCHAR(12))) AS text, 0.94e0 * (0.4e0 + CAST(p_partkey % 6 AS DOUBLE)/10e0) AS confidence, p_partkey % 17 = 0 AS from_attribute
-FROM part CROSS JOIN (SELECT COUNT(*) AS n FROM supplier) c JOIN fx_rooms r ON r.room_id = p_partkey % n WHERE p_partkey % 13 < 2 AND r.room_id % 3 <> 1"""
+FROM part CROSS JOIN (SELECT COUNT(*) AS n FROM supplier) c JOIN fx_rooms r ON r.room_id = p_partkey % n - CASE WHEN (p_partkey % n) % 10 % 3 = 1 THEN 1 ELSE 0 END"""
 FX["fx_room_blocks"] = """
-SELECT object_id, building_id, room_id, category, CASE category WHEN 'toilet' THEN 'plumbing_fixture' WHEN 'cooktop' THEN 'kitchen_fixture' WHEN 'plant' THEN 'casework' ELSE 'furniture' END AS kind, ROUND(confidence*0.8e0,4) AS confidence FROM fx_placed WHERE object_id % 37 < 2"""
+SELECT object_id, building_id, room_id - room_id % 2 AS room_id, category, CASE category WHEN 'toilet' THEN 'plumbing_fixture' WHEN 'cooktop' THEN 'kitchen_fixture' WHEN 'plant' THEN 'casework' ELSE 'furniture' END AS kind, ROUND(confidence*0.8e0,4) AS confidence FROM fx_placed"""
 FX["fx_layer_roles"] = "SELECT r.building_id, r.room_id, " + "CASE o_orderkey % 6 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(LAYER_ROLES)) + """ END AS role, COUNT(*) AS n
-FROM orders CROSS JOIN (SELECT COUNT(*) AS m FROM supplier) c JOIN fx_rooms r ON r.room_id = o_orderkey % m WHERE o_orderkey % 29 = 0 GROUP BY 1, 2, 3"""
+FROM orders CROSS JOIN (SELECT COUNT(*) AS m FROM supplier) c JOIN fx_rooms r ON r.room_id = o_orderkey % m GROUP BY 1, 2, 3"""
 FX["fx_readings"] = "SELECT building_id, room_id, CASE room_id % 4 WHEN 0 THEN room_type WHEN 1 THEN 'office' ELSE 'unknown' END AS room_type, CAST(room_id % 10 AS DOUBLE)/10e0 AS confidence FROM fx_rooms"
 
 
 def measured(spark, sf_dir):
     area = regions(spark, sf_dir)
     rooms = area.select("building_id", "room_id", "area", (F.col("x1") - F.col("x0")).alias("width"), (F.col("y1") - F.col("y0")).alias("depth"))
-    counts = sp.opening_counts(fx(spark, sf_dir, "fx_openings").filter("opening_id % 11 = 0"), area)
+    counts = sp.opening_counts(fx(spark, sf_dir, "fx_openings"), area)
     return rooms.join(counts, ["building_id", "room_id"]).withColumn("openings_known", F.lit(True))
 
 
@@ -39,7 +39,7 @@ def evidence(spark, sf_dir, vision: bool = True):
         rm.attribute_evidence(claims.filter("from_attribute")), rm.label_evidence(claims.filter("NOT from_attribute")), rm.block_evidence(blocks),
         rm.layer_evidence(fx(spark, sf_dir, "fx_layer_roles"), blocks), rm.geometry_evidence(measured(spark, sf_dir))]
     if vision:
-        rows.append(rm.vision_evidence(fx(spark, sf_dir, "fx_readings"), fx(spark, sf_dir, "fx_placed").filter("object_id % 41 = 0")))
+        rows.append(rm.vision_evidence(fx(spark, sf_dir, "fx_readings"), fx(spark, sf_dir, "fx_placed")))
     out = rows[0]
     for more in rows[1:]:
         out = out.unionByName(more)
@@ -47,7 +47,7 @@ def evidence(spark, sf_dir, vision: bool = True):
 
 
 MEASURED = f"""
-oc AS (SELECT r.room_id, COUNT(*) FILTER (kind = 'door') AS doors, COUNT(*) FILTER (kind = 'window') AS windows FROM fx_openings o JOIN fx_rooms r ON r.building_id = o.building_id AND (({OUTLINE}) <= 0.6e0 OR {INSIDE}) WHERE opening_id % 11 = 0 GROUP BY r.room_id),
+oc AS (SELECT r.room_id, COUNT(*) FILTER (kind = 'door') AS doors, COUNT(*) FILTER (kind = 'window') AS windows FROM fx_openings o JOIN fx_rooms r ON r.building_id = o.building_id AND (({OUTLINE}) <= 0.6e0 OR {INSIDE}) GROUP BY r.room_id),
 me AS (SELECT building_id, room_id, area, x1-x0 AS width, y1-y0 AS depth, COALESCE(doors,0) AS doors, COALESCE(windows,0) AS windows FROM fx_rooms LEFT JOIN oc USING (room_id))"""
 EVIDENCE = f"""{MEASURED},
 cl AS (SELECT *, CASE WHEN room_type = 'master_bedroom' THEN 'bedroom' ELSE room_type END AS t FROM fx_claims),
@@ -62,7 +62,7 @@ ev AS (
  UNION ALL SELECT building_id, room_id, 'window_count', 5, 0, label, CASE WHEN windows = 0 THEN 2.4e0*(windowless-0.5e0) ELSE 1.2e0*(0.5e0-windowless) END, 1e0, FALSE FROM gp
  UNION ALL SELECT building_id, room_id, 'door_count', 5, 0, label, CASE WHEN doors >= 3 THEN CASE WHEN label IN ('hallway','staircase') THEN 1.2e0 ELSE -0.9e0 END WHEN doors = 1 AND label IN ('bathroom','bedroom','store','utility') THEN 0.5e0 ELSE 0e0 END, 1e0, FALSE FROM gp WHERE doors > 0
  UNION ALL SELECT building_id, room_id, 'vision', 6, 0, room_type, 3e0, GREATEST(0.3e0, confidence), FALSE FROM fx_readings WHERE confidence > 0 AND room_type IN (SELECT room_type FROM dim_room_priors)
- UNION ALL SELECT building_id, room_id, 'vision_object', 6, 0, e.room_type, e.score, 0.5e0*(1e0+0.2e0*LN(n)), FALSE FROM (SELECT building_id, room_id, category, COUNT(*) AS n FROM fx_placed WHERE object_id % 41 = 0 GROUP BY ALL) v JOIN dim_object_evidence e USING (category))"""
+ UNION ALL SELECT building_id, room_id, 'vision_object', 6, 0, e.room_type, e.score, 0.5e0*(1e0+0.2e0*LN(n)), FALSE FROM (SELECT building_id, room_id, category, COUNT(*) AS n FROM fx_placed GROUP BY ALL) v JOIN dim_object_evidence e USING (category))"""
 
 
 def fuse_sql(ev: str, p: str) -> str:
@@ -184,11 +184,11 @@ def layer_role_counts(spark, sf_dir):
 
 
 @query("label_attribution", "JN-04", oracle=f"""
-WITH t AS (SELECT object_id, building_id, x, y, CAST(object_id % 50 AS DOUBLE) AS declared FROM fx_objects WHERE object_id % 5 = 0), c AS (SELECT object_id, declared, r.building_id, r.room_id, area, {INSIDE} AS inside, {OUTLINE} AS d FROM t JOIN fx_rooms r USING (building_id)),
+WITH t AS (SELECT object_id, building_id, x, y, CAST(object_id % 50 AS DOUBLE) AS declared FROM fx_objects), c AS (SELECT object_id, declared, r.building_id, r.room_id, area, {INSIDE} AS inside, {OUTLINE} AS d FROM t JOIN fx_rooms r USING (building_id)),
 k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY object_id ORDER BY CASE WHEN inside THEN 0 ELSE 1 END, CASE WHEN inside THEN area ELSE d END, room_id) AS rn FROM c WHERE inside OR d <= 1.5e0)
 SELECT building_id, room_id, COUNT(*) AS labels, MAX(declared) AS declared_area FROM k WHERE rn = 1 GROUP BY ALL""")
 def label_attribution(spark, sf_dir):
-    texts = fx(spark, sf_dir, "fx_objects").filter("object_id % 5 = 0").withColumn("declared", (F.col("object_id") % 50).cast("double"))
+    texts = fx(spark, sf_dir, "fx_objects").withColumn("declared", (F.col("object_id") % 50).cast("double"))
     found = sp.assign_regions(texts, "object_id", regions(spark, sf_dir), sp.LABEL_TOLERANCE)
     return texts.select("object_id", "building_id", "declared").join(found, ["building_id", "object_id"]).groupBy("building_id", "room_id").agg(
         F.count("*").alias("labels"), F.max("declared").alias("declared_area"))
@@ -236,14 +236,14 @@ def dominant_style(spark, sf_dir):
 
 @query("style_confidence", "AG-15", oracle="""
 WITH fam AS (SELECT DISTINCT style, COALESCE(family, 'unknown') AS family FROM dim_style_materials LEFT JOIN dim_materials USING (material)), n AS (SELECT style, COUNT(*) AS n FROM fam GROUP BY style),
-seen AS (SELECT DISTINCT p.room_id, family FROM fx_placed p JOIN dim_materials USING (material) WHERE family <> 'unknown' AND object_id % 97 = 0), h AS (SELECT r.room_id, COUNT(fam.family) AS hits, COUNT(seen.family) AS seen FROM fx_rooms r LEFT JOIN seen USING (room_id) LEFT JOIN fam ON fam.style = r.style AND fam.family = seen.family GROUP BY r.room_id)
+seen AS (SELECT DISTINCT p.room_id, family FROM fx_placed p JOIN dim_materials USING (material) WHERE family <> 'unknown'), h AS (SELECT r.room_id, COUNT(fam.family) AS hits, COUNT(seen.family) AS seen FROM fx_rooms r LEFT JOIN seen USING (room_id) LEFT JOIN fam ON fam.style = r.style AND fam.family = seen.family GROUP BY r.room_id)
 SELECT building_id, room_id, style, RND(CASE WHEN style = 'unknown' THEN 0e0 ELSE LEAST(1e0, 0.55e0 + CASE WHEN seen > 0 THEN 0.45e0*LEAST(1e0, CAST(hits AS DOUBLE)/n*1.5e0) ELSE 0e0 END) END,3) AS confidence FROM fx_rooms JOIN h USING (room_id) LEFT JOIN n USING (style)""")
 def style_confidence(spark, sf_dir):
-    return rounded(ap.style_confidence(fx(spark, sf_dir, "fx_rooms"), fx(spark, sf_dir, "fx_placed").filter("object_id % 97 = 0")), 3, "confidence")
+    return rounded(ap.style_confidence(fx(spark, sf_dir, "fx_rooms"), fx(spark, sf_dir, "fx_placed")), 3, "confidence")
 
 
 @query("room_palettes", "AG-16", "STR-12", oracle=f"""
-WITH o AS (SELECT c.*, wall_hex, floor_hex, obj_group = 'furniture' AS f, obj_group IN ('decor','appliance') AS d, GREATEST(width*depth, 0.01e0) AS a FROM fx_coloured c JOIN fx_finished_rooms r USING (building_id, room_id) WHERE color_hex IS NOT NULL AND object_id % 23 = 0),
+WITH o AS (SELECT c.*, wall_hex, floor_hex, obj_group = 'furniture' AS f, obj_group IN ('decor','appliance') AS d, GREATEST(width*depth, 0.01e0) AS a FROM fx_coloured c JOIN fx_finished_rooms r USING (building_id, room_id) WHERE color_hex IS NOT NULL),
 acc AS (SELECT *, ROUND({sat_sql('color_hex')},9) AS s FROM o WHERE (f OR d)), ak AS (SELECT room_id, color_hex AS hex, ROW_NUMBER() OVER (PARTITION BY room_id ORDER BY s DESC, CASE WHEN d THEN 0 ELSE 1 END, object_id) AS rn FROM acc WHERE s > 0 AND (wall_hex IS NULL OR {dist_sql('color_hex', 'wall_hex')} >= 0.08e0) AND (floor_hex IS NULL OR {dist_sql('color_hex', 'floor_hex')} >= 0.08e0)),
 fm AS (SELECT room_id, {mix_sql('color_hex', 'a')} AS hex FROM o WHERE f GROUP BY room_id), dm AS (SELECT room_id, {mix_sql('color_hex', '1e0')} AS hex FROM o WHERE d GROUP BY room_id),
 lk AS (SELECT room_id, SUM(kelvin*GREATEST(power_w,1e0))/SUM(GREATEST(power_w,1e0)) AS k FROM fx_lights GROUP BY room_id),
@@ -251,7 +251,7 @@ j AS (SELECT r.building_id, r.room_id, wall_hex, floor_hex, COALESCE(fm.hex, '#B
 q AS (SELECT *, CAST(wall_hex IS NOT NULL AS INTEGER) + CAST(floor_hex IS NOT NULL AS INTEGER) + CAST(hf AS INTEGER) + CAST(dhex IS NOT NULL AS INTEGER) AS n FROM j)
 SELECT building_id, room_id, COALESCE(wall_hex, floor_hex, shade) AS primary_hex, COALESCE(floor_hex, wall_hex, shade) AS secondary_hex, COALESCE(ahex, '#9AA5AE') AS accent_hex, {kelvin_sql('k')} AS lighting_hex, shade AS furniture_hex, COALESCE(dhex, shade) AS decor_hex, RND(0.25e0*n,3) AS confidence FROM q WHERE n > 0""")
 def room_palettes(spark, sf_dir):
-    objects = fx(spark, sf_dir, "fx_coloured").filter("object_id % 23 = 0")
+    objects = fx(spark, sf_dir, "fx_coloured")
     return rounded(ap.derive_palettes(fx(spark, sf_dir, "fx_finished_rooms"), objects, fx(spark, sf_dir, "fx_lights")), 3, "confidence")
 
 
@@ -263,7 +263,7 @@ def style_palettes(spark, sf_dir):
 
 @query("room_lighting", "AG-17", oracle="""
 WITH w AS (SELECT building_id, room_id, SUM(width*height) AS glazed FROM fx_openings WHERE kind = 'window' AND room_id IS NOT NULL GROUP BY ALL), wl AS (SELECT * FROM (SELECT room_id, x, y, ROW_NUMBER() OVER (PARTITION BY room_id ORDER BY ROUND(width*height,9) DESC, opening_id) AS rn FROM fx_openings WHERE kind = 'window' AND room_id IS NOT NULL) WHERE rn = 1),
-l AS (SELECT building_id, room_id, SUM(CASE WHEN uncertain THEN 0e0 ELSE power_w END) AS p, SUM(kelvin*GREATEST(power_w,1e0))/SUM(GREATEST(power_w,1e0)) AS k FROM fx_lights WHERE light_id % 9 = 0 GROUP BY ALL),
+l AS (SELECT building_id, room_id, SUM(CASE WHEN uncertain THEN 0e0 ELSE power_w END) AS p, SUM(kelvin*GREATEST(power_w,1e0))/SUM(GREATEST(power_w,1e0)) AS k FROM fx_lights GROUP BY ALL),
 a AS (SELECT r.*, wl.x AS wx, wl.y AS wy, k, LEAST(0.85e0, COALESCE(glazed,0e0)/GREATEST(area,1e0)/0.18e0*0.45e0) AS d, LEAST(1e0, COALESCE(p,0e0)/GREATEST(area,1e0)/4e0) AS f FROM fx_finished_rooms r LEFT JOIN w USING (building_id, room_id) LEFT JOIN l USING (building_id, room_id) LEFT JOIN wl USING (room_id)),
 t AS (SELECT *, COALESCE(time_of_day, CASE WHEN ROUND(d,9) >= 0.35e0 THEN 'day' WHEN ROUND(d,9) <= 0.05e0 AND ROUND(f,9) > 0.4e0 THEN 'night' WHEN ROUND(f-d*1.5e0,9) > 0 THEN 'evening' ELSE 'day' END) AS tod FROM a),
 c AS (SELECT *, CASE tod WHEN 'night' THEN 0e0 WHEN 'evening' THEN d*0.25e0 ELSE d END AS wc FROM t), e AS (SELECT *, LEAST(1e0, 0.15e0+0.55e0*wc+0.45e0*f) AS amb FROM c)
@@ -271,16 +271,16 @@ SELECT building_id, room_id, RND(CASE tod WHEN 'night' THEN LEAST(amb,0.45e0) WH
  CASE tod WHEN 'day' THEN 45e0 WHEN 'overcast' THEN 30e0 WHEN 'evening' THEN 8e0 ELSE -10e0 END AS daylight_elevation, RND(wc,3) AS window_contribution, RND(CASE WHEN tod = 'day' AND ROUND(wc,9) > 0.3e0 THEN COALESCE(k,3400e0)*(1e0-wc)+6200e0*wc ELSE COALESCE(k,3400e0) END,1) AS color_temperature_k,
  RND(LEAST(1e0, 0.3e0+0.5e0*wc+CASE WHEN tod = 'overcast' THEN 0.2e0 ELSE 0e0 END),3) AS shadow_softness, tod AS time_of_day, RND(LEAST(1e0, 0.3e0 + CASE WHEN wx IS NOT NULL THEN 0.25e0 ELSE 0e0 END + CASE WHEN k IS NOT NULL THEN 0.25e0 ELSE 0e0 END + CASE WHEN time_of_day IS NOT NULL THEN 0.2e0 ELSE 0e0 END),3) AS confidence FROM e""")
 def room_lighting(spark, sf_dir):
-    found = ap.derive_lighting(fx(spark, sf_dir, "fx_finished_rooms"), fx(spark, sf_dir, "fx_lights").filter("light_id % 9 = 0"), fx(spark, sf_dir, "fx_openings"))
+    found = ap.derive_lighting(fx(spark, sf_dir, "fx_finished_rooms"), fx(spark, sf_dir, "fx_lights"), fx(spark, sf_dir, "fx_openings"))
     return rounded(rounded(rounded(found, 3, "ambient", "window_contribution", "shadow_softness", "confidence"), 2, "daylight_direction"), 1, "color_temperature_k")
 
 
 @query("contents_room_type", "AG-13", oracle="""
-WITH p AS (SELECT DISTINCT building_id, room_id, category FROM fx_placed WHERE object_id % 31 = 0), h AS (SELECT building_id, room_id, room_type, COUNT(*) AS n FROM p JOIN dim_room_markers USING (category) GROUP BY ALL),
+WITH p AS (SELECT DISTINCT building_id, room_id, category FROM fx_placed), h AS (SELECT building_id, room_id, room_type, COUNT(*) AS n FROM p JOIN dim_room_markers USING (category) GROUP BY ALL),
 k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY building_id, room_id ORDER BY n DESC, room_type) AS rn, SUM(n) OVER (PARTITION BY building_id, room_id) AS t FROM h)
 SELECT q.building_id, q.room_id, COALESCE(k.room_type, 'unknown') AS room_type, RND(COALESCE(CAST(n AS DOUBLE)/t, 0e0),3) AS confidence FROM (SELECT DISTINCT building_id, room_id FROM p) q LEFT JOIN k ON k.building_id = q.building_id AND k.room_id = q.room_id AND rn = 1""")
 def contents_room_type(spark, sf_dir):
-    return rounded(rm.contents_type(fx(spark, sf_dir, "fx_placed").filter("object_id % 31 = 0")), 3, "confidence")
+    return rounded(rm.contents_type(fx(spark, sf_dir, "fx_placed")), 3, "confidence")
 
 
 @query("reconciled_room_type", "AG-13", oracle="""
@@ -372,9 +372,11 @@ def lighting_programme(spark, sf_dir):
 
 @query("furnishing_targets", "PL-10", oracle="""
 WITH s AS (SELECT room_type, MIN(min_area) AS smallest FROM dim_furniture_programme GROUP BY room_type),
-r AS (SELECT building_id, room_id, CASE WHEN room_id IN (SELECT room_id FROM fx_placed WHERE object_id % 997 = 0) THEN 'observed contents win' WHEN room_type IN ('staircase','shaft','unknown') THEN 'room type stays empty' WHEN smallest IS NULL THEN 'no programme' WHEN area < smallest THEN 'too small' ELSE '' END AS reason, room_id NOT IN (SELECT room_id FROM fx_lights WHERE light_id % 77 = 0) AS light FROM fx_rooms LEFT JOIN s USING (room_type))
+r AS (SELECT building_id, room_id, CASE WHEN room_id IN (SELECT room_id - room_id % 4 FROM fx_placed) THEN 'observed contents win' WHEN room_type IN ('staircase','shaft','unknown') THEN 'room type stays empty' WHEN smallest IS NULL THEN 'no programme' WHEN area < smallest THEN 'too small' ELSE '' END AS reason, room_id NOT IN (SELECT room_id - room_id % 3 FROM fx_lights) AS light FROM fx_rooms LEFT JOIN s USING (room_type))
 SELECT building_id, room_id, reason = '' AS furnish, light, reason FROM r""")
 def furnishing_targets(spark, sf_dir):
-    return ap.furnishing_targets(fx(spark, sf_dir, "fx_rooms"), fx(spark, sf_dir, "fx_placed").filter("object_id % 997 = 0"), fx(spark, sf_dir, "fx_lights").filter("light_id % 77 = 0"))
+    """Objects are gathered in every fourth room and lights in every third, so that the others have none."""
+    gathered = lambda name, n: fx(spark, sf_dir, name).withColumn("room_id", F.col("room_id") - F.col("room_id") % n).withColumn("building_id", F.floor(F.col("room_id") / 10))
+    return ap.furnishing_targets(fx(spark, sf_dir, "fx_rooms"), gathered("fx_placed", 4), gathered("fx_lights", 3))
 
 

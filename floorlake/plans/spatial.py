@@ -131,10 +131,10 @@ def footprint_collisions(spark, sf_dir):
 WITH {FOOTPRINTS}, p AS (SELECT a.building_id, a.room_id, LEAST(a.object_id, b.object_id) AS first_id, GREATEST(a.object_id, b.object_id) AS second_id, MAX({overlap_sql('a.c', 'b.c', 'a.rotation_deg', 'b.rotation_deg')}) AS penetration
  FROM f a JOIN f b ON a.building_id = b.building_id AND a.room_id = b.room_id AND a.object_id <> b.object_id AND a.by_hand AND b.solid AND {UNSTACKED}
   AND NOT (a.z+a.height <= b.z OR b.z+b.height <= a.z) AND {near_sql('a.', 'b.')} GROUP BY ALL),
-k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY building_id ORDER BY first_id, second_id) AS rank FROM p WHERE penetration > 0.02e0)
-SELECT building_id, room_id, first_id, second_id, RND(penetration,6) AS penetration, rank FROM k WHERE rank <= 10""")
+k AS (SELECT * FROM p WHERE penetration > 0.02e0)
+SELECT building_id, room_id, first_id, second_id, RND(penetration,6) AS penetration FROM k""")
 def user_placement_conflicts(spark, sf_dir):
-    return rounded(va.user_conflicts(placed(spark, sf_dir), 10), 6, "penetration")
+    return rounded(va.user_conflicts(placed(spark, sf_dir)), 6, "penetration")
 
 
 EDGE_GAP = """LIST_MIN(LIST_TRANSFORM({c}, LAMBDA p: LIST_MIN(LIST_TRANSFORM(RANGE(1, 5), LAMBDA i:
