@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import posixpath
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,23 @@ def sized(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
 
 
+def trimmed(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``step`` over the batches of a task, after which the worker gives memory that it no longer uses back to the system.
+
+    Workers live on between tasks and jobs, so what their allocators keep would add up from stage to stage.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from step(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
     """The store and the path in it for ``folder``, a URI (file, hdfs, s3, gs) or an absolute path."""
     if folder.startswith("file:"):
@@ -61,10 +80,10 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         at = to
 
 
-def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Parts of a batch with their texts as large_string (null: empty), each bounded in bytes."""
     texts = batch.column(column).cast(pa.large_string()).fill_null("")
-    for at, to in slices(texts):
+    for at, to in slices(texts, limit):
         yield batch.slice(at, to - at), texts.slice(at, to - at)
 
 

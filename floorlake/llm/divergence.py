@@ -12,7 +12,6 @@ terms in one source are grouped by their count, and only terms in both meet in a
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +23,8 @@ from .common import sized, text_slices, written
 
 LEAST_DOCS = 3
 RANKS = 200
+#: Counts that a task holds before it adds up equal ones and hands them on.
+HELD_ROWS = 1 << 20
 UNIT = 1_000_000_000
 
 #: The byte that stands for each byte of a term (A-Z folded), 0 for bytes that part terms.
@@ -53,40 +54,54 @@ def terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[inside].tobytes())), np.diff(np.searchsorted(starts, ends))
 
 
+def _slice_counts(texts: pa.Array, group: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """-> group, term, occurrences and documents of every pair of them in some texts."""
+    found, counts = terms(texts)
+    coded = found.dictionary_encode()
+    size = max(len(coded.dictionary), 1)
+    per_doc, uses = np.unique(np.repeat(np.arange(len(counts)), counts) * size + coded.indices.to_numpy(), return_counts=True)
+    keys, place = np.unique(group[per_doc // size] * size + per_doc % size, return_inverse=True)
+    return keys // size, coded.dictionary.take(pa.array(keys % size)), np.bincount(place, uses, len(keys)).astype(np.int64), np.bincount(place, minlength=len(keys))
+
+
+def _merged(parts: list[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """The counts of several slices added up."""
+    coded = pa.concat_arrays([p[1] for p in parts]).dictionary_encode()
+    group, n, docs = (np.concatenate([p[k] for p in parts]) for k in (0, 2, 3))
+    size = max(len(coded.dictionary), 1)
+    keys, place = np.unique(group * size + coded.indices.to_numpy(), return_inverse=True)
+    return keys // size, coded.dictionary.take(pa.array(keys % size)), np.bincount(place, n, len(keys)).astype(np.int64), np.bincount(place, docs, len(keys)).astype(np.int64)
+
+
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents -> per group and term of a slice: occurrences, and documents that hold it; a row without a term for each group."""
+    """Documents -> per group and term: occurrences, and documents that hold it; a row without a term for each group."""
+    names: dict[tuple[str, str], int] = {}
+    held, rows = [], 0
+
+    def batch_of(group: np.ndarray, term: pa.Array, n: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+        known = list(names)
+        langs, sources = (pa.array([g[k] for g in known], pa.string()).take(pa.array(group)) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([langs, sources, term.cast(pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], ["lang", "source", "term", "n", "docs"])
+
     for whole in batches:
         for batch, texts in text_slices(whole, "text"):
-            groups = pa.array(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True), pa.struct([("l", pa.string()), ("s", pa.string())]))
-            names = list(dict.fromkeys((g["l"], g["s"]) for g in groups.to_pylist()))
-            number = {g: i for i, g in enumerate(names)}
-            group = np.array([number[g["l"], g["s"]] for g in groups.to_pylist()], np.int64)
-            found, counts = terms(texts)
-            coded = found.dictionary_encode()
-            size = max(len(coded.dictionary), 1)
-            per_doc, uses = np.unique(np.repeat(np.arange(len(counts)), counts) * size + coded.indices.to_numpy(), return_counts=True)
-            keys, place = np.unique(group[per_doc // size] * size + per_doc % size, return_inverse=True)
-            n, docs = np.bincount(place, uses, len(keys)).astype(np.int64), np.bincount(place, minlength=len(keys))
-            owner = np.concatenate([keys // size, np.arange(len(names))])
-            langs, sources = (pa.array([g[k] for g in names], pa.string()).take(pa.array(owner)) for k in (0, 1))
-            term = pa.concat_arrays([coded.dictionary.take(pa.array(keys % size)).cast(pa.string()), pa.nulls(len(names), pa.string())])
-            none = np.zeros(len(names), np.int64)
-            yield pa.RecordBatch.from_arrays([langs, sources, term, pa.array(np.concatenate([n, none])), pa.array(np.concatenate([docs, none]))], ["lang", "source", "term", "n", "docs"])
+            pairs = zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)
+            held.append(_slice_counts(texts, np.array([names.setdefault(g, len(names)) for g in pairs], np.int64)))
+            rows += len(held[-1][0])
+            if rows >= HELD_ROWS:
+                yield batch_of(*_merged(held))
+                held, rows = [], 0
+    if held:
+        yield batch_of(*_merged(held))
+    if names:
+        none = np.zeros(len(names), np.int64)
+        yield batch_of(np.arange(len(names)), pa.nulls(len(names), pa.string()), none, none)
 
 
 def term_digest(term: Column) -> Column:
     return F.xxhash64(term)
 
 
-def _numbered(groups: DataFrame) -> DataFrame:
-    """``gid`` and ``lid``: digests of (lang, source) and of lang under the first seed that gives no two of them the same."""
-    for seed in itertools.count():
-        told = groups.withColumns({"gid": F.xxhash64(F.lit(seed), "lang", "source"), "lid": F.xxhash64(F.lit(seed), "lang")})
-        ids = told.agg(F.count("*"), F.count_distinct("gid"), F.count_distinct("lang"), F.count_distinct("lid")).first()
-        if ids[0] == ids[1] and ids[2] == ids[3]:
-            return told
-
-
 def _share(count: str, total: str, kinds: str) -> Column:
     """1 + floor(UNIT * (count + 1) / (total + kinds)), exactly."""
     return F.expr(f"1 + ((cast({count} as decimal(20,0)) + 1) * {UNIT} div (cast({total} as decimal(20,0)) + {kinds}))")
@@ -110,12 +125,15 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, ranks: int
     """
     texts = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
     facts = written(texts.mapInArrow(_counter, _FACTS).withColumn("digest", F.when(F.col("term").isNotNull(), digest(F.col("term")))), "facts")
-    groups = sized(written(_numbered(facts.where("term is null").select("lang", "source").distinct()), "groups"))
+    # Small numbers instead of names: of a group, and for a language that of one of its groups.
+    named = written(facts.where("term is null").select("lang", "source").distinct().withColumn("gid", F.monotonically_increasing_id()), "groups")
+    groups = sized(written(named.join(named.groupBy("lang").agg(F.min("gid").alias("lid")), "lang"), "groups"))
     told = facts.where("term is not null").join(groups, ["lang", "source"])
 
     # The least and the greatest text of each digest: where they differ, the digest is split by text.
-    texts_of = written(facts.where("term is not null").groupBy("digest").agg(F.min("term").alias("least"), F.max("term").alias("greatest")), "texts")
-    shared = written(texts_of.where("least <> greatest").select("digest", F.lit(True).alias("shared")), "shared")
+    texts_of = facts.where("term is not null").groupBy("digest").agg(F.min("term").alias("least"), F.max("term").alias("greatest"))
+    texts_of = written(texts_of.select("digest", "least", (F.col("least") != F.col("greatest")).alias("shared")), "texts")
+    shared = texts_of.where("shared").select("digest", "shared")
     if shared.isEmpty():
         told = told.select("lid", "gid", "digest", F.lit(None).cast("string").alias("split"), "n", "docs")
     else:
