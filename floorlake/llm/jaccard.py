@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, text_slices, written
+from .common import components, text_slices, trimmed, written
 from .shingles import mix, shingle_sets
 
 WIDTH = 5
@@ -34,6 +34,8 @@ PERCENT = 80
 BLOCK = 2048
 #: Rows before it that a row of a tile is chained to.
 CHAIN = 3
+#: Bytes of text that are cut into shingles at once.
+SLICE = 1 << 20
 #: A shingle in at least one of this many documents comes last in the prefix order.
 COMMON_SHARE = 2048
 _KEYED = "key long, size int, place int, ck long"
@@ -63,7 +65,7 @@ def _facts_of(width: int):
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             seen = []
-            for batch, texts in text_slices(whole, "text"):
+            for batch, texts in text_slices(whole, "text", SLICE):
                 flat, at = shingle_sets(texts, width)
                 sizes = np.diff(at)
                 keys = [_class_key(flat[at[i] : at[i + 1]]) if sizes[i] else (None, None) for i in range(len(sizes))]
@@ -93,7 +95,7 @@ def _prefixes_of(width: int, percent: int, common: np.ndarray):
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             done: set[int] = set()
-            for batch, texts in text_slices(whole, "text"):
+            for batch, texts in text_slices(whole, "text", SLICE):
                 known = np.asarray(batch.column("doc_id").is_valid())
                 flat, at = shingle_sets(texts, width)
                 late = np.zeros(len(flat), bool)
@@ -251,7 +253,7 @@ def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[
 def _sets_of(width: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for _, texts in text_slices(whole, "text"):
+            for _, texts in text_slices(whole, "text", SLICE):
                 flat, at = shingle_sets(texts, width)
                 keep = np.flatnonzero(np.diff(at))
                 keys = [_class_key(flat[at[i] : at[i + 1]])[0] for i in keep]
@@ -289,7 +291,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rather than merge two sets of one digest.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    facts = written(docs.mapInArrow(_facts_of(width), _FACTS), "facts")
+    facts = written(docs.mapInArrow(trimmed(_facts_of(width)), _FACTS), "facts")
     rows = facts.where("kind = 0")
     n = rows.count()
     # At most COMMON_SHARE times the mean set size, however many documents there are.
@@ -301,24 +303,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = classes.select("ck", "doc_id", F.when(F.col("_t") == F.col("_u"), F.col("size")).otherwise(F.raise_error(F.lit("two shingle sets share a digest"))).alias("size"), "sketch")
     classes = written(classes, "classes")
 
-    keyed = docs.mapInArrow(_prefixes_of(width, percent, common), _KEYED)
-    tiles = written(keyed.repartition("key").sortWithinPartitions("key", "size", "ck").mapInArrow(_stars_of(percent), _TILES), "tiles")
+    keyed = docs.mapInArrow(trimmed(_prefixes_of(width, percent, common)), _KEYED)
+    tiles = written(keyed.repartition("key").sortWithinPartitions("key", "size", "ck").mapInArrow(trimmed(_stars_of(percent)), _TILES), "tiles")
 
     def decided(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) of class keys that reach the threshold."""
         pairs = written(pairs, "pairs")
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("ck")).distinct().join(classes.select("ck", "doc_id"), "ck")
         nodes = written(nodes, "nodes")
-        members = docs.join(nodes.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets_of(width), "ck long, members array<long>")
+        members = docs.join(nodes.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(trimmed(_sets_of(width)), "ck long, members array<long>")
         members = written(members.join(nodes.select("ck"), "ck", "left_semi").groupBy("ck").agg(F.first("members").alias("members")), "members")
         full = pairs.join(members.select(F.col("ck").alias("a"), F.col("members").alias("in_a")), "a").join(members.select(F.col("ck").alias("b"), F.col("members").alias("in_b")), "b")
-        return written(full.mapInArrow(_linked_of(percent), "a long, b long"), "linked")
+        return written(full.mapInArrow(trimmed(_linked_of(percent)), "a long, b long"), "linked")
 
     def possible(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose bitmaps allow the threshold."""
         for side in ("a", "b"):
             pairs = pairs.join(classes.select(F.col("ck").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
-        return pairs.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_bounded(percent), "a long, b long")
+        return pairs.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(trimmed(_bounded(percent)), "a long, b long")
 
     def still_open(links: DataFrame) -> DataFrame:
         """Rows of the tiles that hold several components, with their component and the blocks ``q`` of the tile."""
@@ -341,7 +343,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spread = still_open(links).withColumn("part", F.expr("cast(pmod(ck, q) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     spread = spread.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "size", "place", "ck", "comp", "part")
     spread = spread.join(classes.select("ck", "sketch"), "ck").select("key", "lo", "hi", "size", "place", "ck", "comp", "part", "sketch")
-    rest = spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "size", "ck").mapInArrow(_pairs_of(percent), "a long, b long").distinct()
+    rest = spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "size", "ck").mapInArrow(trimmed(_pairs_of(percent)), "a long, b long").distinct()
     links = links.union(decided(rest))
 
     reached = components(links).join(classes.select(F.col("ck").alias("node"), "doc_id"), "node")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import text_slices, trimmed
 from .units import library_encoder, with_end
 
 WINDOW = 2048
@@ -82,7 +82,7 @@ def document_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, window: in
                 crcs = [zlib.crc32(plain[p : p + n]) for p, n in zip(place, length, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), pa.array(sizes[owner])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(cut), schema)
 
 
 def pack_pieces(pieces: DataFrame, groups: int, window: int = WINDOW) -> DataFrame:

@@ -32,7 +32,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if size not in _POWERS:
         up, down = np.full(size, _BASE, np.uint64), np.full(size, _UNBASE, np.uint64)
         up[0] = down[0] = 1
-        if size > 1 << 23:  # a single very long text: not kept
+        if size > 1 << 20:  # a very long text, or many at once: not kept
             return np.cumprod(up), np.cumprod(down)
         _POWERS.clear()
         _POWERS[size] = np.cumprod(up), np.cumprod(down)

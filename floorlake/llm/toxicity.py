@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, trimmed
 from .features import BUCKETS, Sparse, bucket, descend, feature_batches, margins, sigmoid, string_hashes
 from .units import gather
 
 FIT_ROWS = 3000
+#: Bytes of text that are scored at once.
+SLICE = 2 << 20
 CUT = 0.7
 #: Word beginnings taken from the labelled rows as voters.
 INDUCED = 192
@@ -177,11 +179,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, i
 def score_column(model: ToxicityModel):
     """A column function text -> score; null texts count as empty."""
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scores(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             texts = pa.array(part.fillna(""), pa.large_string())
-            yield pd.Series(np.concatenate([model.scores(texts.slice(lo, hi - lo)) for lo, hi in slices(texts)]) if len(texts) else np.empty(0))
+            yield pd.Series(np.concatenate([model.scores(texts.slice(lo, hi - lo)) for lo, hi in slices(texts, SLICE)]) if len(texts) else np.empty(0))
+
+    @F.pandas_udf("double")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return trimmed(scores)(parts)
 
     return score
 

@@ -10,8 +10,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Units whose ids a task keeps between batches; the others are encoded anew in each batch.
-KEPT_UNITS = 300_000
+#: Units whose ids a worker keeps between batches, unless told otherwise; the others are encoded anew in each batch.
+KEPT_UNITS = 150_000
+#: Pieces that are encoded as one text.
+JOINT = 1024
 
 _WHITE = "\\s\\x0b\\x1c-\\x1f\\x85\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 #: A blank that no unit may begin with: it belongs to a longer run of white space.
@@ -41,8 +43,8 @@ class UnitEncoder:
     white space go whole to ``encode``.
     """
 
-    def __init__(self, encode: Encode, blanks: bool):
-        self.encode, self.blanks = encode, blanks
+    def __init__(self, encode: Encode, blanks: bool, kept: int = KEPT_UNITS):
+        self.encode, self.blanks, self.most = encode, blanks, kept
         self.known: dict[str, int] = {}
         self.kept, self.kept_at = np.empty(0, np.int32), np.zeros(1, np.int64)
 
@@ -53,7 +55,7 @@ class UnitEncoder:
         new, new_at = self.encode([pieces[i] for i in missing])
         places[missing] = len(self.kept_at) - 1 + np.arange(len(missing))
         ids, at = np.concatenate([self.kept, new]), np.concatenate([self.kept_at, self.kept_at[-1] + new_at[1:]])
-        room = min(KEPT_UNITS - len(self.known), len(missing))
+        room = min(self.most - len(self.known), len(missing))
         if room > 0:
             for i in missing[:room]:
                 self.known[pieces[i]] = len(self.known)
@@ -108,9 +110,10 @@ class UnitEncoder:
 _LIBRARY: dict[tuple[str, bool], UnitEncoder] = {}
 
 
-def library_encoder(path: str, blanks: bool) -> UnitEncoder:
-    """The encoder of this worker process for a file of the tokenizers library."""
+def library_encoder(path: str, blanks: bool, kept: int = KEPT_UNITS) -> UnitEncoder:
+    """The encoder of this worker process for a file of the tokenizers library; a worker holds one at a time."""
     if (path, blanks) not in _LIBRARY:
+        _LIBRARY.clear()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -118,35 +121,39 @@ def library_encoder(path: str, blanks: bool) -> UnitEncoder:
         tokenizer.no_padding()
         tokenizer.no_truncation()
 
+        # Bytes of each id: the byte-level vocabulary writes every byte as one character.
         size = np.array([len(tokenizer.id_to_token(i).removesuffix("</w>")) for i in range(tokenizer.get_vocab_size())], np.int64)
 
-        def alone(texts: list[str]) -> list[list[int]]:
-            return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        def alone(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            lists = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            return np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes
 
         def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             """Short pieces of letters are encoded as one text of many, which is then parted by byte lengths; the rest one by one."""
-            joint = [i for i, t in enumerate(texts) if len(t) < 100 and (t[:1] == " " and t[1:].isalpha() if blanks else t.isalpha())]
-            found: list[list[int] | np.ndarray] = [()] * len(texts)
-            rest = set(range(len(texts)))
-            for k in range(0, len(joint), 512):
-                some = joint[k : k + 512]
-                ids = np.array(alone([("" if blanks else " ").join([texts[i] for i in some])])[0], np.int32)
-                ends = np.cumsum(size[ids])
-                marks = np.cumsum([len(texts[i].encode()) for i in some])
+            ok = np.fromiter((len(t) < 100 and (t[:1] == " " and t[1:].isalpha() if blanks else t.isalpha()) for t in texts), bool, len(texts))
+            rest, done = [np.flatnonzero(~ok)], []
+            joint = np.flatnonzero(ok)
+            for k in range(0, len(joint), JOINT):
+                some = joint[k : k + JOINT]
+                own = [texts[i] for i in some]
+                ids = np.array(tokenizer.encode_batch_fast([("" if blanks else " ").join(own)], add_special_tokens=False)[0].ids, np.int32)
+                ends, marks = np.cumsum(size[ids]), np.cumsum(np.fromiter((len(t.encode()) for t in own), np.int64, len(own)))
                 cuts = np.searchsorted(ends, marks)
                 if len(ends) and cuts[-1] == len(ends) - 1 and (ends[np.minimum(cuts, len(ends) - 1)] == marks).all():
-                    for i, part in zip(some, np.split(ids, cuts[:-1] + 1), strict=True):
-                        found[i] = part
-                    rest.difference_update(some)
-            rest = sorted(rest)
-            for k in range(0, len(rest), 4096):
-                for i, ids in zip(rest[k : k + 4096], alone([texts[i] for i in rest[k : k + 4096]]), strict=True):
-                    found[i] = ids
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(sizes.sum()))
-            return flat, np.concatenate([[0], np.cumsum(sizes)])
-
-        _LIBRARY[path, blanks] = UnitEncoder(encode, blanks)
+                    done.append((some, ids, np.diff(cuts, prepend=-1)))
+                else:
+                    rest.append(some)
+            single = np.concatenate(rest)
+            for k in range(0, len(single), 4096):
+                some = single[k : k + 4096]
+                done.append((some, *alone([texts[i] for i in some])))
+            if not done:
+                return np.empty(0, np.int32), np.zeros(1, np.int64)
+            index, ids, sizes = (np.concatenate(x) for x in zip(*done, strict=True))
+            return gather(ids, np.concatenate([[0], np.cumsum(sizes)]), np.argsort(index))
+
+        _LIBRARY[path, blanks] = UnitEncoder(encode, blanks, kept)
     return _LIBRARY[path, blanks]
 
 
