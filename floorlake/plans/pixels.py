@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..fixtures import FX, fx
 from ..functions import projection as pj
 from ..operators import pixels as px
+from ..operators import similarity as sm
 from .evaluation import rounded
 from .registry import query
-from .rooms import hex_sql
+from .rooms import dist_sql, hex_sql
 
 LIN = "CASE WHEN {0} <= 0.04045e0 THEN {0}/12.92e0 ELSE POWER(({0}+0.055e0)/1.055e0, 2.4e0) END"
 SRGB = "CASE WHEN {0} <= 0.0031308e0 THEN {0}*12.92e0 ELSE 1.055e0*POWER({0}, 1e0/2.4e0)-0.055e0 END"
@@ -61,6 +62,52 @@ def histogram_agreement(spark, sf_dir):
     return rounded(px.histogram_agreement(pairs(spark, sf_dir), px.histograms(rgb(spark, sf_dir))).select("pair_id", "agreement"), 6, "agreement")
 
 
+JOINT = "jh AS (SELECT image_id, bin, CAST(COUNT(*) AS DOUBLE)/ANY_VALUE(n) AS share FROM (SELECT image_id, CAST(GREATEST(0, LEAST(3, FLOOR(r*4)))*16 + GREATEST(0, LEAST(3, FLOOR(g*4)))*4 + GREATEST(0, LEAST(3, FLOOR(b*4))) AS INTEGER) AS bin, COUNT(*) OVER (PARTITION BY image_id) AS n FROM fx_rgb) GROUP BY ALL)"
+
+
+@query("joint_histograms", "PX-03", oracle=f"WITH {JOINT} SELECT image_id, bin, RND(share,6) AS share FROM jh")
+def joint_histograms(spark, sf_dir):
+    return rounded(sm.joint_histograms(rgb(spark, sf_dir)), 6, "share")
+
+
+def slope_sql(line: str, along: str) -> str:
+    before, after = [f"{f}(y) OVER (PARTITION BY image_id, {line} ORDER BY {along})" for f in ("LAG", "LEAD")]
+    return f"COALESCE(({after}-{before})/2e0, {after}-y, y-{before}, 0e0)"
+
+
+def energy_sql(name: str, source: str) -> str:
+    return f"{name} AS (SELECT image_id, prow, pcol, SQRT(POWER({slope_sql('prow', 'pcol')},2)+POWER({slope_sql('pcol', 'prow')},2)) AS e FROM {source})"
+
+
+# Pictures are 8 x 8: six bands of 2, 2, 1, 1, 1, 1 rows and eight columns.
+SIMILAR = f"""{JOINT}, {PAIRS}, ym AS (SELECT image_id, prow, pcol, r, g, b, 0.2126e0*r+0.7152e0*g+0.0722e0*b AS y FROM fx_rgb),
+y2 AS (SELECT image_id, prow//2 AS prow, pcol//2 AS pcol, AVG(y) AS y FROM ym GROUP BY ALL), y4 AS (SELECT image_id, prow//4 AS prow, pcol//4 AS pcol, AVG(y) AS y FROM ym GROUP BY ALL),
+{energy_sql('g1', 'ym')}, {energy_sql('g2', 'y2')}, {energy_sql('g4', 'y4')},
+cl AS (SELECT image_id, CASE WHEN prow < 4 THEN prow//2 ELSE prow-2 END AS gr, pcol AS gc, AVG(e) AS e FROM g1 GROUP BY ALL),
+ms AS (SELECT image_id, {hex_sql('255e0*AVG(r)', '255e0*AVG(g)', '255e0*AVG(b)')} AS hex, AVG(y) AS br, STDDEV_POP(y) AS co, AVG(r)-AVG(b) AS wa FROM ym GROUP BY image_id),
+dt AS (SELECT image_id, d1, d2, d4 FROM (SELECT image_id, AVG(e) AS d1 FROM g1 GROUP BY 1) JOIN (SELECT image_id, AVG(e) AS d2 FROM g2 GROUP BY 1) USING (image_id) JOIN (SELECT image_id, AVG(e) AS d4 FROM g4 GROUP BY 1) USING (image_id)),
+ag AS (SELECT pair_id, SUM(LEAST(x.share, z.share)) AS agree FROM pr JOIN jh x ON x.image_id = reference_id JOIN jh z ON z.image_id = render_id AND z.bin = x.bin GROUP BY pair_id),
+ly AS (SELECT pair_id, GREATEST(0e0, (CASE WHEN COUNT(*)*SQRT(VAR_POP(x.e)*VAR_POP(z.e)) > 1e-9 THEN COVAR_POP(x.e, z.e)/SQRT(VAR_POP(x.e)*VAR_POP(z.e)) ELSE 0e0 END + 1e0)/2e0) AS layout FROM pr JOIN cl x ON x.image_id = reference_id JOIN cl z ON z.image_id = render_id AND z.gr = x.gr AND z.gc = x.gc GROUP BY pair_id),
+sm AS (SELECT pr.pair_id, GREATEST(0e0, 0.6e0*COALESCE(agree,0e0)+0.4e0*(1e0-{dist_sql('a.hex', 'b.hex')})) AS colour, {dist_sql('a.hex', 'b.hex')} AS cd, b.br-a.br AS brighter, b.wa-a.wa AS warmer, layout,
+ 0.4e0*(1e0-LEAST(1e0, ABS(a.br-b.br)/0.5e0))+0.25e0*(1e0-LEAST(1e0, ABS(a.co-b.co)/0.35e0))+0.35e0*(1e0-LEAST(1e0, ABS(a.wa-b.wa)/0.35e0)) AS lighting,
+ ({'+'.join(f"1e0-LEAST(1e0, ABS(x.d{s}-z.d{s})/GREATEST(x.d{s}, z.d{s}, 1e-6))" for s in (1, 2, 4))})/3e0 AS material
+ FROM pr JOIN ms a ON a.image_id = reference_id JOIN ms b ON b.image_id = render_id JOIN dt x ON x.image_id = reference_id JOIN dt z ON z.image_id = render_id JOIN ly ON ly.pair_id = pr.pair_id LEFT JOIN ag ON ag.pair_id = pr.pair_id)"""
+
+
+@query("pair_similarity", "PX-15", oracle=f"WITH {SIMILAR} SELECT pair_id, RND(colour,5) AS colour, RND(lighting,5) AS lighting, RND(layout,5) AS layout, RND(material,5) AS material, RND((0.26e0*colour+0.24e0*layout+0.22e0*lighting+0.08e0*material)/0.8e0,5) AS score FROM sm")
+def pair_similarity(spark, sf_dir):
+    found = sm.pair_similarity(pairs(spark, sf_dir), rgb(spark, sf_dir)).select("pair_id", "colour", "lighting", "layout", "material", "score")
+    return rounded(found, 5, "colour", "lighting", "layout", "material", "score")
+
+
+@query("similarity_findings", "PX-15", oracle=f"""
+WITH {SIMILAR} SELECT pair_id, 'colour' AS axis, 'overall colour differs' AS finding, 'materials' AS remedy FROM sm WHERE cd > 0.18e0 UNION ALL SELECT pair_id, 'lighting', 'render is darker', 'lighting' FROM sm WHERE brighter < -0.1e0
+UNION ALL SELECT pair_id, 'lighting', 'render is brighter', 'lighting' FROM sm WHERE brighter > 0.1e0 UNION ALL SELECT pair_id, 'lighting', 'lighting too warm', 'lighting' FROM sm WHERE warmer > 0.08e0 UNION ALL SELECT pair_id, 'lighting', 'lighting too cool', 'lighting' FROM sm WHERE warmer < -0.08e0
+UNION ALL SELECT pair_id, 'layout', 'furniture layout differs', 'assets' FROM sm WHERE layout < 0.7e0 UNION ALL SELECT pair_id, 'material', 'surfaces read flatter', 'materials' FROM sm WHERE material < 0.7e0""")
+def similarity_findings(spark, sf_dir):
+    return sm.similarity_findings(sm.pair_similarity(pairs(spark, sf_dir), rgb(spark, sf_dir)))
+
+
 MASS = """mg AS (SELECT image_id, gr, gc, s/NULLIF(SUM(s) OVER (PARTITION BY image_id), 0) AS share FROM (SELECT image_id, CAST(FLOOR(prow/4) AS BIGINT) AS gr, CAST(FLOOR(pcol/2) AS BIGINT) AS gc, STDDEV_POP(y) AS s FROM p3 GROUP BY ALL)),
 ma AS (SELECT pair_id, SUM(LEAST(a.share, b.share)) AS agreement FROM pr JOIN mg a ON a.image_id = reference_id JOIN mg b ON b.image_id = render_id AND b.gr = a.gr AND b.gc = a.gc GROUP BY pair_id)"""
 
