@@ -102,6 +102,12 @@ SELECT o.building_id, hint_room_id AS room_id, object_id, category, CASE categor
  confidence < 0.4e0 AS uncertain, object_id % 13 = 0 AS by_hand
 FROM fx_objects o CROSS JOIN (SELECT COUNT(*) AS n FROM supplier) c"""
 
+# The same objects with ids that start anew in every building.
+FX["fx_restarted"] = """
+SELECT p.building_id, p.room_id, p.k AS object_id, s.k AS support_id, p.category, p.support, p.x, p.y, p.z, p.width, p.depth, p.height, p.rotation_deg, p.confidence, p.material, p.locked, p.uncertain, p.by_hand
+FROM (SELECT q.*, ROW_NUMBER() OVER (PARTITION BY building_id ORDER BY object_id) AS k FROM fx_placed q) p
+LEFT JOIN (SELECT building_id, object_id, ROW_NUMBER() OVER (PARTITION BY building_id ORDER BY object_id) AS k FROM fx_placed) s ON s.building_id = p.building_id AND s.object_id = p.support_id"""
+
 # Objects with the colour, label and group the appearance rules need.
 FX["fx_coloured"] = """
 SELECT p.*, obj_group, CASE object_id % 7 WHEN 0 THEN '#8C5A3C' WHEN 1 THEN '#3F6B5E' WHEN 2 THEN '#D8C3A5' WHEN 3 THEN '#2E4A52' WHEN 4 THEN '#EFEDE8' WHEN 5 THEN '#C1683F' END AS color_hex,

@@ -147,10 +147,10 @@ def override_room_types(rooms: DataFrame, edits: DataFrame) -> tuple[DataFrame,
 def override_transforms(objects: DataFrame, patches: DataFrame, rooms: DataFrame) -> DataFrame:
     """Move, turn and resize requests judged on the final state.
 
-    ``patches``: object_id, new_x, new_y, new_rotation, new_width, new_depth, new_height, unlock
+    ``patches``: building_id, object_id, new_x, new_y, new_rotation, new_width, new_depth, new_height, unlock
     (nullable fields keep the old value). Adds ``verdict`` ('applied' or the reason) and ``overlaps``.
     """
-    staged = objects.join(patches, "object_id").join(rooms.select(BUILDING, "room_id", "polygon", "area"), [BUILDING, "room_id"])
+    staged = objects.join(patches, [BUILDING, "object_id"]).join(rooms.select(BUILDING, "room_id", "polygon", "area"), [BUILDING, "room_id"])
     final = {c: F.coalesce(f"new_{n}", c) for c, n in (("x", "x"), ("y", "y"), ("rotation_deg", "rotation"), ("width", "width"), ("depth", "depth"), ("height", "height"))}
     staged = staged.withColumns({f"f_{c}": v for c, v in final.items()})
     sizes = [F.col(f"f_{c}") for c in ("width", "depth", "height")]
@@ -163,8 +163,8 @@ def override_transforms(objects: DataFrame, patches: DataFrame, rooms: DataFrame
     moved = judged.filter("verdict = 'applied'").select(BUILDING, "room_id", "object_id", *[F.col(f"f_{c}").alias(c) for c in ("x", "y", "width", "depth", "rotation_deg")])
     others = objects.filter("width > 0 AND depth > 0 AND height > 0").select(BUILDING, "room_id", "object_id", "x", "y", "width", "depth", "rotation_deg")
     hits = footprint_pairs(moved, others, [BUILDING, "room_id"]).filter("a_object_id <> b_object_id").filter(F.round(g.rect_overlap("a_", "b_"), 9) > 0.02)
-    counts = hits.groupBy(F.col("a_object_id").alias("object_id")).agg(F.count("*").alias("overlaps"))
-    return judged.join(counts, "object_id", "left").na.fill(0, ["overlaps"]).select(BUILDING, "room_id", "object_id", "f_x", "f_y", "f_rotation_deg", "f_width", "f_depth", "f_height", "verdict", "overlaps")
+    counts = hits.groupBy(BUILDING, F.col("a_object_id").alias("object_id")).agg(F.count("*").alias("overlaps"))
+    return judged.join(counts, [BUILDING, "object_id"], "left").na.fill(0, ["overlaps"]).select(BUILDING, "room_id", "object_id", "f_x", "f_y", "f_rotation_deg", "f_width", "f_depth", "f_height", "verdict", "overlaps")
 
 
 def new_ids(requests: DataFrame, taken: DataFrame) -> DataFrame:

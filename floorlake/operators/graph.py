@@ -89,7 +89,7 @@ def cluster_points(points: DataFrame, radius: float = CLUSTER_RADIUS) -> DataFra
         F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("points"))
 
 
-def cascade(removed: DataFrame, supports: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def cascade(removed: DataFrame, supports: DataFrame, keys: tuple[str, ...] = (BUILDING,)) -> DataFrame:
     """Everything resting, directly or not, on something removed. ``supports``: keys, object_id, support_id.
 
     ``keys`` (the building) go with every id. Each round writes its new rows only; it ends when there are none,
@@ -106,20 +106,20 @@ def cascade(removed: DataFrame, supports: DataFrame, keys: tuple[str, ...] = ())
 def carry_children(moves: DataFrame, objects: DataFrame) -> DataFrame:
     """Objects carried along with a moved parent: turned about its new position and shifted with it.
 
-    ``moves``: root_id, old_x, old_y, dx, dy, turn_deg; ``objects``: object_id, support_id, x, y, rotation_deg.
+    ``moves``: building_id, root_id, old_x, old_y, dx, dy, turn_deg; ``objects``: building_id, object_id, support_id, x, y, rotation_deg.
     """
-    pairs = cut_lineage(moves.select("root_id", F.col("root_id").alias("object_id")))
+    pairs = cut_lineage(moves.select(BUILDING, "root_id", F.col("root_id").alias("object_id")))
     frontier = pairs
-    links = objects.filter("support_id IS NOT NULL").select("object_id", "support_id")
+    links = objects.filter("support_id IS NOT NULL").select(BUILDING, "object_id", "support_id")
     while not frontier.isEmpty():
-        above = links.join(frontier.withColumnRenamed("object_id", "support_id"), "support_id").select("root_id", "object_id")
-        frontier = cut_lineage(above.join(pairs, ["root_id", "object_id"], "left_anti"))
+        above = links.join(frontier.withColumnRenamed("object_id", "support_id"), [BUILDING, "support_id"]).select(BUILDING, "root_id", "object_id")
+        frontier = cut_lineage(above.join(pairs, [BUILDING, "root_id", "object_id"], "left_anti"))
         pairs = pairs.union(frontier)
-    moved = pairs.filter("root_id <> object_id").join(moves, "root_id").join(objects.select("object_id", "x", "y", "rotation_deg"), "object_id")
+    moved = pairs.filter("root_id <> object_id").join(moves, [BUILDING, "root_id"]).join(objects.select(BUILDING, "object_id", "x", "y", "rotation_deg"), [BUILDING, "object_id"])
     angle = F.radians("turn_deg")
     rx, ry = F.col("x") - F.col("old_x"), F.col("y") - F.col("old_y")
     return moved.select(
-        "root_id", "object_id", (F.col("old_x") + F.col("dx") + rx * F.cos(angle) - ry * F.sin(angle)).alias("x"),
+        BUILDING, "root_id", "object_id", (F.col("old_x") + F.col("dx") + rx * F.cos(angle) - ry * F.sin(angle)).alias("x"),
         (F.col("old_y") + F.col("dy") + rx * F.sin(angle) + ry * F.cos(angle)).alias("y"), F.pmod(F.col("rotation_deg") + F.col("turn_deg"), F.lit(360.0)).alias("rotation_deg"))
 
 

@@ -184,8 +184,8 @@ def issue_histogram(issues: DataFrame) -> DataFrame:
 
 def withhold(objects: DataFrame, issues: DataFrame) -> DataFrame:
     """Objects with an uncorrected error become uncertain and carry a flag."""
-    bad = issues.filter("severity = 'error' AND NOT corrected").select(F.col("subject").alias("object_id"), F.lit(True).alias("_bad")).distinct()
-    joined = objects.join(bad, "object_id", "left").withColumn("_bad", F.coalesce("_bad", F.lit(False)))
+    bad = issues.filter("severity = 'error' AND NOT corrected").select(BUILDING, F.col("subject").alias("object_id"), F.lit(True).alias("_bad")).distinct()
+    joined = objects.join(bad, [BUILDING, "object_id"], "left").withColumn("_bad", F.coalesce("_bad", F.lit(False)))
     return joined.withColumn("uncertain", F.col("uncertain") | F.col("_bad")).withColumn(
         "flags", F.when(F.col("_bad"), F.array_append("flags", F.lit("withheld_failed_validation"))).otherwise(F.col("flags"))).drop("_bad")
 
@@ -212,8 +212,8 @@ def recheck(placed: DataFrame, issues: DataFrame, respect_user_edits: bool = Tru
         protected = protected | F.exists("flags", lambda f: f.endswith("_set_by_user"))
     fixed = corrected_columns(placed)
     changed = F.greatest(*[F.abs(F.col(c) - F.col(f"new_{c}")) for c in ("x", "y", "z", "height")]) > 1e-6
-    explained = issues.select(F.col("subject").alias("object_id"), F.lit(True).alias("_explained")).distinct()
-    return fixed.filter(changed).join(explained, "object_id", "left").select(
+    explained = issues.select(BUILDING, F.col("subject").alias("object_id"), F.lit(True).alias("_explained")).distinct()
+    return fixed.filter(changed).join(explained, [BUILDING, "object_id"], "left").select(
         *KEYS, "object_id", F.when(F.col("_explained"), "explained").otherwise("displaced").alias("kind"), protected.alias("protected"),
         "new_x", "new_y", "new_z", "new_height")
 

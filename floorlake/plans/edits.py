@@ -75,21 +75,21 @@ def finish_overrides(spark, sf_dir):
     return ed.override_finishes(finishes, asked)[0].select("room_id", "material", "roughness", "confidence")
 
 
-PATCH = "pt AS (SELECT object_id, CASE WHEN object_id % 3 = 0 THEN x + 1.5e0 END AS nx, CASE WHEN object_id % 3 = 1 THEN 0.01e0 WHEN object_id % 3 = 2 THEN 4e0 END AS nw, object_id % 2 = 0 AS free_it FROM fx_placed WHERE object_id % 13 = 0)"
+PATCH = "pt AS (SELECT building_id, object_id, CASE WHEN object_id % 3 = 0 THEN x + 1.5e0 END AS nx, CASE WHEN object_id % 3 = 1 THEN 0.01e0 WHEN object_id % 3 = 2 THEN 4e0 END AS nw, object_id % 2 = 0 AS free_it FROM fx_restarted WHERE object_id % 13 = 0)"
 
 
 @query("transform_overrides", "ED-04", oracle=f"""
-WITH {PATCH}, f AS (SELECT p.building_id, p.room_id, p.object_id, support, locked, free_it, COALESCE(nx, x) AS x, y, COALESCE(nw, width) AS width, depth, height, rotation_deg, x0, y0, x1, y1, area FROM fx_placed p JOIN pt USING (object_id) JOIN fx_rooms r ON r.building_id = p.building_id AND r.room_id = p.room_id),
+WITH {PATCH}, f AS (SELECT p.building_id, p.room_id, p.object_id, support, locked, free_it, COALESCE(nx, x) AS x, y, COALESCE(nw, width) AS width, depth, height, rotation_deg, x0, y0, x1, y1, area FROM fx_restarted p JOIN pt USING (building_id, object_id) JOIN fx_rooms r ON r.building_id = p.building_id AND r.room_id = p.room_id),
 v AS (SELECT *, CASE WHEN locked AND NOT free_it THEN 'locked' WHEN LEAST(width,depth,height) < 0.05e0 OR GREATEST(width,depth,height) > 20 THEN 'size outside 0.05..20 m' WHEN support = 'floor' AND NOT (x >= x0 AND x < x1 AND y >= y0 AND y < y1) THEN 'outside the room' WHEN support = 'floor' AND ROUND(width*depth-0.55e0*area,9) > 0 THEN 'too large for the room' ELSE 'applied' END AS verdict, {corners_sql('')} AS c FROM f),
-o AS (SELECT *, {corners_sql('')} AS c FROM fx_placed WHERE width > 0 AND depth > 0 AND height > 0),
-n AS (SELECT a.object_id, COUNT(*) AS hits FROM v a JOIN o b ON a.verdict = 'applied' AND a.building_id = b.building_id AND a.room_id = b.room_id AND a.object_id <> b.object_id AND {near_sql('a.', 'b.')} WHERE {overlap_sql('a.c', 'b.c', 'a.rotation_deg', 'b.rotation_deg')} > 0.02e0 GROUP BY a.object_id)
-SELECT object_id, verdict, COALESCE(hits, 0) AS hits FROM v LEFT JOIN n USING (object_id)""")
+o AS (SELECT *, {corners_sql('')} AS c FROM fx_restarted WHERE width > 0 AND depth > 0 AND height > 0),
+n AS (SELECT a.building_id, a.object_id, COUNT(*) AS hits FROM v a JOIN o b ON a.verdict = 'applied' AND a.building_id = b.building_id AND a.room_id = b.room_id AND a.object_id <> b.object_id AND {near_sql('a.', 'b.')} WHERE {overlap_sql('a.c', 'b.c', 'a.rotation_deg', 'b.rotation_deg')} > 0.02e0 GROUP BY a.building_id, a.object_id)
+SELECT building_id, object_id, verdict, COALESCE(hits, 0) AS hits FROM v LEFT JOIN n USING (building_id, object_id)""")
 def transform_overrides(spark, sf_dir):
     empty = F.lit(None).cast("double")
-    patches = fx(spark, sf_dir, "fx_placed").filter("object_id % 13 = 0").select(
-        "object_id", F.when(F.col("object_id") % 3 == 0, F.col("x") + 1.5).alias("new_x"), empty.alias("new_y"), empty.alias("new_rotation"),
+    patches = fx(spark, sf_dir, "fx_restarted").filter("object_id % 13 = 0").select(
+        "building_id", "object_id", F.when(F.col("object_id") % 3 == 0, F.col("x") + 1.5).alias("new_x"), empty.alias("new_y"), empty.alias("new_rotation"),
         F.when(F.col("object_id") % 3 == 1, 0.01).when(F.col("object_id") % 3 == 2, 4.0).alias("new_width"), empty.alias("new_depth"), empty.alias("new_height"), (F.col("object_id") % 2 == 0).alias("unlock"))
-    return ed.override_transforms(placed(spark, sf_dir), patches, regions(spark, sf_dir)).select("object_id", "verdict", F.col("overlaps").alias("hits"))
+    return ed.override_transforms(fx(spark, sf_dir, "fx_restarted"), patches, regions(spark, sf_dir)).select("building_id", "object_id", "verdict", F.col("overlaps").alias("hits"))
 
 
 @query("new_object_ids", "ED-05", oracle="""

@@ -49,20 +49,20 @@ def point_clusters(spark, sf_dir):
 
 
 @query("support_cascade", "GR-08", oracle="""
-WITH RECURSIVE up(object_id) AS (SELECT object_id FROM fx_placed WHERE object_id % 10 = 3 UNION SELECT p.object_id FROM fx_placed p JOIN up ON p.support_id = up.object_id) SELECT object_id FROM up""")
+WITH RECURSIVE up(building_id, object_id) AS (SELECT building_id, object_id FROM fx_restarted WHERE object_id % 10 = 3 UNION SELECT p.building_id, p.object_id FROM fx_restarted p JOIN up ON p.building_id = up.building_id AND p.support_id = up.object_id) SELECT building_id, object_id FROM up""")
 def support_cascade(spark, sf_dir):
-    objects = fx(spark, sf_dir, "fx_placed")
-    return gr.cascade(objects.filter("object_id % 10 = 3"), objects.filter("support_id IS NOT NULL").select("object_id", "support_id"))
+    objects = fx(spark, sf_dir, "fx_restarted")
+    return gr.cascade(objects.filter("object_id % 10 = 3"), objects.filter("support_id IS NOT NULL").select("building_id", "object_id", "support_id"))
 
 
 @query("carried_children", "GR-09", oracle="""
-WITH RECURSIVE mv AS (SELECT object_id AS root_id, x AS old_x, y AS old_y, 0.5e0 AS dx, -0.25e0 AS dy, 30e0 AS turn FROM fx_placed WHERE object_id % 11 = 4),
-ch(root_id, object_id) AS (SELECT root_id, root_id FROM mv UNION SELECT ch.root_id, p.object_id FROM fx_placed p JOIN ch ON p.support_id = ch.object_id)
-SELECT ch.root_id, ch.object_id, RND(old_x+dx+(x-old_x)*COS(RADIANS(turn))-(y-old_y)*SIN(RADIANS(turn)),6) AS x, RND(old_y+dy+(x-old_x)*SIN(RADIANS(turn))+(y-old_y)*COS(RADIANS(turn)),6) AS y, RND(CASE WHEN rotation_deg+turn >= 360 THEN rotation_deg+turn-360e0 ELSE rotation_deg+turn END,6) AS rotation_deg
-FROM ch JOIN mv USING (root_id) JOIN fx_placed p ON p.object_id = ch.object_id WHERE ch.root_id <> ch.object_id""")
+WITH RECURSIVE mv AS (SELECT building_id, object_id AS root_id, x AS old_x, y AS old_y, 0.5e0 AS dx, -0.25e0 AS dy, 30e0 AS turn FROM fx_restarted WHERE object_id % 11 = 4),
+ch(building_id, root_id, object_id) AS (SELECT building_id, root_id, root_id FROM mv UNION SELECT ch.building_id, ch.root_id, p.object_id FROM fx_restarted p JOIN ch ON p.building_id = ch.building_id AND p.support_id = ch.object_id)
+SELECT ch.building_id, ch.root_id, ch.object_id, RND(old_x+dx+(x-old_x)*COS(RADIANS(turn))-(y-old_y)*SIN(RADIANS(turn)),6) AS x, RND(old_y+dy+(x-old_x)*SIN(RADIANS(turn))+(y-old_y)*COS(RADIANS(turn)),6) AS y, RND(CASE WHEN rotation_deg+turn >= 360 THEN rotation_deg+turn-360e0 ELSE rotation_deg+turn END,6) AS rotation_deg
+FROM ch JOIN mv USING (building_id, root_id) JOIN fx_restarted p ON p.building_id = ch.building_id AND p.object_id = ch.object_id WHERE ch.root_id <> ch.object_id""")
 def carried_children(spark, sf_dir):
-    objects = fx(spark, sf_dir, "fx_placed")
-    moves = objects.filter("object_id % 11 = 4").select(F.col("object_id").alias("root_id"), F.col("x").alias("old_x"), F.col("y").alias("old_y"),
+    objects = fx(spark, sf_dir, "fx_restarted")
+    moves = objects.filter("object_id % 11 = 4").select("building_id", F.col("object_id").alias("root_id"), F.col("x").alias("old_x"), F.col("y").alias("old_y"),
                                                          F.lit(0.5).alias("dx"), F.lit(-0.25).alias("dy"), F.lit(30.0).alias("turn_deg"))
     return rounded(gr.carry_children(moves, objects), 6, "x", "y", "rotation_deg")
 
