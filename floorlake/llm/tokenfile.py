@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import file_system, join_path, new_folder, text_slices, written
+from .common import file_system, join_path, new_folder, text_slices, trimmed, written
 from .units import library_encoder, with_end
 
 MAGIC = b"RANSIDS1"
@@ -33,6 +33,8 @@ LANES = 32
 BLOCK = 1 << 15
 #: Ids of one segment, but for a single longer document.
 SEGMENT = 1 << 21
+#: Bytes of text that are encoded at once, and units whose ids a worker keeps.
+SLICE, KEPT = 8 << 20, 1_000_000
 BITS = 16
 _HEADER = struct.Struct("<8sQQQQQ")
 _LOW = np.uint64(1 << 16)
@@ -185,7 +187,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     rows = rows.repartitionByRange(shards, "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "text", F.spark_partition_id().alias("shard"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(tokenizer, blanks=True)
+        encoder = library_encoder(tokenizer, blanks=True, kept=KEPT)
         store, base = file_system(folder)
         sink, path, place, segment, shard = None, "", 0, 0, 0
         waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
@@ -206,7 +208,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
 
         schema = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("path", pa.string()), ("place", pa.int64()), ("bytes", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
         for whole in batches:
-            for batch, texts in text_slices(whole, "text"):
+            for batch, texts in text_slices(whole, "text", SLICE):
                 if sink is None:
                     shard = batch.column("shard")[0].as_py()
                     store.create_dir(base, recursive=True)
@@ -222,7 +224,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
         if sink is not None:
             sink.close()
 
-    return written(rows.mapInArrow(write, _MANIFEST), "manifest")
+    return written(rows.mapInArrow(trimmed(write), _MANIFEST), "manifest")
 
 
 def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -231,8 +233,12 @@ def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     Segments are dealt out to tasks and read by range. ``start`` counts the ids of all documents
     before, over all files in order.
     """
-    order = Window.orderBy("shard", "segment").rowsBetween(Window.unboundedPreceding, -1)  # one row per segment, not per document
-    starts = manifest.select("shard", "segment", "path", "place", "bytes", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("base"))
+    # Sums run within a shard, and over the shards' totals: one row per file, which is one per task of the writer.
+    within = Window.partitionBy("shard").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    totals = manifest.groupBy("shard").agg(F.sum("n_tokens").alias("total")).select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("ahead"))
+    local = manifest.select("shard", "segment", "path", "place", "bytes", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("here"))
+    starts = local.join(totals, "shard").select("shard", "segment", "path", "place", "bytes", (F.col("here") + F.col("ahead")).alias("base"))
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
