@@ -4,7 +4,8 @@ Every tree splits the vectors again and again at the median of a random directio
 ``spill`` of a cut go to both sides, so that close vectors are seldom parted. Vectors of one leaf and
 one label are compared exactly, and the links of all leaves and trees are united. Cuts are fitted on
 at most ``FIT_ROWS`` vectors, every vector is routed. A label has as many levels as give
-leaves of about ``LEAF`` vectors; a label of fewer is one leaf and is compared once, in full.
+leaves of about ``LEAF`` vectors, however many that are; a label of fewer is one leaf. Nodes that too few of the
+fitting vectors reach are cut at the projection of the mean of the nearest node above that was fitted.
 
 A link that several leaves find is counted in the first of them, which the two vectors' own lists of leaves
 tell, so links are counted without being listed; of each leaf only one edge per vector goes on to
@@ -28,8 +29,10 @@ TREES = 6
 LEAF = 1024
 BLOCK = 4096
 FIT_ROWS = 8192
-#: Levels that ``FIT_ROWS`` vectors can place cuts for.
-LEVELS = 9
+#: Fitting vectors that a node needs for a median of its own.
+LEAST = 16
+#: Share of a node's fitting vectors near the cut beyond which the node is not split: most would go to both sides.
+THICK = 0.6
 SEED = 7
 
 
@@ -44,45 +47,65 @@ def spill_width(threshold: float, size: int) -> float:
     return 0.65 * float(np.sqrt(max(2 * (1 - threshold), 0.0) / max(size, 1)))
 
 
-def fit(sample: np.ndarray, threshold: float, trees: int) -> list[dict[int, float]]:
-    """Cuts of every tree by path: medians of the sample's vectors that reach the node."""
-    forest = []
-    for tree in range(trees):
-        cuts: dict[int, float] = {}
+class Tree:
+    """Cuts of one tree by path; vectors within ``spill`` of a cut go to both sides."""
+
+    def __init__(self, tree: int, sample: np.ndarray, spill: float):
+        self.tree, self.size, self.spill = tree, sample.shape[1], spill
+        self.whole: set[int] = set()
+        self.cuts: dict[int, float] = {}
+        self.centres: dict[int, np.ndarray] = {}
         level = {1: sample}
-        for _ in range(LEVELS):
+        while level:
             below = {}
             for path, rows in level.items():
-                if len(rows) < 8:
+                if len(rows) < LEAST:
+                    self.centres[path] = rows.mean(axis=0) if len(rows) else np.zeros(self.size)
+                    continue
+                along = rows @ direction(tree, path, self.size)
+                self.cuts[path] = float(np.median(along))
+                low = along <= self.cuts[path]
+                if low.all() or (np.abs(along - self.cuts[path]) <= spill).mean() > THICK:
+                    self.whole.add(path)
                     continue
-                along = rows @ direction(tree, path, rows.shape[1])
-                cuts[path] = float(np.median(along))
-                below[2 * path], below[2 * path + 1] = rows[along <= cuts[path]], rows[along > cuts[path]]
+                below[2 * path], below[2 * path + 1] = rows[low], rows[~low]
             level = below
-        forest.append(cuts)
-    return forest
 
-
-def route(rows: np.ndarray, depth: int, tree: int, cuts: dict[int, float], spill: float) -> list[tuple[int, np.ndarray]]:
-    """Leaves of a tree of ``depth`` levels -> (path, indices of the rows in it)."""
-    leaves, open_nodes = [], [(1, np.arange(len(rows)), depth)]
-    while open_nodes:
-        path, index, left = open_nodes.pop()
-        if not left or path not in cuts:
-            if len(index):
+    def cut(self, path: int, along: np.ndarray) -> float:
+        if path in self.cuts:
+            return self.cuts[path]
+        above = path
+        while above not in self.centres:
+            above >>= 1
+        return float(self.centres[above] @ along)
+
+    def route(self, rows: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
+        """Leaves of the tree with ``depth`` levels -> (path, indices of the rows in it)."""
+        leaves, open_nodes = [], [(1, np.arange(len(rows)), depth)]
+        while open_nodes:
+            path, index, left = open_nodes.pop()
+            if not len(index):
+                continue
+            if not left or path in self.whole:
                 leaves.append((path, index))
-            continue
-        along = rows[index] @ direction(tree, path, rows.shape[1]) - cuts[path]
-        open_nodes += [(2 * path, index[along <= spill], left - 1), (2 * path + 1, index[along > -spill], left - 1)]
-    return leaves
+                continue
+            d = direction(self.tree, path, self.size)
+            along = rows[index] @ d - self.cut(path, d)
+            open_nodes += [(2 * path, index[along <= self.spill], left - 1), (2 * path + 1, index[along > -self.spill], left - 1)]
+        return leaves
 
 
-def _unit(lists: pa.Array) -> np.ndarray:
-    rows = lists.values.to_numpy(zero_copy_only=False)[lists.offsets[0].as_py() : lists.offsets[-1].as_py()].astype(np.float64).reshape(len(lists), -1)
+def unit_rows(rows: np.ndarray) -> np.ndarray:
+    """Rows of length one; the largest component is made one first, so no square overflows or vanishes."""
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _router(forest: list[dict[int, float]], spill: float):
+def _unit(lists: pa.Array) -> np.ndarray:
+    return unit_rows(lists.values.to_numpy(zero_copy_only=False)[lists.offsets[0].as_py() : lists.offsets[-1].as_py()].astype(np.float64).reshape(len(lists), -1))
+
+
+def _router(forest: list[Tree]):
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = np.diff(batch.column("embedding").offsets.to_numpy())
@@ -91,8 +114,8 @@ def _router(forest: list[dict[int, float]], spill: float):
                 own = np.flatnonzero((sizes == size) & (depths == depth))
                 part = batch.take(pa.array(own))
                 rows = _unit(part.column("embedding"))
-                found = [(tree, path, index) for tree in range(len(forest) if depth else 1) for path, index in route(rows, depth, tree, forest[tree], spill)]
-                where = np.concatenate([np.full(len(i), (tree << 32) + path, np.int64) for tree, path, i in found])
+                found = [(tree, path, index) for tree in range(len(forest) if depth else 1) for path, index in (forest[tree].route(rows, depth) if depth else [(1, np.arange(len(own)))])]
+                where = np.concatenate([np.full(len(i), (tree << 56) + path, np.int64) for tree, path, i in found])
                 index = np.concatenate([i for _, _, i in found])
                 order = np.lexsort((where, index))
                 counts = np.bincount(index, minlength=len(own))
@@ -170,29 +193,32 @@ def vector_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     """``vectors``: id, vector, label -> vec_id, n_links, component_id, kept; one row per row.
 
     Two vectors of one label (not null) and one length link when a leaf holds both and their cosine
-    is at least ``threshold``. Vectors that are null, empty, zero, or hold null or non-finite components, have
-    a null label or a null id, link with nothing and are their own component (null for a null id, which is not kept).
-    Equal vectors are compared once and all count as links of each other. Rows of one
+    is at least ``threshold``: the product of the vectors brought to length one, in double precision, so a cosine that
+    is the threshold but for rounding may go either way. Vectors of any length but zero count. Vectors that are
+    null, empty, zero, or hold null or non-finite components, have a null label or a null id, link with nothing and are their own component (null for a null id, which is not kept).
+    Equal vectors (found by digests, and the job fails rather than merge others) are compared once and all count as links of each other. Rows of one
     id are vectors of their own under that id. Other columns are not read.
     """
     # Vectors of floats are moved as floats; all reckoning is in double precision.
     kind = "array<float>" if vectors.select(vector_col).dtypes[0][1] == "array<float>" else "array<double>"
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("embedding"), F.col(label_col).cast("long").alias("label"))
     # x - x is zero for finite numbers only; a null component gives a null sum.
-    sound = F.expr("aggregate(embedding, 0.0D, (s, x) -> s + (x - x)) = 0 and aggregate(embedding, 0.0D, (s, x) -> s + double(x) * double(x)) between 1e-280 and 1e280")
+    sound = F.expr("aggregate(embedding, 0.0D, (s, x) -> s + (x - x)) = 0 and exists(embedding, x -> x <> 0)")
     rows = rows.withColumn("usable", F.coalesce(sound & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)))
     rows = rows.withColumns({"k": F.xxhash64("embedding"), "l": F.hash("embedding")})
     usable = rows.where("usable")
-    classes = written(usable.groupBy("label", "k", "l").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"), F.first("embedding").alias("embedding")).withColumn("rep", F.xxhash64("label", "k", "l")), "vectors")
-    sample = [r[0] for r in classes.orderBy("rep").limit(FIT_ROWS).select("embedding").collect()]
+    same = F.when(F.min("embedding") == F.max("embedding"), F.min("vec_id")).otherwise(F.raise_error(F.lit("two vectors share a digest")))
+    classes = usable.groupBy("label", "k", "l").agg(same.alias("low"), F.count("*").alias("n"), F.min("embedding").alias("embedding"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "vectors")
+    sample = [r[0] for r in classes.orderBy("k", "l", "label").limit(FIT_ROWS).select("embedding").collect()]
     size = max((len(x) for x in sample), default=1)
-    fitted = np.array([x for x in sample if len(x) == size]).reshape(-1, size)
-    forest = fit(fitted / np.linalg.norm(fitted, axis=1, keepdims=True), threshold, trees)
-    depths = classes.groupBy("label").agg(F.least(F.lit(LEVELS), F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / LEAF)))).cast("int").alias("depth"))
+    fitted = unit_rows(np.array([x for x in sample if len(x) == size], np.float64).reshape(-1, size)) if sample else np.zeros((0, size))
+    forest = [Tree(tree, fitted, spill_width(threshold, size)) for tree in range(trees)]
+    depths = classes.groupBy("label").agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / LEAF))).cast("int").alias("depth"))
     routed = classes.join(depths, "label").select("label", "rep", "n", "embedding", F.when(F.size("embedding") == size, F.col("depth")).otherwise(0).alias("depth"))
-    routed = written(routed.mapInArrow(_router(forest, spill_width(threshold, size)), f"label long, leaf long, size int, rep long, n long, embedding {kind}, leaves array<long>"), "leaves")
+    routed = written(routed.mapInArrow(_router(forest), f"label long, leaf long, size int, rep long, n long, embedding {kind}, leaves array<long>"), "leaves")
     blocks = routed.groupBy("label", "leaf", "size").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("q"))
-    spread = routed.join(blocks, ["label", "leaf", "size"]).withColumn("part", F.expr("cast(pmod(rep, q) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
+    spread = routed.join(blocks, ["label", "leaf", "size"]).withColumn("part", F.expr("cast(pmod(xxhash64(rep), q) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     spread = spread.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")}).drop("q", "other")
     keys = ["label", "leaf", "size", "lo", "hi"]
     found = written(spread.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(_comparer(threshold), "rep long, links long, head long"), "links")
