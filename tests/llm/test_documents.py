@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from floorlake.llm import outliers
 from floorlake.llm.jaccard import jaccard_components, sketch
-from floorlake.llm.licenses import TEMPLATES, license_scans
+from floorlake.llm.licenses import TEMPLATES, license_scans, signs_suffice
 from floorlake.llm.outliers import quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -210,3 +210,27 @@ def test_license_passages_over_line_ends_and_inside_lines(spark):
     height = len(wrapped("isc").split("\n"))
     want = {(1, 42, "mit", 1.0), (2, 1, "header-apache-2.0", 1.0), (2, 1, "notice-apache-2.0", 1.0), (3, 1, "notice-mit", 1.0)}
     assert got == want | {(4, 41, "isc", 1.0), (4, 81 + height, "isc", 1.0), (4, 81 + 2 * height, "notice-bsd", 1.0)}
+
+
+@pytest.mark.parametrize("copies", [2, 60, 1000])
+def test_every_copy_of_a_wrapped_license_is_reported(spark, copies):
+    rnd = random.Random(copies)
+    own = textwrap.wrap(TEMPLATES["mit"], 72)
+    lines, starts = [], []
+    for k in range(copies):
+        lines += [" ".join(f"p{rnd.randrange(10**6)}" for _ in range(8)) for _ in range(rnd.randrange(3))]
+        starts.append(len(lines) + 1)
+        # A copy now and then has a word changed or left out.
+        words = TEMPLATES["mit"].split(" ")
+        if k % 3 == 1:
+            words[rnd.randrange(5, 150)] = "changed"
+        if k % 5 == 2:
+            del words[rnd.randrange(20, 140)]
+        lines += textwrap.wrap(" ".join(words), 72) if k else own
+    got = [r for r in license_scans(frame(spark, [(1, "\n".join(lines), None, None)])).collect() if r.license_id == "mit"]
+    assert sorted(r.line for r in got if r.line) == starts
+    assert all(r.dice > 0.9 for r in got if r.line)
+
+
+def test_every_template_needs_a_sign():
+    assert signs_suffice() and not signs_suffice(0.3)

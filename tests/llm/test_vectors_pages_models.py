@@ -72,6 +72,35 @@ def test_vectors_without_direction_link_with_nothing(spark):
     assert forest.vector_components(frame.limit(0)).collect() == []
 
 
+def test_vectors_of_any_length_link_by_direction(spark):
+    rows = [(i, [3.0 * x, 4.0 * x, 0.0], 1) for i, x in enumerate([1e-150, 1.5e-150, 1e150, 0.2, 1e-310, 1e300])]
+    rows += [(10, [0.0, 0.0, 5e-324], 1), (11, [0.0, 0.0, 1e308], 1)]
+    got = {(r.vec_id, r.n_links, r.component_id) for r in forest.vector_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {(i, 5, 0) for i in range(6)} | {(10, 1, 10), (11, 1, 10)}
+
+
+def test_recall_of_the_registered_parameters_on_a_large_label(spark):
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((6000, 64))
+    close = base[:4000] + rng.normal(0, 1, (4000, 64)) * rng.uniform(0.05, 0.45, (4000, 1))
+    x = np.concatenate([base, close]).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = sum(int((unit[k : k + 1000] @ unit.T >= forest.THRESHOLD).sum()) for k in range(0, len(x), 1000)) - len(x)
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    found = sum(r.n_links for r in forest.vector_components(frame).select("n_links").collect())
+    assert 0.95 * links <= found <= links and links > 2000
+
+
+def test_thick_nodes_stay_whole_and_deep_nodes_have_cuts():
+    rng = np.random.default_rng(5)
+    spread = forest.unit_rows(rng.standard_normal((4000, 16)))
+    tree = forest.Tree(0, spread, 0.01)
+    leaves = tree.route(spread, 14)
+    assert max(len(i) for _, i in leaves) < 60 and set(np.concatenate([i for _, i in leaves])) == set(range(len(spread)))
+    tight = forest.unit_rows(np.ones((4000, 16)) + 1e-4 * rng.standard_normal((4000, 16)))
+    assert [len(i) for _, i in forest.Tree(0, tight, 0.01).route(tight, 14)] == [4000]
+
+
 def reader(raw):
     return lambda place, length: raw[place : place + length]
 
