@@ -67,6 +67,45 @@ def drawing_warnings(spark, sf_dir):
     return dw.warnings(drawing_entities(spark, sf_dir)).groupBy("drawing_id", "dxftype", "layer", "reason").agg(F.count("*").alias("n"))
 
 
+def detail_entities(spark, sf_dir):
+    """Drawings of dimensions, hatches and solids: one of each for every segment."""
+    text = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
+    pair = lambda code, value: F.concat(F.lit(f" {code}\n"), value if not isinstance(value, str) else F.lit(value))
+    layer = pair(8, F.col("layer"))
+    k, side = F.col("entity_id"), 1 + F.col("entity_id") % 5
+    kind = F.when(k % 4 == 0, "0").when(k % 4 == 1, "1").when(k % 4 == 2, "33").otherwise("2")  # turned, aligned, aligned with a flag, angular
+    dimension = F.concat_ws("\n", pair(0, "DIMENSION"), layer, pair(13, text("sx")), pair(23, text("sy")), pair(14, text("ex")), pair(24, text("ey")), pair(70, kind), pair(50, "0"), pair(1, F.when(k % 3 == 0, "<>").otherwise("see note")))
+    corners = [(F.col("sx") + dx * side, F.col("sy") + dy * side) for dx, dy in ((0, 0), (1, 0), (1, 1), (0, 1))]
+    pattern = F.when(k % 3 == 0, "ANSI31").when(k % 3 == 1, "my AR-CONC fill").otherwise("UNHEARD")
+    hatch = F.concat_ws("\n", pair(0, "HATCH"), layer, pair(2, pattern), pair(10, "0"), pair(20, "0"), pair(93, "4"), *[pair(c, text(v)) for x, y in corners for c, v in ((10, x), (20, y))])
+    order = [corners[i] for i in (0, 1, 3, 2)]  # a solid names its last two corners the other way round
+    solid = F.concat_ws("\n", pair(0, "SOLID"), layer, *[pair(c + 10 * d, text(v)) for i, (x, y) in enumerate(order) for c, d, v in ((10 + i, 0, x), (20 + i, 0, y))])
+    body = F.array_join(F.array_sort(F.collect_list(F.struct("entity_id", F.concat_ws("\n", dimension, hatch, solid).alias("t")))).getField("t"), "\n")
+    files = fx(spark, sf_dir, "fx_segments").groupBy("drawing_id").agg(body.alias("b"))
+    files = files.select("drawing_id", F.concat_ws("\n", F.lit("  0\nSECTION\n  2\nENTITIES"), F.col("b"), F.lit("  0\nENDSEC\n  0\nEOF")).alias("text"))
+    return dw.model_entities(dw.parse_entities(files))
+
+
+@query("drawing_dimensions", "SRC-14", oracle="""
+SELECT drawing_id, layer, CASE WHEN entity_id % 3 = 0 THEN '' ELSE 'see note' END AS text, COUNT(*) AS n, RND(SUM(CASE WHEN entity_id % 4 = 0 THEN ABS(ex-sx) ELSE SQRT(POWER(ex-sx,2)+POWER(ey-sy,2)) END),4) AS measured FROM fx_segments WHERE entity_id % 4 <> 3 GROUP BY ALL""")
+def drawing_dimensions(spark, sf_dir):
+    found = dw.dimensions(detail_entities(spark, sf_dir)).groupBy("drawing_id", "layer", "text").agg(F.count("*").alias("n"), F.sum("measurement").alias("measured"))
+    return rounded(found, 4, "measured")
+
+
+@query("drawing_hatches", "SRC-14", oracle="""
+SELECT drawing_id, layer, CASE entity_id % 3 WHEN 0 THEN 'concrete' WHEN 1 THEN 'concrete' ELSE '' END AS material, COUNT(*) AS n, RND(SUM((1+entity_id % 5)*(1+entity_id % 5)),4) AS area, RND(SUM(sx+(1+entity_id % 5)/2e0),4) AS x FROM fx_segments GROUP BY ALL""")
+def drawing_hatches(spark, sf_dir):
+    found = dw.hatches(detail_entities(spark, sf_dir)).groupBy("drawing_id", "layer", "material").agg(F.count("*").alias("n"), F.sum("area").alias("area"), F.sum("x").alias("x"))
+    return rounded(found, 4, "area", "x")
+
+
+@query("drawing_solids", "SRC-14", oracle="SELECT drawing_id, layer, 4*COUNT(*) AS edges, RND(SUM(4e0*(1+entity_id % 5)),4) AS outline FROM fx_segments GROUP BY ALL")
+def drawing_solids(spark, sf_dir):
+    edges = dw.segments(detail_entities(spark, sf_dir)).groupBy("drawing_id", "layer").agg(F.count("*").alias("edges"), F.sum(F.hypot(F.col("ex") - F.col("sx"), F.col("ey") - F.col("sy"))).alias("outline"))
+    return rounded(edges, 4, "outline")
+
+
 @query("drawing_texts", "SRC-14", oracle="SELECT DISTINCT drawing_id, 'room_label' AS role, 'master_bedroom' AS room_type, 5.5e0 AS x, CASE WHEN drawing_id < 100 THEN CAST(drawing_id AS INTEGER) END AS trailing FROM fx_segments")
 def drawing_texts(spark, sf_dir):
     entities = dw.model_entities(dw.parse_entities(drawing_files(spark, sf_dir)))
