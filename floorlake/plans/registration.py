@@ -109,7 +109,11 @@ def region_assignment(spark, sf_dir):
     return rg.assign_regions(scores, order).select("building_id", "observed_type", "room_id")
 
 
-@query("image_groups", "RG-07")
+@query("image_groups", "RG-07", oracle=f"""
+WITH {ASSIGNED}, vt AS (SELECT image_id % 10 AS building_id, CASE WHEN image_id % 3 = 0 THEN 'living_room' ELSE 'bedroom' END AS t, COUNT(*) AS images, MAX(confidence) AS o FROM fx_observed WHERE image_id % 4 <> 0 GROUP BY ALL),
+pl AS (SELECT a.building_id, a.room_id, observed_type, images, o FROM asg a JOIN vt ON vt.building_id = a.building_id AND t = observed_type WHERE room_id IS NOT NULL),
+j AS (SELECT r.building_id, r.room_id, images, room_type, observed_type, COALESCE(style_confidence,0e0) AS c, COALESCE(o,0e0) AS o, room_type <> 'unknown' AS stated FROM fx_rooms r LEFT JOIN pl ON pl.building_id = r.building_id AND pl.room_id = r.room_id)
+SELECT building_id, room_id, COALESCE(images, 0) AS images, CASE WHEN stated THEN room_type ELSE COALESCE(observed_type, 'unknown') END AS room_type, RND(CASE WHEN stated AND room_type = observed_type THEN c+0.35e0*o*(1e0-c) WHEN stated THEN c ELSE o END,4) AS confidence, COALESCE(stated AND observed_type IS NOT NULL AND room_type <> observed_type, FALSE) AS conflict FROM j""")
 def image_groups(spark, sf_dir):
     scores, order, regions = scored(spark, sf_dir)
     images = fx(spark, sf_dir, "fx_observed").select((F.col("image_id") % 10).alias("building_id"), "image_id", F.when(F.col("image_id") % 3 == 0, "living_room").otherwise("bedroom").alias("room_type"), "confidence",
