@@ -190,7 +190,7 @@ def segment_rooms(walls: DataFrame, thickness: float = 0.15, resolution: float =
     keys = [BUILDING, "component"]
     grown = dilate(inner.select(*keys, "row", "c0", "c1"), closing, keys)
     listed = lambda runs, extra: runs.select(*extra, "row", F.explode(F.sequence("c0", "c1")).alias("col"))
-    floor = listed(grown, keys).join(listed(thick, k), [BUILDING, "row", "col"], "left_anti")
+    floor = listed(grown, keys).join(listed(thick, k).hint("merge"), [BUILDING, "row", "col"], "left_anti")
     rooms = floor.groupBy(*keys).agg(F.count("*").alias("cells"), F.min("col").alias("_c0"), F.max("col").alias("_c1"), F.min("row").alias("_r0"), F.max("row").alias("_r1"),
                                      F.avg("col").alias("_cx"), F.avg("row").alias("_cy"))
     scaled = lambda c, o: F.col(o) + F.col(c) * resolution
@@ -227,7 +227,7 @@ def reachable_floor(rooms: DataFrame, objects: DataFrame, openings: DataFrame, c
     dx, dy = centre("_x0", "col") - F.col("x"), centre("_y0", "row") - F.col("y")
     lx, ly = dx * F.cos(angle) + dy * F.sin(angle), -dx * F.sin(angle) + dy * F.cos(angle)
     blocked = covered.filter((F.round(F.abs(lx) - F.col("width") / 2, 9) < 0) & (F.round(F.abs(ly) - F.col("depth") / 2, 9) < 0)).select(*keys, "row", "col").distinct()
-    free = cut_lineage(floor.join(blocked, [*keys, "row", "col"], "left_anti"))
+    free = cut_lineage(floor.join(blocked.hint("merge"), [*keys, "row", "col"], "left_anti"))
 
     middle = frame.select(*keys, "_x0", "_y0", g.polygon_centroid(F.col("polygon")).alias("_mid"))
     doors = openings.filter(F.col("kind").isin("door", "archway")).select(*keys, "opening_id", "x", "y").join(middle, keys)
@@ -237,7 +237,7 @@ def reachable_floor(rooms: DataFrame, objects: DataFrame, openings: DataFrame, c
     probes = doors.withColumns({"_ux": mx / unit, "_uy": my / unit}).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(11)))).select(
         *keys, "opening_id", "step", F.floor((F.col("y") + F.col("_uy") * cell * F.col("step") - F.col("_y0")) / cell + 1e-9).alias("row"),
         F.floor((F.col("x") + F.col("_ux") * cell * F.col("step") - F.col("_x0")) / cell + 1e-9).alias("col"))
-    seeds = probes.join(free, [*keys, "row", "col"], "left_semi").groupBy(*keys, "opening_id").agg(F.min(F.struct("step", "row", "col")).alias("s")).select(
+    seeds = probes.join(free.hint("merge"), [*keys, "row", "col"], "left_semi").groupBy(*keys, "opening_id").agg(F.min(F.struct("step", "row", "col")).alias("s")).select(
         *keys, F.col("s.row").alias("row"), F.col("s.col").alias("_col")).distinct()
     parts = cut_lineage(label_runs(runs_of_cells(free, keys), keys))
     hit = parts.join(seeds, [*keys, "row"]).filter("_col BETWEEN c0 AND c1").select("component").distinct().withColumn("_hit", F.lit(True))
