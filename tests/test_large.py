@@ -50,10 +50,11 @@ def test_whole_files_are_read_without_a_shuffle(spark, monkeypatch):
     assert got[9][3:5] == ("POLYLINE", 8) and got[12] == ("TEXT", "ENTITIES", None, "SEQEND", 11, "abcdef")
 
 
-def test_grams_of_labels_are_not_sent_to_every_task(spark):
+def test_grams_of_labels_are_not_sent_to_every_task(spark, tmp_path):
     schema = "sheet_id long, uid long, match_key string, room_type string, confidence double, u double, v double, kind string, x double, y double"
     rows = [(s, 10 * s + k, name, "unknown", 0.9, 0.1, 0.2, "room_label", 1.0, 2.0) for s in range(3) for k, name in enumerate(("KITCHEN", "MASTER BEDROOM", "STORE"))]
-    labels = spark.createDataFrame(rows, schema)
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/labels")
+    labels = spark.read.parquet(f"{tmp_path}/labels")
     found = rg.candidates(labels, labels)
     by_gram = [line for line in plan(found).splitlines() if "Join" in line and "_g#" in line]
     assert by_gram and all("SortMergeJoin" in line for line in by_gram)
