@@ -107,15 +107,30 @@ def carry_children(moves: DataFrame, objects: DataFrame) -> DataFrame:
     """Objects carried along with a moved parent: turned about its new position and shifted with it.
 
     ``moves``: building_id, root_id, old_x, old_y, dx, dy, turn_deg; ``objects``: building_id, object_id, support_id, x, y, rotation_deg.
+
+    Each round doubles the height that is looked at: ``jumps`` lead 2^k supports up, and what was found so far is carried
+    on by them, so a stack of n objects takes log2(n) rounds. A child is kept at its least height above the root,
+    once for each of the ways (a double, as it only counts rows) to it of that height.
     """
-    pairs = cut_lineage(moves.select(BUILDING, "root_id", F.col("root_id").alias("object_id")))
-    frontier = pairs
-    links = objects.filter("support_id IS NOT NULL").select(BUILDING, "object_id", "support_id")
-    while not frontier.isEmpty():
-        above = links.join(frontier.withColumnRenamed("object_id", "support_id"), [BUILDING, "support_id"]).select(BUILDING, "root_id", "object_id")
-        frontier = cut_lineage(above.join(pairs, [BUILDING, "root_id", "object_id"], "left_anti"))
-        pairs = pairs.union(frontier)
-    moved = pairs.filter("root_id <> object_id").join(moves, [BUILDING, "root_id"]).join(objects.select(BUILDING, "object_id", "x", "y", "rotation_deg"), [BUILDING, "object_id"])
+    key = [BUILDING, "root_id", "object_id"]
+    found = cut_lineage(moves.select(BUILDING, "root_id", F.col("root_id").alias("object_id")).groupBy(*key).agg(F.lit(0).alias("height"), F.count("*").cast("double").alias("ways")))
+    links = objects.filter("support_id IS NOT NULL").groupBy(BUILDING, F.col("support_id").alias("lower"), F.col("object_id").alias("upper"))
+    jumps, reach = cut_lineage(links.agg(F.count("*").cast("double").alias("paths"))), 1
+    while not jumps.isEmpty():
+        above = found.join(jumps.withColumnRenamed("lower", "object_id"), [BUILDING, "object_id"]).groupBy(BUILDING, "root_id", F.col("upper").alias("object_id"), (F.col("height") + reach).alias("height")).agg(
+            F.sum(F.col("ways") * F.col("paths")).alias("ways"))
+        least = found.unionByName(above).groupBy(*key).agg(F.min(F.struct("height", "ways")).alias("b")).select(*key, "b.*")
+        before, found = found, cut_lineage(least)
+        grown = not found.filter(F.col("height") >= reach).isEmpty()
+        forget(before)
+        if not grown:
+            break
+        upper = jumps.select(BUILDING, F.col("lower").alias("upper"), F.col("upper").alias("_top"), F.col("paths").alias("_more"))
+        before, jumps = jumps, cut_lineage(jumps.join(upper, [BUILDING, "upper"]).groupBy(BUILDING, "lower", F.col("_top").alias("upper")).agg(F.sum(F.col("paths") * F.col("_more")).alias("paths")))
+        forget(before)
+        reach *= 2
+    pairs = found.filter("root_id <> object_id").select(*key, F.explode(F.array_repeat(F.lit(0), F.col("ways").cast("int")))).drop("col")
+    moved = pairs.join(moves, [BUILDING, "root_id"]).join(objects.select(BUILDING, "object_id", "x", "y", "rotation_deg"), [BUILDING, "object_id"])
     angle = F.radians("turn_deg")
     rx, ry = F.col("x") - F.col("old_x"), F.col("y") - F.col("old_y")
     return moved.select(

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from floorlake import fixtures
+from floorlake.operators import graph
 from floorlake.operators import registration as rg
 from floorlake.sources import drawings as dw
 
@@ -59,3 +60,20 @@ def test_grams_of_labels_are_not_sent_to_every_task(spark, tmp_path):
     by_gram = [line for line in plan(found).splitlines() if "Join" in line and "_g#" in line]
     assert by_gram and all("SortMergeJoin" in line for line in by_gram)
     assert sorted((r.image_label_id, r.cad_uid) for r in found.collect()) == [(r[1], r[1]) for r in rows]
+
+
+def test_stacks_are_carried_in_few_rounds(spark, monkeypatch):
+    """A stack of 40, a ring, and an object that rests twice on one thing and is listed twice."""
+    links = [(1, k, k - 1) for k in range(1, 40)] + [(2, 0, 2), (2, 1, 0), (2, 2, 1)] + [(3, 1, 0), (3, 1, 0), (3, 2, 1)]
+    objects = [(b, k, s, float(k), 0.0, 0.0) for b, k, s in [(1, 0, None), *links[:39], *links[39:], (3, 0, None)]]
+    moved = [(1, 0), (1, 30), (2, 1), (3, 0)]
+    rounds = []
+    cut = graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: rounds.append(0) or cut(df))
+    found = graph.carry_children(
+        spark.createDataFrame([(b, r, 0.0, 0.0, 1.0, 0.0, 0.0) for b, r in moved], "building_id long, root_id long, old_x double, old_y double, dx double, dy double, turn_deg double"),
+        spark.createDataFrame(objects, "building_id long, object_id long, support_id long, x double, y double, rotation_deg double"))
+    expected = [(1, r, k, k + 1.0) for r in (0, 30) for k in range(r + 1, 40)] + [(2, 1, k, k + 1.0) for k in (0, 2)]
+    expected += [(3, 0, 1, 2.0)] * 4 + [(3, 0, 2, 3.0)] * 2  # both ways to it, each for both rows of object 1
+    assert sorted((r.building_id, r.root_id, r.object_id, r.x) for r in found.collect()) == sorted(expected)
+    assert len(rounds) <= 20
