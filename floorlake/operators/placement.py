@@ -10,7 +10,7 @@ from ..dims import dim
 from ..functions import geometry as g
 from ..functions import projection as pj
 from .scale import rank_within
-from .spatial import footprint_pairs, polygon_bounds
+from .spatial import footprint_pairs, measured_pairs, polygon_bounds
 from .validation import surface_height
 
 KEYS = ["building_id", "room_id"]
@@ -169,7 +169,7 @@ def fit_tests(poses: DataFrame, rooms: DataFrame, obstacles: DataFrame, windows:
     inside = F.forall("_c", lambda c: g.in_polygon(c["x"], c["y"], F.col("polygon")))
     shape = [*KEYS, "x", "y", "width", "depth", "rotation_deg"]
     solid = obstacles.select("object_id", *shape)
-    touching = lambda left: footprint_pairs(left, solid, KEYS).filter(F.round(g.rect_overlap("a_", "b_"), 9) > 1e-9).select(F.col("a_pose_id").alias("pose_id")).distinct()
+    touching = lambda left: measured_pairs(footprint_pairs(left, solid, KEYS), "_depth", g.rect_overlap).filter(F.round("_depth", 9) > 1e-9).select(F.col("a_pose_id").alias("pose_id")).distinct()
     hit = touching(poses.select("pose_id", *shape)).withColumn("_hit", F.lit(True))
     gap = F.greatest(F.lit(0.6), F.col("depth") * 0.5)
     ahead = F.col("depth") / 2 + gap / 2

@@ -167,12 +167,12 @@ def footprint_pairs(left: DataFrame, right: DataFrame, keys: list[str], halo: fl
 
     A pair meets in every cell both touch but is emitted only in the cell holding the lower corner
     of the common area, so no duplicate has to be removed by a shuffle. ``once`` names an id of which
-    the left must be the smaller, for a table joined with itself.
+    the left must be the smaller, for a table joined with itself. Both sides carry their ``rect_turn``.
     """
 
     def side(df: DataFrame, prefix: str, grow: float) -> DataFrame:
         x0, y0, x1, y1 = g.rect_bounds("x", "y", "width", "depth", "rotation_deg")
-        boxed = df.withColumns({"_x0": x0 - grow, "_y0": y0 - grow, "_x1": x1 + grow, "_y1": y1 + grow})
+        boxed = df.withColumns({"_x0": x0 - grow, "_y0": y0 - grow, "_x1": x1 + grow, "_y1": y1 + grow, **g.rect_turn("rotation_deg")})
         celled = with_cells(boxed, F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_y1"), cell)
         keep = [*keys, "_cx", "_cy"]
         return celled.select(*keep, *[F.col(c).alias(prefix + c) for c in celled.columns if c not in keep])
@@ -185,3 +185,13 @@ def footprint_pairs(left: DataFrame, right: DataFrame, keys: list[str], halo: fl
     return pairs.filter(
         (lowx <= F.least("a__x1", "b__x1")) & (lowy <= F.least("a__y1", "b__y1"))
         & (F.col("_cx") == F.floor(lowx / cell)) & (F.col("_cy") == F.floor(lowy / cell)))
+
+
+def measured_pairs(pairs: DataFrame, name: str, measure) -> DataFrame:
+    """Adds ``measure`` ("a_", "b_" -> column, see ``rect_overlap``) to pairs of footprints, worked out once a pair.
+
+    A filter on a plain column would be moved into the join, and the whole formula with it: worked out again for every
+    condition, in a method too long for the JVM to compile. What an explode returns stays where it is.
+    """
+    related = pairs if "_turn_cos" in pairs.columns else pairs.withColumns(g.rect_relation("a_", "b_"))
+    return related.withColumn(name, F.explode(F.array(measure("a_", "b_"))))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from .scale import top_within
-from .spatial import BUILDING, footprint_pairs, polygon_bounds
+from .spatial import BUILDING, footprint_pairs, measured_pairs, polygon_bounds
 
 OVERLAP_TOLERANCE = 0.02
 FLOAT_TOLERANCE = 0.02
@@ -113,6 +113,11 @@ def _more(value: Column, limit: float) -> Column:
     return value > limit + 5e-10
 
 
+def _more_rounded(value: Column, limit: float) -> Column:
+    """``_more`` of the value rounded to nine places, for a limit of as many; rounding is only asked where it decides."""
+    return (value > limit + 4e-10) & ((value > limit + 6e-10) | _more(F.round(value, 9), limit))
+
+
 def collisions(objects: DataFrame) -> DataFrame:
     """Pairs of footprints that penetrate each other by more than the tolerance."""
     usable = objects.filter(F.col("support").isin("floor", "on_object") & ~degenerate()).select(
@@ -120,8 +125,8 @@ def collisions(objects: DataFrame) -> DataFrame:
     pairs = footprint_pairs(usable, usable, KEYS, once="object_id")
     stacked = F.coalesce(F.col("a_support_id") == F.col("b_object_id"), F.lit(False)) | F.coalesce(F.col("b_support_id") == F.col("a_object_id"), F.lit(False))
     level = _more(F.least(F.col("a_z") + F.col("a_height"), F.col("b_z") + F.col("b_height")) - F.greatest("a_z", "b_z"), 0.02)
-    hit = pairs.filter(~stacked & level).withColumn("penetration", F.round(g.rect_overlap("a_", "b_"), 9))
-    return hit.filter(_more(F.col("penetration"), OVERLAP_TOLERANCE)).select(*KEYS, "a_object_id", "b_object_id", "penetration")
+    hit = measured_pairs(pairs.filter(~stacked & level), "_depth", g.rect_overlap)
+    return hit.filter(_more_rounded(F.col("_depth"), OVERLAP_TOLERANCE)).select(*KEYS, "a_object_id", "b_object_id", F.round("_depth", 9).alias("penetration"))
 
 
 HAND_FLAGS = ["position_set_by_user", "rotation_z_set_by_user", "dimensions_set_by_user"]
@@ -134,8 +139,8 @@ def user_conflicts(objects: DataFrame, limit: int | None = None) -> DataFrame:
     pairs = footprint_pairs(objects.filter(by_hand).select(*columns), objects.filter(~degenerate()).select(*columns), KEYS)
     stacked = F.coalesce(F.col("a_support_id") == F.col("b_object_id"), F.lit(False)) | F.coalesce(F.col("b_support_id") == F.col("a_object_id"), F.lit(False))
     apart = (F.col("a_z") + F.col("a_height") <= F.col("b_z")) | (F.col("b_z") + F.col("b_height") <= F.col("a_z"))
-    hit = pairs.filter((F.col("a_object_id") != F.col("b_object_id")) & ~stacked & ~apart).withColumn("penetration", F.round(g.rect_overlap("a_", "b_"), 9))
-    unordered = hit.filter(_more(F.col("penetration"), OVERLAP_TOLERANCE)).groupBy(
+    hit = measured_pairs(pairs.filter((F.col("a_object_id") != F.col("b_object_id")) & ~stacked & ~apart), "_depth", g.rect_overlap)
+    unordered = hit.filter(_more_rounded(F.col("_depth"), OVERLAP_TOLERANCE)).withColumn("penetration", F.round("_depth", 9)).groupBy(
         *KEYS, F.least("a_object_id", "b_object_id").alias("first_id"), F.greatest("a_object_id", "b_object_id").alias("second_id")).agg(
         F.max("penetration").alias("penetration"))
     return unordered if limit is None else top_within(unordered, [BUILDING], [F.asc("first_id"), F.asc("second_id")], limit)
@@ -153,8 +158,8 @@ def narrow_gaps(objects: DataFrame, width: float = MIN_CIRCULATION) -> DataFrame
     solid = obstacles(objects).filter(F.col("width") * F.col("depth") >= OBSTACLE_FOOTPRINT).select(
         *KEYS, "object_id", "x", "y", "width", "depth", "rotation_deg")
     pairs = footprint_pairs(solid, solid, KEYS, halo=width, once="object_id")
-    apart = pairs.filter(~_more(g.rect_overlap("a_", "b_"), 0.0)).withColumn("gap", F.round(g.rect_gap("a_", "b_"), 9))
-    return apart.filter(_more(F.col("gap"), 1e-6) & (F.col("gap") < width - 5e-10)).select(*KEYS, "a_object_id", "b_object_id", "gap")
+    apart = measured_pairs(measured_pairs(pairs, "_depth", g.rect_overlap).filter(~_more(F.col("_depth"), 0.0)), "_gap", g.rect_gap)
+    return apart.filter((F.col("_gap") < width) & _more_rounded(F.col("_gap"), 1e-6)).withColumn("gap", F.round("_gap", 9)).filter(F.col("gap") < width - 5e-10).select(*KEYS, "a_object_id", "b_object_id", "gap")
 
 
 def blocked_doors(objects: DataFrame, openings: DataFrame, rooms: DataFrame) -> DataFrame:
@@ -166,8 +171,8 @@ def blocked_doors(objects: DataFrame, openings: DataFrame, rooms: DataFrame) ->
         *KEYS, "opening_id", (F.col("x") + F.cos("_h") * (DOOR_CLEARANCE / 2)).alias("x"), (F.col("y") + F.sin("_h") * (DOOR_CLEARANCE / 2)).alias("y"),
         F.greatest("width", F.lit(0.6)).alias("width"), F.lit(DOOR_CLEARANCE).alias("depth"), (F.degrees("_h") - 90).alias("rotation_deg"))
     solid = obstacles(objects).select(*KEYS, "object_id", "x", "y", "width", "depth", "rotation_deg")
-    pairs = footprint_pairs(zones, solid, KEYS).withColumn("penetration", F.round(g.rect_overlap("a_", "b_"), 9))
-    return pairs.filter(_more(F.col("penetration"), OVERLAP_TOLERANCE)).select(*KEYS, F.col("a_opening_id").alias("opening_id"), F.col("b_object_id").alias("object_id"), "penetration")
+    pairs = measured_pairs(footprint_pairs(zones, solid, KEYS), "_depth", g.rect_overlap).withColumn("penetration", F.round("_depth", 9))
+    return pairs.filter(_more_rounded(F.col("_depth"), OVERLAP_TOLERANCE)).select(*KEYS, F.col("a_opening_id").alias("opening_id"), F.col("b_object_id").alias("object_id"), "penetration")
 
 
 def core_issues(objects: DataFrame, lights: DataFrame, rooms: DataFrame, catalog: DataFrame) -> DataFrame:
