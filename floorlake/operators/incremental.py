@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.digest import canonical, digest, multiset_digest, row_digest
+from ..session import cut_lineage
 
 UNATTRIBUTED = "__scene__"
 
@@ -48,7 +49,11 @@ def scene_digests(rooms: DataFrame, room_columns: list[str], collections: dict[s
 
 
 def with_neighbours(room_hashes: DataFrame, adjacency: DataFrame, building: str = "building_id") -> DataFrame:
-    """Folds in the hashes one hop away. ``adjacency``: building, room_id, neighbour_id."""
+    """Folds in the hashes one hop away. ``adjacency``: building, room_id, neighbour_id.
+
+    The hashes are written first: they are read as the room's own and as its neighbours'.
+    """
+    room_hashes = cut_lineage(room_hashes)
     near = room_hashes.select(building, F.col("room_id").alias("neighbour_id"), F.col("room_hash").alias("_near"))
     folded = adjacency.join(near, [building, "neighbour_id"]).groupBy(building, "room_id").agg(multiset_digest(F.col("_near")).alias("_around"))
     return room_hashes.join(folded, [building, "room_id"], "left").select(

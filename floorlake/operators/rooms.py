@@ -40,11 +40,9 @@ def _known(room_type: Column) -> Column:
 
 def evidence_category(category: Column) -> Column:
     """Detected category to the one whose evidence it carries."""
-    key = F.regexp_replace(F.lower(F.trim(category)), "[ -]", "_")
-    out = key
-    for raw, name in VISION_ALIASES:
-        out = F.when(key == raw, name).otherwise(out)
-    return out
+    key = F.translate(F.lower(F.trim(category)), " -", "__")
+    names = F.create_map(*[F.lit(v) for alias in dict(VISION_ALIASES).items() for v in alias])
+    return F.coalesce(F.try_element_at(names, key), key)
 
 
 def attribute_evidence(attributes: DataFrame) -> DataFrame:
@@ -192,7 +190,10 @@ def fuse(evidence: DataFrame) -> DataFrame:
 
 
 def explain(evidence: DataFrame, results: DataFrame, limit: int | None = None) -> DataFrame:
-    """The distinct reasons, with ``limit`` the strongest, for or against each room's label."""
+    """The distinct reasons, with ``limit`` the strongest, for or against each room's label.
+
+    ``results`` come of the same evidence, which is read twice: hand it over written (``cut_lineage``).
+    """
     mine = evidence.join(results.select(*KEYS, "label"), [*KEYS, "label"]).withColumn("contribution", F.col("score") * F.col("weight")).filter(F.abs("contribution") >= 0.05)
     text = F.concat(F.when(F.col("contribution") > 0, "").otherwise("against: "), "reason")
     distinct = mine.groupBy(*KEYS, text.alias("reason")).agg(F.max(F.abs("contribution")).alias("strength"))
@@ -201,6 +202,7 @@ def explain(evidence: DataFrame, results: DataFrame, limit: int | None = None) -
 
 def classify(evidence: DataFrame, rooms: DataFrame, adjacency: DataFrame) -> DataFrame:
     """Two passes: evidence alone, then with the neighbours' types and the depth in the plan."""
+    evidence = cut_lineage(evidence)  # read by both
     first = fuse(evidence)
     return fuse(evidence.unionByName(topology_evidence(rooms, adjacency, first)))
 
@@ -227,8 +229,10 @@ def area_conflicts(rooms: DataFrame, ratio: float = 1.5) -> DataFrame:
 def infer_depths(rooms: DataFrame, adjacency: DataFrame, min_rooms: int = 4, max_hops: int = 500) -> DataFrame:
     """Hops from the most entrance-like room over the deepest room of the building; -1 where unreachable.
 
-    All buildings advance together, one join a hop, and only the rooms reached last are joined.
+    All buildings advance together, one join a hop, and only the rooms reached last are joined. Rooms and their
+    neighbours are written first, or every hop would find them anew.
     """
+    rooms, adjacency = cut_lineage(rooms.select(*KEYS, "doors")), cut_lineage(adjacency)
     degree = adjacency.groupBy(*KEYS).agg(F.count("*").alias("_degree"))
     ranked = rooms.join(degree, KEYS, "left").na.fill(0, ["_degree"])
     starts = ranked.groupBy("building_id").agg(

@@ -9,6 +9,7 @@ from ..fixtures import FX, fx
 from ..operators import appearance as ap
 from ..operators import rooms as rm
 from ..operators import spatial as sp
+from ..session import cut_lineage
 from .evaluation import rounded
 from .registry import query
 from .spatial import OUTLINE, INSIDE, regions
@@ -129,7 +130,7 @@ def evidence_fusion(spark, sf_dir):
 WITH {EVIDENCE}, {fuse_sql('ev', 'f1_')}, x AS (SELECT e.building_id, e.room_id, signal, ABS(score*weight) AS s FROM ev e JOIN f1_res r ON r.building_id = e.building_id AND r.room_id = e.room_id AND r.label = e.label WHERE ABS(score*weight) >= 0.05e0)
 SELECT building_id, room_id, RND(MAX(s),6) AS strongest FROM x GROUP BY ALL""")
 def evidence_reasons(spark, sf_dir):
-    rows = evidence(spark, sf_dir)
+    rows = cut_lineage(evidence(spark, sf_dir))
     return rounded(rm.explain(rows, rm.fuse(rows)).groupBy("building_id", "room_id").agg(F.max("strength").alias("strongest")), 6, "strongest")
 
 
