@@ -63,14 +63,15 @@ def ground_positions(df: DataFrame, cam: dict, x0: str = "bx0", x1: str = "bx1",
     """Adds implied_x, implied_y and range_m: the floor point under a detection box.
 
     The ray through the lower edge is left unnormalised: its component along the viewing direction
-    is then 1, so the distance factor is the depth itself.
+    is then 1, so the distance factor is the depth itself. It comes out of an explode, so that filters on it
+    stay behind it and do not repeat the formula in the join before.
     """
     px = ((F.col(x0) + F.col(x1)) - 1) * cam["tan_h"]
     py = (1 - F.col(y1) * 2) * cam["tan_v"]
     rays = df.withColumns({"_px": px, "_py": py})
     rays = rays.withColumns({f"_ray{i}": cam["forward"][i] + cam["right"][i] * F.col("_px") + cam["up"][i] * F.col("_py") for i in range(3)})
     level = F.abs("_ray2") < 1e-6 * F.sqrt(F.col("_ray0") ** 2 + F.col("_ray1") ** 2 + F.col("_ray2") ** 2)
-    rays = rays.withColumn("range_m", -cam["position"][2] / F.when(~level, F.col("_ray2")))
+    rays = rays.withColumn("range_m", F.explode(F.array(-cam["position"][2] / F.when(~level, F.col("_ray2")))))
     ahead = F.col("range_m") > 0
     return rays.withColumns({"implied_x": F.when(ahead, cam["position"][0] + F.col("_ray0") * F.col("range_m")),
                              "implied_y": F.when(ahead, cam["position"][1] + F.col("_ray1") * F.col("range_m"))}).drop("_px", "_py", "_ray0", "_ray1", "_ray2")

@@ -209,9 +209,11 @@ def displacements(detections: DataFrame, viewpoints: DataFrame, reach: float = 1
 
     ``detections``: viewpoint_id, object_id, bx0, bx1, by1, actual_x, actual_y.
     """
-    joined = detections.join(viewpoints.select("viewpoint_id", "x", "y", "z", "yaw", "pitch_deg", "vfov_deg", "aspect"), "viewpoint_id")
-    posed, cam = pj.with_camera(joined)
-    ranged = pj.ground_positions(posed, cam).filter((F.col("range_m") > 1e-6) & (F.round("range_m", 9) <= reach))
+    posed, cam = pj.with_camera(viewpoints.select("viewpoint_id", "x", "y", "z", "yaw", "pitch_deg", "vfov_deg", "aspect"))
+    posed = posed.drop("yaw", "pitch_deg", "vfov_deg", "aspect")  # once a viewpoint, not a detection
+    ranged = pj.ground_positions(detections.join(posed, "viewpoint_id"), cam)
+    within = (F.col("range_m") <= reach + 4e-10) | ((F.col("range_m") <= reach + 6e-10) & (F.round("range_m", 9) <= reach))  # rounding is only asked where it decides
+    ranged = ranged.filter((F.col("range_m") > 1e-6) & within)
     return ranged.select("viewpoint_id", "object_id", "implied_x", "implied_y", "range_m", (F.col("implied_x") - F.col("actual_x")).alias("off_x"), (F.col("implied_y") - F.col("actual_y")).alias("off_y"))
 
 

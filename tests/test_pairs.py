@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from floorlake.functions import geometry as g
-from floorlake.operators import spatial, validation
+from floorlake.operators import pixels, spatial, validation
 
 SCHEMA = "building_id long, room_id long, object_id long, x double, y double, z double, width double, depth double, height double, rotation_deg double, support string, support_id long, category string, by_hand boolean"
 
@@ -76,3 +76,16 @@ def test_a_pair_is_measured_once(spark, tmp_path):
     _, placed = objects(spark, tmp_path)
     pairs = spatial.footprint_pairs(placed, placed, ["building_id", "room_id"], once="object_id")
     assert spatial.measured_pairs(pairs, "d", g.rect_overlap).count() == pairs.count()
+
+
+def test_detections_are_placed_in_a_short_method(spark, tmp_path, planned_at_once):
+    views = [(v, 0.0, 0.0, 1.6, 0.0, -10.0, 60.0, 1.5) for v in range(3)]
+    spark.createDataFrame(views, "viewpoint_id long, x double, y double, z double, yaw double, pitch_deg double, vfov_deg double, aspect double").write.parquet(f"{tmp_path}/v")
+    seen = [(v, k, 0.4, 0.6, 0.5 + 0.1 * k, 0.0, 1.0) for v in range(3) for k in range(5)]
+    spark.createDataFrame(seen, "viewpoint_id long, object_id long, bx0 double, bx1 double, by1 double, actual_x double, actual_y double").write.parquet(f"{tmp_path}/d")
+    found = pixels.displacements(spark.read.parquet(f"{tmp_path}/d"), spark.read.parquet(f"{tmp_path}/v"))
+    # Below the optical axis, which falls 10 degrees, by the angle of its place in the picture.
+    ways = {k: 1.6 / math.tan(math.radians(10) + math.atan(2 * 0.1 * k * math.tan(math.radians(30)))) for k in range(5)}
+    assert sorted((r.viewpoint_id, r.object_id) for r in found.collect()) == [(v, k) for v in range(3) for k in range(5)]
+    assert {r.object_id: r.implied_y for r in found.collect()} == pytest.approx(ways)
+    assert longest_method(spark, found) < 8000
