@@ -77,3 +77,19 @@ def test_stacks_are_carried_in_few_rounds(spark, monkeypatch):
     expected += [(3, 0, 1, 2.0)] * 4 + [(3, 0, 2, 3.0)] * 2  # both ways to it, each for both rows of object 1
     assert sorted((r.building_id, r.root_id, r.object_id, r.x) for r in found.collect()) == sorted(expected)
     assert len(rounds) <= 20
+
+
+def test_many_drawings_share_a_file_and_come_apart_again(spark, tmp_path):
+    texts = {k: "\n".join(f"{k}-{i}" if i % 7 else "" for i in range(300 * k + 1)) for k in range(40)}
+    files = spark.createDataFrame(list(texts.items()), "drawing_id long, text string").repartition(2)
+    dw.write_bundles(files, f"{tmp_path}/d")
+    assert len(list(tmp_path.glob("d/part-*"))) == 2
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")  # drawings lie across splits
+    try:
+        found = dw.read_bundles(spark, f"{tmp_path}/d").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    lines = {}
+    for r in found:
+        lines.setdefault(int(r.drawing_id), {})[r.line_no] = r.line
+    assert {k: "\n".join(v[i] for i in range(len(v))) for k, v in lines.items()} == texts
