@@ -131,8 +131,9 @@ def apply_relations(relations: DataFrame, objects: DataFrame, rooms: DataFrame)
     gap = F.col("t_width") / 2 + F.col("s_width") / 2 + BESIDE_GAP
     spot = lambda sign: (F.col("t_x") + sign * cos * gap, F.col("t_y") + sign * sin * gap)
     (ax, ay), (bx, by) = spot(1.0), spot(-1.0)
+    beside = lambda c: F.when(F.col("predicate") == "beside", c)  # noqa: E731  (what goes through the outline of a room is only worked out where it is asked for)
     staged = joined.withColumns({"_top": top, "_ax": ax, "_ay": ay, "_bx": bx, "_by": by}).withColumns({
-        "_ina": g.in_polygon("_ax", "_ay", F.col("polygon")), "_inb": g.in_polygon("_bx", "_by", F.col("polygon"))})
+        "_ina": beside(g.in_polygon("_ax", "_ay", F.col("polygon"))), "_inb": beside(g.in_polygon("_bx", "_by", F.col("polygon")))})
     near_a = F.round(F.hypot(F.col("_ax") - F.col("s_x"), F.col("_ay") - F.col("s_y")) - F.hypot(F.col("_bx") - F.col("s_x"), F.col("_by") - F.col("s_y")), 9) <= 0
     first = F.when(F.col("_ina") == F.col("_inb"), near_a).otherwise(F.col("_ina"))
     letters = F.split(F.col("s_object_id").cast("string"), "")
@@ -144,7 +145,7 @@ def apply_relations(relations: DataFrame, objects: DataFrame, rooms: DataFrame)
     high = F.col("_top") + 0.9
     above = F.greatest(F.lit(0.0), F.when(F.round(high - F.col("ceiling_height"), 9) >= 0, F.col("ceiling_height") - F.col("s_height") - 0.05).otherwise(high))
     margin = F.greatest("s_width", "s_depth") / 2
-    staged = staged.withColumn("_beside", g.clamp_inside(F.when(first, F.col("_ax")).otherwise(F.col("_bx")), F.when(first, F.col("_ay")).otherwise(F.col("_by")), F.col("polygon"), margin))
+    staged = staged.withColumn("_beside", beside(g.clamp_inside(F.when(first, F.col("_ax")).otherwise(F.col("_bx")), F.when(first, F.col("_ay")).otherwise(F.col("_by")), F.col("polygon"), margin)))
     pick = lambda under, beside, on, over, keep: F.when(p == "centered_under", under).when(p == "beside", beside).when(p == "on_top_of", on).when(p == "above", over).otherwise(keep)
     heading = g.heading_toward("s_x", "s_y", F.col("t_x"), F.col("t_y"))
     turned = F.when((p == "faces") & (F.coalesce("orientation", F.lit("free")) != "free") & (F.hypot(F.col("s_x") - F.col("t_x"), F.col("s_y") - F.col("t_y")) >= 0.001), heading)

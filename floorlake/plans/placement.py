@@ -73,10 +73,11 @@ SELECT subject_id, predicate, RND(x + CASE WHEN predicate = 'on_top_of' THEN ox*
  RND(CASE predicate WHEN 'centered_under' THEN 0e0 WHEN 'on_top_of' THEN top ELSE GREATEST(0e0, CASE WHEN ROUND(top+0.9e0-2.7e0,12) >= 0 THEN 2.7e0-sh-0.05e0 ELSE top+0.9e0 END) END,5) AS z FROM o""")
 def relation_positions(spark, sf_dir):
     objects = fx(spark, sf_dir, "fx_placed")
-    n = spark.read.parquet(f"{sf_dir}/supplier.parquet").agg(F.count("*").alias("n"))
+    # The count as a number, not a relation: as one it takes part in join reordering, and rows may meet on no key.
+    n = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
     k = F.col("object_id")
-    links = objects.crossJoin(F.broadcast(n)).select(
-        k.alias("subject_id"), F.when(k % 3 == 0, "centered_under").when(k % 3 == 1, "above").otherwise("on_top_of").alias("predicate"), (k + F.col("n")).alias("target_id"))
+    links = objects.select(
+        k.alias("subject_id"), F.when(k % 3 == 0, "centered_under").when(k % 3 == 1, "above").otherwise("on_top_of").alias("predicate"), (k + F.lit(n)).alias("target_id"))
     return rounded(pc.apply_relations(links, objects, regions(spark, sf_dir)).select("subject_id", "predicate", "x", "y", "z"), 5, "x", "y", "z")
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from floorlake.functions import geometry as g
-from floorlake.operators import pixels, spatial, validation
+from floorlake.operators import pixels, placement, spatial, validation
 
 SCHEMA = "building_id long, room_id long, object_id long, x double, y double, z double, width double, depth double, height double, rotation_deg double, support string, support_id long, category string, by_hand boolean"
 
@@ -89,3 +89,14 @@ def test_detections_are_placed_in_a_short_method(spark, tmp_path, planned_at_onc
     assert sorted((r.viewpoint_id, r.object_id) for r in found.collect()) == [(v, k) for v in range(3) for k in range(5)]
     assert {r.object_id: r.implied_y for r in found.collect()} == pytest.approx(ways)
     assert longest_method(spark, found) < 8000
+
+
+def test_outlines_are_only_read_for_objects_beside_others(spark, monkeypatch):
+    monkeypatch.setattr(placement.g, "in_polygon", lambda *a: F.raise_error(F.lit("outline read")).cast("boolean"))
+    monkeypatch.setattr(placement.g, "clamp_inside", lambda *a: F.raise_error(F.lit("outline read")).cast("struct<x:double,y:double>"))
+    things = spark.createDataFrame([(1, 1, k, "sofa", float(k), 1.0, 0.0, 1.0, 1.0, 1.0, 0.0) for k in range(3)], "building_id long, room_id long, object_id long, category string, x double, y double, z double, width double, depth double, height double, rotation_deg double")
+    room = spark.createDataFrame([(1, 1, 2.7)], "building_id long, room_id long, ceiling_height double").withColumn("polygon", g.box_polygon(F.lit(0.0), F.lit(0.0), F.lit(6.0), F.lit(6.0)))
+    links = lambda p: spark.createDataFrame([(0, p, 1), (1, p, 2)], "subject_id long, predicate string, target_id long")
+    assert sorted(r.x for r in placement.apply_relations(links("above"), things, room).collect()) == [1.0, 2.0]
+    with pytest.raises(Exception, match="outline read"):
+        placement.apply_relations(links("beside"), things, room).collect()
