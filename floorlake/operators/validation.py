@@ -201,7 +201,8 @@ def corrected_columns(placed: DataFrame) -> DataFrame:
     standing = ~F.col("support").isin("wall", "ceiling", "on_object")
     inside = g.in_polygon("x", "y", F.col("polygon"))
     target = g.clamp_inside("x", "y", F.col("polygon"), F.greatest("width", "depth") / 2)
-    moved = clipped.withColumn("_p", F.when(standing & ~inside, target).otherwise(g.point("x", "y")))
+    # What an explode returns stays where it is: a filter on the moved point does not work the outline out again.
+    moved = clipped.withColumn("_p", F.explode(F.array(F.when(standing & ~inside, target).otherwise(g.point("x", "y")))))
     dropped = moved.withColumn("new_z", F.when((F.col("support") == "floor") & _more(F.abs("z"), FLOAT_TOLERANCE), 0.0)
                                .when(F.col("support").isin("wall", "ceiling") & (F.col("z") < 0), 0.0).otherwise(F.col("z")))
     excess = F.col("new_z") + F.col("_h") - F.col("ceiling_height")

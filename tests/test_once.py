@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from floorlake.functions import geometry as g
 from floorlake.functions import text as tx
 from floorlake.functions.binding import let
 
@@ -45,3 +46,10 @@ def test_terms_are_trimmed_once_and_found_by_rank(spark):
             return default if text == "" else (exact + [r[4] for r in inside] + [default])[0]
 
         assert [(r.raw, r.name) for r in found.collect()] == [(r, expected(r)) for r in raws]
+
+
+def test_nearest_point_of_an_outline_is_found_once(spark):
+    df = spark.createDataFrame([(5.0, 1.0, 0.5), (2.0, 1.0, 0.5), (0.1, 1.0, 0.5)], "x double, y double, m double").withColumn("p", g.box_polygon(F.lit(0.0), F.lit(0.0), F.lit(4.0), F.lit(2.0)))
+    found = df.select(g.clamp_inside("x", "y", F.col("p"), F.col("m")).alias("to"))
+    assert analysed(found).lower().count("hypot(") == 2
+    assert [(r.to.x, r.to.y) for r in found.collect()] == [(3.5, 1.0), (2.0, 1.0), (0.5, 1.0)]
