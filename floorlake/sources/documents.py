@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..dims import dim
 from ..functions import coerce
 from ..functions import text as tx
+from ..functions.binding import let
 from ..functions.images import decode
 from ..operators.scale import top_within
 
@@ -103,24 +104,26 @@ def close_brackets(text: str | None) -> str | None:
 def extract_answers(answers: DataFrame, text: str = "raw") -> DataFrame:
     """Adds ``payload`` (valid JSON object text or null) and ``how`` it was found.
 
-    Whole text, text without code fences, outermost braces - all as SQL expressions; only rows that
-    are still broken go through the Arrow repair function.
+    Whole text, text without code fences, outermost braces - all as SQL expressions, each tried only where those before
+    it fail; the Arrow repair function gets the text of rows that are still broken. Answers are gone through once.
     """
-    good = lambda c: F.when(F.try_parse_json(c).isNotNull() & F.startswith(c, F.lit("{")), c)
+    good = lambda c: F.startswith(c, F.lit("{")) & F.try_parse_json(c).isNotNull()
     strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    tried = lambda c, how: let(c, lambda b: F.when(good(b), F.struct(b.alias("payload"), F.lit(how).alias("how"))))
     trimmed = strip(F.coalesce(text, F.lit("")))
-    plain = strip(F.regexp_replace(trimmed, FENCE, ""))
-    outer = F.regexp_extract(trimmed, r"(?s)(\{.*\})", 1)
-    staged = answers.withColumns({"_1": good(trimmed), "_2": good(plain), "_3": good(outer)})
+    found = let(trimmed, lambda t: F.coalesce(
+        tried(t, "whole"), tried(strip(F.regexp_replace(t, FENCE, "")), "fenced"), tried(F.regexp_extract(t, r"(?s)(\{.*\})", 1), "outermost")))
 
     @F.pandas_udf("string")
     def repair(values: pd.Series) -> pd.Series:
         return values.map(close_brackets)
 
-    staged = staged.withColumn("_ok", F.coalesce("_1", "_2", "_3"))
-    whole = staged.filter("_ok IS NOT NULL").withColumns({"payload": F.col("_ok"), "how": F.when(F.col("_1").isNotNull(), "whole").when(F.col("_2").isNotNull(), "fenced").otherwise("outermost")})
-    broken = staged.filter("_ok IS NULL").withColumn("payload", good(repair(trimmed))).withColumn("how", F.when(F.col("payload").isNotNull(), "repaired").otherwise("malformed"))
-    return whole.unionByName(broken).drop("_1", "_2", "_3", "_ok")
+    # Not deterministic to Spark, so that a filter on the payload does not repair a text twice.
+    repair = repair.asNondeterministic()
+    staged = answers.withColumn("_found", F.explode(F.array(found))).withColumn("_closed", repair(F.when(F.col("_found").isNull(), trimmed).otherwise("")))
+    repaired = let(F.col("_closed"), lambda c: F.when(good(c), F.struct(c.alias("payload"), F.lit("repaired").alias("how"))))
+    staged = staged.withColumn("_found", F.coalesce("_found", repaired))
+    return staged.withColumns({"payload": F.col("_found.payload"), "how": F.coalesce("_found.how", F.lit("malformed"))}).drop("_found", "_closed")
 
 
 def observed_lists(answers: DataFrame, name: str) -> DataFrame:
@@ -144,9 +147,10 @@ def _confidence(default: float = 0.0) -> Column:
 
 def flatten_objects(answers: DataFrame) -> DataFrame:
     """Object rows with ``reason``: empty when kept, else why the entry is rejected."""
-    rows = observed_lists(answers, "objects").withColumns({
-        "category": F.coalesce(tx.normalise_term(F.coalesce(F.nullif(_field("category"), F.lit("")), _field("label")), "category"), tx.normalise_term(_field("label"), "category")),
-        "confidence": _confidence(), "box": _box(), "label": F.coalesce(_field("label"), F.lit(""))})
+    category = F.coalesce(tx.normalise_term(F.coalesce(F.nullif(_field("category"), F.lit("")), _field("label")), "category"), tx.normalise_term(_field("label"), "category"))
+    # What an explode returns stays where it is: no filter on the reason looks the names up again.
+    rows = observed_lists(answers, "objects").select("image_id", "position", "item", F.inline(F.array(F.struct(
+        category.alias("category"), _confidence().alias("confidence"), _box().alias("box"), F.coalesce(_field("label"), F.lit("")).alias("label")))))
     area = F.greatest(F.lit(0.0), F.col("box.x1") - F.col("box.x0")) * F.greatest(F.lit(0.0), F.col("box.y1") - F.col("box.y0"))
     reason = (F.when(F.col("item").isNull(), "object_not_object").when(F.col("category").isNull(), "unrecognised_category")
               .when(F.col("confidence") < coerce.UNCERTAIN, "below_confidence_floor").when(F.coalesce(area, F.lit(0.0)) <= 1e-6, "missing_or_empty_bbox").otherwise(""))

@@ -1,10 +1,13 @@
 """Formulas and tables that a query names several times are worked out once."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from floorlake.functions import geometry as g
 from floorlake.functions import text as tx
 from floorlake.functions.binding import let
+from floorlake.sources import documents
 
 
 def analysed(df):
@@ -53,3 +56,18 @@ def test_nearest_point_of_an_outline_is_found_once(spark):
     found = df.select(g.clamp_inside("x", "y", F.col("p"), F.col("m")).alias("to"))
     assert analysed(found).lower().count("hypot(") == 2
     assert [(r.to.x, r.to.y) for r in found.collect()] == [(3.5, 1.0), (2.0, 1.0), (0.5, 1.0)]
+
+
+def test_answers_are_gone_through_once(spark):
+    whole, broken = json.dumps({"objects": [{"category": "bed"}]}), '{"objects": [{"category": "bed"}, {"category": "so'
+    raws = [whole, f"```json\n{whole}\n```", f"So: {whole} done", broken, "none", "", None, "[1]"]
+    df = spark.createDataFrame(list(enumerate(raws)), "image_id int, raw string")
+    found = documents.extract_answers(df)
+    assert "Union" not in analysed(found)
+    assert found.columns == ["image_id", "raw", "payload", "how"]
+    got = {r.image_id: (r.payload, r.how) for r in found.collect()}
+    assert [got[i][1] for i in range(8)] == ["whole", "fenced", "outermost", "repaired", "malformed", "malformed", "malformed", "malformed"]
+    assert [got[i][0] for i in range(8)] == [whole, whole, whole, '{"objects": [{"category": "bed"}]}', None, None, None, None]
+    kept = documents.flatten_objects(found).filter("reason <> ''")
+    below = plan(kept).split("Generate inline", 1)
+    assert len(below) == 2 and "contains(" not in below[0].split("Generate")[0]
