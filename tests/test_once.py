@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from floorlake import plans
 from floorlake.functions import geometry as g
 from floorlake.functions import text as tx
 from floorlake.functions.binding import let
@@ -71,3 +72,9 @@ def test_answers_are_gone_through_once(spark):
     kept = documents.flatten_objects(found).filter("reason <> ''")
     below = plan(kept).split("Generate inline", 1)
     assert len(below) == 2 and "contains(" not in below[0].split("Generate")[0]
+
+
+def test_answers_are_written_once_for_all_their_lists(spark, tmp_path):
+    found = plans.QUERIES["answer_rejections"](spark, tables(spark, tmp_path))
+    assert "events.parquet" not in plan(found)
+    assert not found.isEmpty()
