@@ -52,6 +52,13 @@ def test_terms_are_trimmed_once_and_found_by_rank(spark):
         assert [(r.raw, r.name) for r in found.collect()] == [(r, expected(r)) for r in raws]
 
 
+def test_grams_and_words_of_labels_are_taken_once(spark):
+    df = spark.createDataFrame([("MASTER BEDROOM", "MASTER BED ROOM"), ("A B", "B A"), ("", "X"), (None, "X"), ("KITCHEN", "KITCHEN"), ("STORE", "HALL")], "a string, b string")
+    found = df.select(tx.text_similarity(F.col("a"), F.col("b")).alias("s"), tx.word_jaccard(F.col("a"), F.col("b")).alias("j"))
+    assert analysed(found).count("array_intersect(") == 2 and analysed(found).count("sequence(") == 2
+    assert [(r.s, r.j) for r in found.collect()] == [(1.0, 0.25), (0.75, 0.5), (0.0, 0.5), (0.0, 0.5), (1.0, 1.0), (0.0, 0.0)]
+
+
 def test_nearest_point_of_an_outline_is_found_once(spark):
     df = spark.createDataFrame([(5.0, 1.0, 0.5), (2.0, 1.0, 0.5), (0.1, 1.0, 0.5)], "x double, y double, m double").withColumn("p", g.box_polygon(F.lit(0.0), F.lit(0.0), F.lit(4.0), F.lit(2.0)))
     found = df.select(g.clamp_inside("x", "y", F.col("p"), F.col("m")).alias("to"))
