@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..fixtures import FX, fx
 from ..operators import edits as ed
 from ..operators import synthesis as sy
+from ..session import cut_lineage
 from .evaluation import rounded
 from .registry import query
 from .rooms import ASSETS, RGB, hex_sql, matched
@@ -86,10 +87,11 @@ n AS (SELECT a.building_id, a.object_id, COUNT(*) AS hits FROM v a JOIN o b ON a
 SELECT building_id, object_id, verdict, COALESCE(hits, 0) AS hits FROM v LEFT JOIN n USING (building_id, object_id)""")
 def transform_overrides(spark, sf_dir):
     empty = F.lit(None).cast("double")
-    patches = fx(spark, sf_dir, "fx_restarted").filter("object_id % 13 = 0").select(
+    objects = cut_lineage(fx(spark, sf_dir, "fx_restarted"))
+    patches = objects.filter("object_id % 13 = 0").select(
         "building_id", "object_id", F.when(F.col("object_id") % 3 == 0, F.col("x") + 1.5).alias("new_x"), empty.alias("new_y"), empty.alias("new_rotation"),
         F.when(F.col("object_id") % 3 == 1, 0.01).when(F.col("object_id") % 3 == 2, 4.0).alias("new_width"), empty.alias("new_depth"), empty.alias("new_height"), (F.col("object_id") % 2 == 0).alias("unlock"))
-    return ed.override_transforms(fx(spark, sf_dir, "fx_restarted"), patches, regions(spark, sf_dir)).select("building_id", "object_id", "verdict", F.col("overlaps").alias("hits"))
+    return ed.override_transforms(objects, patches, regions(spark, sf_dir)).select("building_id", "object_id", "verdict", F.col("overlaps").alias("hits"))
 
 
 @query("new_object_ids", "ED-05", oracle="""

@@ -81,6 +81,10 @@ def test_answers_are_gone_through_once(spark):
     assert len(below) == 2 and "contains(" not in below[0].split("Generate")[0]
 
 
+def test_objects_are_numbered_once_for_their_overrides(spark, tmp_path):
+    assert "Window" not in plan(plans.QUERIES["transform_overrides"](spark, tables(spark, tmp_path)))
+
+
 def test_answers_are_written_once_for_all_their_lists(spark, tmp_path):
     found = plans.QUERIES["answer_rejections"](spark, tables(spark, tmp_path))
     assert "events.parquet" not in plan(found)
