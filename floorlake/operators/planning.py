@@ -200,8 +200,8 @@ def order_plan(ranked: DataFrame, scopes: DataFrame, limit: int | None = None, b
     order. All three are group maxima over (entity, type), never over pairs.
     """
     rules = F.broadcast(dim(ranked.sparkSession, "dim_ordering"))
-    nodes = ranked.select(building, "action_id", "action_type", "rank")
-    links = scopes.select(building, "action_id", "kind", "entity")
+    nodes = cut_lineage(ranked.select(building, "action_id", "action_type", "rank"))
+    links = cut_lineage(scopes.select(building, "action_id", "kind", "entity"))
 
     def from_parents(values: DataFrame, keys: list[str], value: str) -> DataFrame:
         """Per action, the largest ``value`` among direct predecessors (restricted to equal ``keys``)."""
@@ -216,12 +216,12 @@ def order_plan(ranked: DataFrame, scopes: DataFrame, limit: int | None = None, b
     def closure(values: DataFrame, keys: list[str], value: str) -> DataFrame:
         for _ in range(2):
             up = from_parents(values, keys, value)
-            values = values.join(up, [building, "action_id"], "left").withColumn(value, F.greatest(value, F.coalesce("_v", value))).drop("_v")
+            values = cut_lineage(values.join(up, [building, "action_id"], "left").withColumn(value, F.greatest(value, F.coalesce("_v", value))).drop("_v"))
         return values
 
-    m0 = cut_lineage(closure(nodes.withColumn("m0", F.col("rank")), [], "m0"))
+    m0 = closure(nodes.withColumn("m0", F.col("rank")), [], "m0")
     rest = m0.filter("m0 <> rank").withColumn("m1", F.col("rank"))
-    m1 = cut_lineage(closure(rest, ["m0"], "m1"))
+    m1 = closure(rest, ["m0"], "m1")
     keyed = m0.join(m1.select(building, "action_id", "m1"), [building, "action_id"], "left").withColumn("m1", F.coalesce("m1", F.lit(0)))
     # A node that is its own bottleneck at one level precedes its descendants: 0 sorts first.
     order = [F.asc("m0"), F.asc("m1"), F.when(F.col("m1") == F.col("rank"), 0).otherwise(F.col("rank")).asc(), F.asc("rank")]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..fixtures import fx
 from ..operators import evaluation as ev
 from ..operators import planning as pl
+from ..session import cut_lineage
 from . import evaluation as base
 from .registry import query
 
@@ -46,7 +47,7 @@ def candidates(groups):
 
 
 def actions_and_scopes(spark, sf_dir):
-    found = candidates(pl.group_findings(planned(spark, sf_dir)))
+    found = cut_lineage(candidates(pl.group_findings(planned(spark, sf_dir))))
     acts = pl.deduplicate_actions(found).withColumn("confidence", F.round("confidence", 9))
     objects = found.filter("scope LIKE 'object:%'").select("building_id", "action_id", F.lit("object").alias("kind"), F.expr("substring(scope, 8)").alias("entity"))
     rooms = found.select("building_id", "action_id", F.lit("room").alias("kind"), F.col("room_id").cast("string").alias("entity"))
@@ -56,9 +57,9 @@ def actions_and_scopes(spark, sf_dir):
 def priced(spark, sf_dir):
     acts, scopes = actions_and_scopes(spark, sf_dir)
     rooms = fx(spark, sf_dir, "fx_rooms")
-    axes = ev.room_axes(fx(spark, sf_dir, "fx_axis_scores"), ["room_id"]).join(rooms.select("room_id", "building_id"), "room_id")
-    scores = ev.merge_axes(axes, ["building_id"]).withColumn("score", F.round("score", 9))
-    baselines = base.rollup(spark, sf_dir).select("building_id", F.col("score").alias("baseline"))
+    axes = base.room_scores(spark, sf_dir)
+    scores = ev.merge_axes(axes.join(rooms.select("room_id", "building_id"), "room_id"), ["building_id"]).withColumn("score", F.round("score", 9))
+    baselines = ev.building_rollup(axes, rooms).select("building_id", F.col("score").alias("baseline"))
     counts = scopes.filter("kind = 'object'").groupBy("building_id", "action_id").agg(F.count("*").alias("objects"))
     return pl.price_actions(acts, scores, baselines, counts), scopes, baselines
 

@@ -8,6 +8,7 @@ from floorlake import plans
 from floorlake.functions import geometry as g
 from floorlake.functions import text as tx
 from floorlake.functions.binding import let
+from floorlake.plans import planning
 from floorlake.sources import documents
 
 
@@ -81,6 +82,12 @@ def test_answers_are_gone_through_once(spark):
     assert len(below) == 2 and "contains(" not in below[0].split("Generate")[0]
 
 
+def test_findings_are_merged_once_for_a_report_and_a_plan(spark, tmp_path):
+    folder = tables(spark, tmp_path)
+    assert "lineitem.parquet" not in plan(plans.QUERIES["building_report"](spark, folder))
+    assert all("lineitem.parquet" not in plan(df) for df in planning.actions_and_scopes(spark, folder))
+
+
 def test_objects_are_numbered_once_for_their_overrides(spark, tmp_path):
     assert "Window" not in plan(plans.QUERIES["transform_overrides"](spark, tables(spark, tmp_path)))
 
